@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-#: In the order of the operators' numbers; the fourth, exact top-k search, follows them.
-MODULES = ("near_vectors", "html_text", "line_dedup", "toxicity", "ngram_join", "byte_bpe", "token_counts", "quality", "packing")
+#: In the order of the operators' numbers.
+MODULES = ("near_vectors", "html_text", "line_dedup", "search", "toxicity", "ngram_join", "byte_bpe", "token_counts", "quality", "packing")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
