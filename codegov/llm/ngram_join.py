@@ -13,7 +13,7 @@ The job returns components, not all pairs, so it looks for links in this order:
 2. In some star rounds each class is verified against the classes that come first in its posting lists; verified links
    are contracted into components. A group of thousands of near copies costs a few comparisons per member.
 3. Posting lists that still touch several components give every pair across components that shares enough prefix
-   shingles; all of them are verified. This step makes the result exact: no cap, no sampling.
+   shingles and whose sizes and positions allow enough overlap; all of them are verified. This step makes the result exact: no cap, no sampling.
 
 Texts are hashed again where they are needed instead of being stored as sets: eight bytes a shingle would be larger
 than the text.
@@ -46,9 +46,9 @@ VERIFY_COST = 25.0
 STARS = 3
 
 
-def least_overlap(n, num: int, den: int):
-    """The smallest overlap of a set of n with any set of similarity num/den or more."""
-    return (n * num + den - 1) // den
+def least_overlap(n, num: int, den: int, floor: Callable | None = None):
+    """The smallest overlap of a set of n with any set of similarity num/den or more; ``floor`` for columns."""
+    return floor((n * num + den - 1) / den) if floor else (n * num + den - 1) // den
 
 
 def _sets(words: int):
@@ -105,7 +105,7 @@ def _postings(words: int, num: int, den: int, counts: np.ndarray, documents: int
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in range(5)]
             ids = b.column("doc_id").to_pylist()
             held = 0
             for doc, s in zip(ids, shingle_sets(b.column("text"), words), strict=True):
@@ -125,17 +125,18 @@ def _postings(words: int, num: int, den: int, counts: np.ndarray, documents: int
                 head = head[: n - o + level]
                 out[0].append(s[head].view(np.int64))
                 out[1].append(np.full(len(head), doc, np.int64))
-                out[2].append(np.maximum(np.arange(len(head)) - (n - o), 0).astype(np.int16))
-                out[3].append(np.full(len(head), level, np.int16))
+                out[2].append(np.arange(len(head), dtype=np.int32))
+                out[3].append(np.full(len(head), n, np.int32))
+                out[4].append(np.full(len(head), level, np.int16))
                 held += len(head)
                 if held > 200_000:
                     yield _batch(out)
-                    out, held = [[], [], [], []], 0
+                    out, held = [[] for _ in range(5)], 0
             if held:
                 yield _batch(out)
 
     def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "doc", "rank", "level"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["token", "doc", "pos", "n", "level"])
 
     return run
 
@@ -178,9 +179,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     def postings(batches):
         yield from _postings(words, num, den, shared.value, number)(batches)
 
-    lists = one.mapInArrow(postings, "token long, doc long, rank short, level short")
-    lists = lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c")
-    lists = cut(lists)
+    lists = one.mapInArrow(postings, "token long, doc long, pos int, n int, level short")
+    lists = cut(lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c"))
+    lists = cut(_bounded(lists, num, den))
     home = classes.select(F.col("rep").alias("doc")).distinct().withColumn("comp", F.col("doc"))
     seen: DataFrame | None = None
     links: DataFrame | None = None
@@ -193,10 +194,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             pairs = pairs.groupBy("doc").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
             pairs = pairs.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
         else:
-            x = now.select("token", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"), F.col("level").alias("la"))
-            y = now.select("token", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("rank").alias("rb"), F.col("level").alias("lb"))
-            both = x.join(y, "token").where("a < b and ca != cb").withColumn("level", F.least("la", "lb")).where("ra <= level and rb <= level")
-            pairs = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level")).where("n >= level").select("a", "b")
+            cols = [F.col(c) for c in ("doc", "comp", "pos", "n", "level", "most")]
+            x = now.select("token", *(c.alias(f"{n}a") for c, n in zip(cols, ("", "c", "p", "n", "l", "m"), strict=True)))
+            y = now.select("token", *(c.alias(f"{n}b") for c, n in zip(cols, ("", "c", "p", "n", "l", "m"), strict=True)))
+            both = x.join(y, "token").where("a < b and ca != cb and na <= mb and nb <= ma").withColumn("level", F.least("la", "lb"))
+            inside = lambda c: F.col(f"p{c}") < F.col(f"n{c}") - least_overlap(F.col(f"n{c}"), num, den, F.floor) + F.col("level")
+            pairs = both.where(inside("a") & inside("b")).groupBy("a", "b", "na", "nb", "level").agg(F.count(F.lit(1)).alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+            # what is shared up to the last shared prefix shingle, and at most all that follows it
+            reach = F.col("n") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+            pairs = pairs.where((F.col("n") >= F.col("level")) & (reach * (num + den) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -214,6 +220,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     return _named(sets, classes, links)
 
 
+def _bounded(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """The postings with ``most``: the largest set that can be similar through this shingle; hopeless ones go.
+
+    A shingle before a shared one that no other prefix holds is in no partner at all: the partner's prefix reaches to
+    the shared one, so it would hold the earlier one too. With u such shingles the overlap is at most n - u.
+    """
+    before = F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1
+    alone = F.col("pos") - before
+    most = F.floor(((F.col("n") - alone) * (num + den) - F.col("n") * num) / num).cast("int")
+    x = lists.withColumn("most", most)
+    least = x.groupBy("token").agg(F.min("n").alias("least"))
+    return x.join(least, "token").where("most >= least").drop("least")
+
+
 def _homes(classes: DataFrame, links: DataFrame) -> DataFrame:
     all_of = classes.select(F.col("rep").alias("doc")).distinct()
     return cut(all_of.join(components(links).toDF("doc", "root"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("comp")))
