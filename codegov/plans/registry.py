@@ -2,5 +2,602 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import budget, globs, identity, paths
+from ..operators import boundary, erosion, extraction, git_rules, graph, grouping, ledger, scoring, structures
+from ..sources import gitlog, ledger_files
+from ..streaming import jobs
+from . import runner
+from .adapters import AS_OF, LEDGER_AS_OF, duck, fact
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+Get = Callable[[str], DataFrame]
+
+
+def query(name: str, sql: str | None = None):
+    """Registers ``f(get)``, where get(name) is a fact table; ``sql`` over the same tables is its oracle."""
+
+    def put(f: Callable[[Get], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(lambda table: fact(spark, sf_dir, table))
+        if sql is not None:
+            ORACLE_SQL[name] = duck(sql)
+        return f
+
+    return put
+
+
+def _edges(get: Get) -> DataFrame:
+    return get("edges").withColumnRenamed("col", "column")
+
+
+def _json(*parts: str) -> str:
+    """SQL of a JSON text: literal pieces and column expressions in turn."""
+    return " || ".join(f"'{p}'" if k % 2 == 0 else p for k, p in enumerate(parts))
+
+
+# ---- git history
+
+_WINDOW = "FROM {changes} WHERE hash IN (SELECT hash FROM {commits} WHERE date >= TIMESTAMP '2001-05-03 00:00:00')"
+
+
+@query("a01_churn", "SELECT path, count(*) AS count, SHA[" + _json('{"data":{"path":"', "path", '"},"ruleId":"git/churn@v1"}') + f"] AS fingerprint {_WINDOW} AND path NOT LIKE '%/Brand11/%' GROUP BY path HAVING count(*) >= 3")
+def a01(get):
+    counts = git_rules.churn_counts(get("commits"), get("changes"), AS_OF, 90, exclude=("**/Brand11/**",))
+    return git_rules.churn_findings(counts, 3).select("path", "count", "fingerprint")
+
+
+@query("j01_changes_in_window", f"SELECT hash, path, status {_WINDOW}")
+def j01(get):
+    return git_rules.changes_in_window(get("commits"), get("changes"), AS_OF, 90).select("hash", "path", "status")
+
+
+@query("r02_recent_commits", "SELECT hash, author, subject FROM {commits} WHERE date >= TIMESTAMP '2000-08-01 00:00:00' ORDER BY date DESC, hash LIMIT 100")
+def r02(get):
+    return git_rules.recent_commits(get("commits"), AS_OF, 365, 100).select("hash", "author", "subject")
+
+
+@query("o04_newest_per_author", "SELECT author, hash FROM (SELECT author, hash, row_number() OVER (PARTITION BY author ORDER BY date DESC, hash) AS n FROM {commits}) x WHERE n <= 3")
+def o04(get):
+    return git_rules.recent_commits(get("commits"), AS_OF, None, 3, keys=("author",)).select("author", "hash")
+
+
+@query("w05_rolling_churn", "SELECT path, hash, count(*) OVER (PARTITION BY path ORDER BY epoch(date) RANGE BETWEEN 7776000 PRECEDING AND CURRENT ROW) AS count FROM {changes} JOIN {commits} USING (hash)")
+def w05(get):
+    return git_rules.rolling_churn(get("commits"), get("changes"), 90).select("path", "hash", "count")
+
+
+@query(
+    "r01_git_log",
+    "SELECT hash, 'Ann' AS author, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'N' THEN 'modified' ELSE 'renamed' END AS status, path, CASE WHEN l_returnflag = 'R' THEN 'old/' || path END AS old_path, 'fix' || chr(1) || subject AS subject "
+    "FROM (SELECT CAST(l_orderkey AS STRING) AS hash, l_returnflag, path FROM {lineitem} JOIN {paths} ON l_partkey = p_partkey) x JOIN {commits} USING (hash) WHERE CAST(author AS INT) % 10 <> 3",
+)
+def r01(get):
+    """Log texts written from the tables, one record per commit, some with a missing field or odd lines, parsed again."""
+    line = F.when(F.col("l_returnflag") == "R", F.concat_ws("\t", F.lit("R90"), F.concat(F.lit("old/"), "path"), "path")).otherwise(F.concat_ws("\t", "l_returnflag_", "path"))
+    rows = get("lineitem").join(get("paths"), F.col("l_partkey") == F.col("p_partkey")).withColumn("l_returnflag_", F.when(F.col("l_returnflag") == "N", "M").otherwise(F.col("l_returnflag")))
+    lines = rows.groupBy(F.col("l_orderkey").cast("string").alias("hash")).agg(F.collect_list(line).alias("l"))
+    author = F.when(F.col("author").cast("int") % 10 == 3, "").otherwise("Ann")
+    head = F.concat_ws("\x01", F.lit("COMMIT"), "hash", author, F.lit("a@example.org"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.concat(F.lit("fix\x01"), "subject"))
+    records = get("commits").join(lines, "hash").select(F.array_join(F.concat(F.array(head), F.col("l"), F.array(F.lit("X\tunknown"), F.lit("no tab"), F.lit("R90\tonly-old"))), "\n").alias("value"))
+    parsed = gitlog.parse_records(records)
+    return gitlog.file_changes(parsed).join(gitlog.commits(parsed).select("hash", "author", "subject"), "hash").select("hash", "author", "status", "path", "old_path", "subject")
+
+
+@query("s03_status_words", "SELECT l_returnflag AS letter, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'renamed' END AS word, count(*) AS n FROM {lineitem} GROUP BY l_returnflag")
+def s03(get):
+    return get("lineitem").groupBy(F.col("l_returnflag").alias("letter")).agg(F.count(F.lit(1)).alias("n")).withColumn("word", gitlog.status_word(F.col("letter")))
+
+
+# ---- paths and patterns
+
+
+@query("p01_globs", "SELECT path, path LIKE 'packages/economy/%' AS inside, regexp_matches(path, '^packages/[^/]*/src/Brand(1|2)[^/]/part[^/]*1[.]ts$') AS braces, NOT path LIKE 'packages/promo/%' AS outside FROM {paths}")
+def p01(get):
+    c = F.col("path")
+    return get("paths").select("path", globs.matches(c, "packages/economy/**").alias("inside"), globs.matches(c, "packages/*/src/Brand{1,2}?/part*1.ts").alias("braces"), globs.matches(c, "!packages/promo/**").alias("outside"))
+
+
+@query("p02_import_patterns", "SELECT to_path, count(*) AS n, to_path = '@supp/nation_1' OR to_path LIKE '@supp/nation\\_1/%' ESCAPE '\\' AS plain, regexp_matches(to_path, 'nation_2$') AS regex, regexp_matches(to_path, '^@supp/[^/]*$') AS glob FROM {edges} GROUP BY to_path")
+def p02(get):
+    import re
+
+    c, rows = F.col("to_path"), get("edges").groupBy("to_path").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("to_path", "n", globs.matches_import(c, "@supp/nation_1").alias("plain"), globs.matches_import(c, re.compile("nation_2$")).alias("regex"), globs.matches_import(c, "@supp/*").alias("glob"))
+
+
+@query("s05_external_imports", "SELECT is_external, count(*) AS n FROM (SELECT CASE WHEN is_external THEN to_path ELSE './' || to_path END AS s, is_external FROM {edges}) x GROUP BY is_external")
+def s05(get):
+    s = F.when(F.col("is_external"), F.col("to_path")).otherwise(F.concat(F.lit("./"), "to_path"))
+    return get("edges").select(paths.is_external(s).alias("is_external")).groupBy("is_external").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s06_resolve_paths", "SELECT path, 'packages/' || pkg || '/lib/x' AS resolved, 'packages/' || pkg || '/src/' || replace(p_brand, '#', '') || '/y' AS near FROM {paths}")
+def s06(get):
+    return get("paths").select("path", paths.resolve(F.col("path"), F.lit("../.././lib/x")).alias("resolved"), paths.resolve(F.col("path"), F.lit("./y")).alias("near"))
+
+
+@query("s20_ancestors", "SELECT path, 'packages/' || pkg || '/src/' || replace(p_brand, '#', '') || ';packages/' || pkg || '/src;packages/' || pkg || ';packages' AS up FROM {paths}")
+def s20(get):
+    return get("paths").select("path", F.array_join(paths.ancestors(F.col("path")), ";").alias("up"))
+
+
+@query("j03_nearest_package", "SELECT path, '@acme/' || pkg AS name, 'packages/' || pkg AS root_path FROM {paths}")
+def j03(get):
+    return graph.nearest_package(get("paths").select("path"), get("packages"))
+
+
+# ---- boundaries
+
+_CROSS = "FROM {edges} WHERE from_path LIKE 'packages/economy/%' AND NOT (NOT is_external AND to_path LIKE 'packages/economy/%')"
+_ECONOMY = "@acme/economy"
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    return identity.fold_findings(rows).select("fingerprint", "dependency", F.size("artifacts").cast("long").alias("n"))
+
+
+def _finding(rule: str, where: str) -> str:
+    return "SELECT to_path AS dependency, count(*) AS n, SHA[" + _json('{"data":{"dependency":"', "to_path", f'","target":"{_ECONOMY}"}},"ruleId":"{rule}"}}') + f"] AS fingerprint {_CROSS} {where} GROUP BY to_path"
+
+
+@query("p05_pure_layer", _finding(boundary.PURE, ""))
+def p05(get):
+    return _folded(boundary.violations(_edges(get), boundary.Layer(_ECONOMY)))
+
+
+@query("p06_allow_list", _finding(boundary.IMPORTS, "AND NOT (to_path LIKE 'packages/promo/%' OR to_path = '@supp/nation_1')"))
+def p06(get):
+    return _folded(boundary.violations(_edges(get), boundary.Layer(_ECONOMY, allows=("packages/promo/**", "@supp/nation_1"))))
+
+
+@query("p07_deny_list", _finding(boundary.IMPORTS, "AND (to_path LIKE 'packages/promo/%' OR to_path = '@supp/nation_1')"))
+def p07(get):
+    return _folded(boundary.violations(_edges(get), boundary.Layer(_ECONOMY, forbids=("packages/promo/**", "@supp/nation_1"))))
+
+
+@query("p03_layer_root", "SELECT DISTINCT from_pkg_root || '/**' AS root FROM {edges} WHERE from_pkg_name = '@acme/economy' UNION ALL SELECT 'src/other/**'")
+def p03(get):
+    e = _edges(get)
+    roots = [boundary.layer_root(e, t) for t in (_ECONOMY, "src/other/**")]
+    return e.sparkSession.createDataFrame([(r,) for r in roots], "root string")
+
+
+@query("p08_idle_patterns", "SELECT p AS pattern FROM (VALUES ('@supp/nation_1'), ('@typo/**'), ('packages/promo/**')) v(p) WHERE EXISTS (SELECT 1 FROM {edges}) AND NOT EXISTS (SELECT 1 FROM {edges} WHERE to_path = p OR starts_with(to_path, replace(p, '/**', '') || '/'))")
+def p08(get):
+    return boundary.idle_patterns(_edges(get), ("@supp/nation_1", "@typo/**", "packages/promo/**"))
+
+
+_OK = "(to_path LIKE 'packages/promo/%' OR to_path = '@supp/nation_1')"
+
+
+@query(
+    "j05_layer_reach",
+    f"""WITH RECURSIVE walk AS (
+      SELECT DISTINCT to_path AS path {_CROSS} AND NOT is_external AND {_OK}
+      UNION SELECT e.to_path FROM walk w JOIN {{edges}} e ON e.from_path = w.path WHERE NOT e.is_external)
+    SELECT DISTINCT 'packages/economy/**' AS target, path AS current_path, to_path AS dependency FROM walk JOIN {{edges}} ON from_path = path WHERE is_external AND NOT {_OK}""",
+)
+def j05(get):
+    spark = get("part").sparkSession
+    from tempfile import mkdtemp
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return boundary.reach(_edges(get), [boundary.Layer("packages/economy/**", allows=("packages/promo/**", "@supp/nation_1"))])
+
+
+# ---- grouping rules
+
+_LITERAL_ID = _json('{"data":{"kind":"', "kind", '","value":"', "value", '"},"ruleId":"connascence/meaning@v1"}')
+
+
+@query("a02_shared_literals", f"SELECT kind, value, count(DISTINCT file) AS files, count(*) AS n, SHA[{_LITERAL_ID}] AS fingerprint FROM {{constants}} WHERE value NOT IN ('0', '1') GROUP BY kind, value HAVING count(DISTINCT file) >= 2")
+def a02(get):
+    rows = grouping.literal_findings(get("constants").withColumnRenamed("col", "column"), 2, ("0", "1"))
+    return rows.select("kind", "value", "files", F.size("artifacts").cast("long").alias("n"), "fingerprint")
+
+
+@query("a02_shared_lines", "SELECT value, count(DISTINCT file) AS files FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS value FROM {documents}) x WHERE value <> '' GROUP BY value HAVING count(DISTINCT file) >= 2")
+def a02_lines(get):
+    lines = get("documents").select(F.col("doc_id").alias("file"), F.lit("line").alias("kind"), F.explode(F.split("text", "\n")).alias("value"))
+    return grouping.shared_literals(lines.where("value != ''"), 2).select("value", "files")
+
+
+_ALGO = "SELECT pattern_id, binding_key, count(DISTINCT file) AS files, count(DISTINCT role) AS roles, SHA[" + _json('{"data":{"bindingKey":"', "binding_key", '","patternId":"', "pattern_id", '"},"ruleId":"connascence/algorithm@v1"}') + "] AS fingerprint FROM {bindings}"
+
+
+@query("a03_shared_algorithms", f"{_ALGO} WHERE binding_key <> 'Brand#11' GROUP BY pattern_id, binding_key HAVING count(DISTINCT file) >= 2 AND count(DISTINCT role) >= 2")
+def a03(get):
+    return grouping.shared_algorithms(get("bindings"), ignored=("Brand#11",))
+
+
+@query("a04_same_container", f"{_ALGO} b WHERE EXISTS (SELECT 1 FROM {{bindings}} x WHERE x.pattern_id = b.pattern_id AND x.binding_key = b.binding_key GROUP BY coalesce(containing_function, file) HAVING count(DISTINCT role) >= 2) GROUP BY pattern_id, binding_key HAVING count(DISTINCT file) >= 2 AND count(DISTINCT role) >= 2")
+def a04(get):
+    return grouping.shared_algorithms(get("bindings"), same_container=True)
+
+
+@query("w01_keep_first", "SELECT file, line, col, value, min(seq) AS seq FROM (SELECT *, CASE kind WHEN 'string' THEN 0 ELSE 1 END AS seq FROM {constants}) x GROUP BY file, line, col, value")
+def w01(get):
+    rows = get("constants").withColumnRenamed("col", "column").withColumn("seq", F.when(F.col("kind") == "string", 0).otherwise(1))
+    return grouping.keep_first(rows, "constants", "seq").select("file", "line", F.col("column").alias("col"), "value", "seq")
+
+
+@query("u01_merge_facts", "SELECT 0 AS source_order, count(*) AS n FROM {constants} WHERE kind = 'string' UNION ALL SELECT 1, count(*) FROM {constants} WHERE kind = 'number'")
+def u01(get):
+    c = get("constants")
+    merged = grouping.merge_facts(c.where("kind = 'string'"), c.where("kind = 'number'").drop("col"))
+    return merged.groupBy("source_order").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- signatures and structures
+
+
+def _signatures(get: Get) -> DataFrame:
+    p = get("parameters").groupBy("l_orderkey", "exported").agg(F.array_sort(F.collect_list(F.struct("position", "type", "l_linestatus"))).alias("p"))
+    types = F.transform("p", lambda x: x["type"])
+    sites = F.transform("p", lambda x: F.struct(x["l_linestatus"].alias("value"), F.when(x["position"] == 1, F.lit("first")).alias("guard")))
+    return p.select(
+        F.concat(F.lit("fn_"), (F.col("l_orderkey") % 500).cast("string")).alias("name"), F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("file"), F.lit(1).alias("line"), F.lit(1).alias("column"), "exported",
+        F.transform("p", lambda x: F.struct(F.concat(F.lit("p"), x["position"].cast("string")).alias("name"), x["type"].alias("type"), x["position"].cast("int").alias("position"))).alias("parameters"),
+        structures.heterogeneous(types).alias("input_heterogeneous"), F.lit("O | F").alias("return_type"), F.lit(True).alias("output_heterogeneous"), sites.alias("return_sites"), F.col("l_orderkey").alias("key"),
+    )
+
+
+_PARAMS = "SELECT l_orderkey, 'fn_' || CAST(l_orderkey % 500 AS STRING) AS function, string_agg('p' || CAST(position AS STRING) || ': ' || type, ', ' ORDER BY position) AS params, bool_or(type = 'boolean') AS has_flag, count(*) > 3 AS is_long, count(DISTINCT type) > 1 AS mixed FROM {parameters}"
+
+
+@query("p09_arguments", f"SELECT function, params, count(*) AS n, SHA[{_json('{"data":{"function":"', 'function', '","params":"', 'params', '"},"ruleId":"connascence/arguments@v1"}')}] AS fingerprint FROM ({_PARAMS} WHERE exported GROUP BY l_orderkey) x WHERE has_flag OR is_long GROUP BY function, params")
+def p09(get):
+    found = identity.fold_findings(structures.argument_findings(_signatures(get)))
+    return found.select("function", "params", F.size("artifacts").cast("long").alias("n"), "fingerprint")
+
+
+@query("a12_heterogeneity", f"SELECT l_orderkey AS key, mixed FROM ({_PARAMS} GROUP BY l_orderkey) x")
+def a12(get):
+    return _signatures(get).select("key", F.col("input_heterogeneous").alias("mixed"))
+
+
+_SITES = "SELECT l_orderkey, string_agg(l_linestatus || CASE WHEN position = 1 THEN '[first]' ELSE '' END, '|' ORDER BY position) AS value, count(*) > count(DISTINCT l_linestatus) AS again, count(*) AS n, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS kinds FROM {parameters} GROUP BY l_orderkey"
+
+
+@query("p11_candidates", f"SELECT l_orderkey AS key FROM ({_SITES}) x WHERE again")
+def p11(get):
+    return structures.candidates(_signatures(get)).select("key")
+
+
+@query("p10_semantic", f"SELECT value, 'O | F' AS kind, count(*) AS n FROM ({_SITES}) x WHERE again AND (l_orderkey % 10) / 10.0 >= 0.7 GROUP BY value")
+def p10(get):
+    scored = structures.candidates(_signatures(get)).withColumn("confidence", (F.col("key") % 10) / 10.0)
+    found = identity.fold_findings(structures.semantic_findings(scored, 0.7))
+    return found.select("value", "kind", F.size("artifacts").cast("long").alias("n"))
+
+
+@query("s11_repeated_values", "SELECT l_orderkey AS key, count(*) - count(DISTINCT type) AS n FROM {parameters} GROUP BY l_orderkey")
+def s11(get):
+    return _signatures(get).select("key", F.size(identity.repeated(F.transform("parameters", lambda p: p["type"]))).cast("long").alias("n"))
+
+
+@query("s07_union_types", "SELECT doc_id, len(list_distinct(list_transform(string_split(lang || ' | ' || source || '|' || lang, '|'), lambda x: trim(x)))) AS n FROM {documents}")
+def s07(get):
+    return get("documents").select("doc_id", F.size(identity.union_types(F.concat("lang", F.lit(" | "), "source", F.lit("|"), "lang"))).cast("long").alias("n"))
+
+
+@query("s12_guard_text", "SELECT doc_id, substring(trim(text), 1, 300) AS guard FROM {documents}")
+def s12(get):
+    return get("documents").select("doc_id", identity.guard_text(F.col("text")).alias("guard"))
+
+
+@query("s09_locations", "SELECT file || ':' || CAST(line AS STRING) || ':' || CAST(col AS STRING) AS place, count(*) AS n FROM {constants} GROUP BY file, line, col")
+def s09(get):
+    return get("constants").groupBy(identity.location(F.col("file"), F.col("line"), F.col("col")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j02_positions", "SELECT s.file, s.name, count(*) AS accesses, SHA[" + _json('{"data":{"file":"', "s.file", '","name":"', "s.name", '"},"ruleId":"connascence/position@v1"}') + "] AS fingerprint FROM {sources} s JOIN {accesses} a ON s.file = coalesce(a.origin_file, a.file) AND s.name = coalesce(a.origin_name, a.name) WHERE s.is_heterogeneous GROUP BY s.file, s.name")
+def j02(get):
+    return structures.position_findings(get("sources"), get("accesses")).select("file", "name", "accesses", "fingerprint")
+
+
+@query(
+    "j04_enclosing_function",
+    "SELECT call_idx, fun_idx FROM (SELECT call_idx, fun_idx, row_number() OVER (PARTITION BY call_idx ORDER BY (el - sl) * 100000 + (ec - sc), fun_idx) AS n FROM {sites} s JOIN {ranges} r ON s.file = r.file AND cl BETWEEN sl AND el AND (cl <> sl OR cc >= sc) AND (cl <> el OR cc <= ec)) x WHERE n = 1",
+)
+def j04(get):
+    return graph.enclosing_function(get("ranges"), get("sites"))
+
+
+@query("s22_range_text", "SELECT o_orderkey, CAST(o_custkey AS INT) AS file_index, CAST(o_orderkey % 400 AS INT) AS sl, CAST(o_orderkey % 400 AS INT) AS el FROM {orders}")
+def s22(get):
+    r = graph.parse_range(F.concat_ws(":", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 400).cast("string"), F.lit("3"), F.lit("?"), F.lit("?")))
+    return get("orders").select("o_orderkey", r["file_index"].alias("file_index"), r["sl"].alias("sl"), r["el"].alias("el"))
+
+
+# ---- ledger
+
+_LAST = "WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ord DESC) AS n FROM {ledger}) x WHERE n = 1)"
+_LIVE = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+@query("a07_ledger_fold", f"{_LAST} SELECT fingerprint, type, ord, rule_id FROM last")
+def a07(get):
+    return ledger.latest(get("ledger")).select("fingerprint", "type", "ord", "rule_id")
+
+
+@query("p12_not_baselined", f"{_LAST} SELECT fingerprint, type FROM last WHERE type = 'observed' OR type = 'baselined' AND expires_at <= {_LIVE}")
+def p12(get):
+    return ledger.not_baselined(ledger.latest(get("ledger")), LEDGER_AS_OF).select("fingerprint", "type")
+
+
+@query("p13_states", f"{_LAST} SELECT fingerprint, type AS state FROM last WHERE type IN ('observed', 'revoked')")
+def p13(get):
+    return ledger.with_state(ledger.latest(get("ledger")), "observed, revoked").select("fingerprint", "state")
+
+
+@query("a10_summary", f"{_LAST} SELECT type AS state, rule_id, count(*) AS n FROM last GROUP BY ROLLUP (type, rule_id)")
+def a10(get):
+    return ledger.summary(ledger.with_state(ledger.latest(get("ledger"))))
+
+
+@query("r06_state_export", f"""{_LAST} SELECT type AS state, '[' || string_agg('{{"fingerprint":"' || fingerprint || '","rule_id":"' || rule_id || '"}}', ',' ORDER BY fingerprint) || ']' AS items FROM last GROUP BY type""")
+def r06(get):
+    return ledger_files.export_states(ledger.with_state(ledger.latest(get("ledger"))), ["fingerprint", "rule_id"])
+
+
+@query("w02_rejected_transitions", "SELECT fingerprint, ord, type FROM (SELECT *, lag(type) OVER w AS was, lag(expires_at) OVER w AS until FROM {ledger} WINDOW w AS (PARTITION BY fingerprint ORDER BY ord)) x WHERE type IN ('observed', 'unverified') AND was = 'baselined' AND until > timestamp")
+def w02(get):
+    return ledger.rejected_transitions(get("ledger")).select("fingerprint", "ord", "type")
+
+
+_OUTCOME = f"""{_LAST}, o AS (
+  SELECT coalesce(l.fingerprint, c.fingerprint) AS fingerprint, l.type AS was, c.fingerprint IS NOT NULL AS present, coalesce(c.requires_verification, false) AS review,
+         coalesce(l.type = 'baselined' AND l.expires_at > {_LIVE}, false) AS live, coalesce(l.type = 'baselined' AND NOT l.expires_at > {_LIVE}, false) AS expired
+  FROM last l FULL JOIN {{current}} c ON l.fingerprint = c.fingerprint),
+f AS (SELECT *, present AND (was IS NULL OR expired OR was = 'resolved') AS is_new, NOT present AND was IN ('observed', 'unverified', 'baselined') AS gone, present AND NOT live AND coalesce(was, '') <> 'revoked' AS visible FROM o)"""
+
+
+def _outcome(get: Get) -> DataFrame:
+    return ledger.reconcile(get("current"), ledger.latest(get("ledger")), LEDGER_AS_OF)
+
+
+@query("j06_reconcile", f"{_OUTCOME} SELECT fingerprint, was, present, is_new, gone AS auto_resolved, live AS baselined, expired, visible, CASE WHEN gone THEN 'resolved' WHEN is_new AND review THEN 'unverified' WHEN is_new THEN 'observed' END AS event FROM f")
+def j06(get):
+    return _outcome(get).select("fingerprint", "was", "present", "is_new", "auto_resolved", "baselined", "expired", "visible", "event")
+
+
+@query("a09_verdict", f"{_OUTCOME} SELECT count(*) FILTER (WHERE present AND was = 'resolved' AND NOT review) AS regressions, count(*) FILTER (WHERE present AND was = 'resolved' AND review) AS regressions_to_review, count(*) FILTER (WHERE expired AND present) AS expired_baselines, count(*) FILTER (WHERE visible) AS visible, count(*) FILTER (WHERE visible AND NOT review) AS actionable, true AS failed FROM f")
+def a09(get):
+    return ledger.verdict(_outcome(get))
+
+
+@query("u05_events_to_write", f"{_OUTCOME} SELECT CASE WHEN gone THEN 0 ELSE 1 END AS phase, fingerprint, CASE WHEN gone THEN 'resolved' WHEN review THEN 'unverified' ELSE 'observed' END AS type FROM f WHERE gone OR is_new")
+def u05(get):
+    return ledger.events_to_write(_outcome(get))
+
+
+@query("u03_visible", f"{_OUTCOME} SELECT fingerprint FROM f WHERE visible")
+def u03(get):
+    return _outcome(get).where("visible").select("fingerprint")
+
+
+@query("u04_new", f"{_OUTCOME} SELECT fingerprint FROM f WHERE is_new")
+def u04(get):
+    return _outcome(get).where("is_new").select("fingerprint")
+
+
+_REQUESTS = "SELECT DISTINCT fingerprint, CASE ord % 4 WHEN 0 THEN 'resolve' WHEN 1 THEN 'verify' WHEN 2 THEN 'dismiss' ELSE 'reopen' END AS action FROM {ledger} UNION ALL SELECT 'no such finding', 'resolve'"
+
+
+@query(
+    "j07_decisions",
+    f"""{_LAST}, r AS ({_REQUESTS}), c AS (SELECT fingerprint FROM r WHERE action IN ('dismiss', 'reopen') GROUP BY fingerprint HAVING count(DISTINCT action) = 2),
+    x AS (SELECT r.fingerprint, action, type AS state, c.fingerprint IS NOT NULL AND action IN ('dismiss', 'reopen') AS clash FROM r LEFT JOIN last USING (fingerprint) LEFT JOIN c USING (fingerprint))
+    SELECT fingerprint, action, state, CASE WHEN clash THEN NULL WHEN action = 'resolve' AND state IN ('observed', 'baselined') THEN 'resolved' WHEN action = 'verify' AND state = 'unverified' THEN 'observed'
+      WHEN action = 'dismiss' AND state = 'unverified' THEN 'revoked' WHEN action = 'reopen' AND state = 'revoked' THEN 'unverified' END AS event,
+      action = 'resolve' AND coalesce(state, '') = 'baselined' AS warns FROM x""",
+)
+def j07(get):
+    rows = get("ledger")
+    action = F.element_at(F.array(*map(F.lit, ("resolve", "verify", "dismiss", "reopen"))), (F.col("ord") % 4 + 1).cast("int"))
+    requests = rows.select("fingerprint", action.alias("action")).distinct()
+    requests = requests.unionByName(rows.sparkSession.createDataFrame([("no such finding", "resolve")], "fingerprint string, action string"))
+    return ledger.decide(requests, ledger.latest(rows)).select("fingerprint", "action", "state", "event", F.coalesce("warns", F.lit(False)).alias("warns"))
+
+
+@query("j08_axiom_links", "SELECT 'axiom' || CAST(o_orderkey AS STRING) AS axiom_id, 'missing' || CAST(o_orderkey AS STRING) AS missing FROM {orders} WHERE o_orderkey % 2 = 0")
+def j08(get):
+    last = ledger.latest(get("ledger"))
+    first = last.agg(F.min("fingerprint").alias("f"))
+    links = F.when(F.col("o_orderkey") % 2 == 0, F.concat("f", F.lit(" , missing"), F.col("o_orderkey").cast("string"), F.lit(",,"))).otherwise(F.col("f"))
+    declared = get("orders").join(F.broadcast(first), how="cross").select(F.concat(F.lit("axiom"), F.col("o_orderkey").cast("string")).alias("axiom_id"), links.alias("links"))
+    return ledger.missing_links(declared, last)
+
+
+_AXIOM = "SELECT axiom_id, CASE arg_max(type, ord) WHEN 'declared' THEN 'active' ELSE arg_max(type, ord) END AS state, arg_max(scope, ord) FILTER (WHERE type = 'declared') AS scope FROM {axioms} GROUP BY axiom_id"
+
+
+@query("p14_axioms", _AXIOM)
+def p14(get):
+    return ledger.axiom_states(get("axioms")).select("axiom_id", "state", "scope")
+
+
+@query("j09_axiom_decisions", f"SELECT r.axiom_id, CASE WHEN s.state IS NULL THEN 'unknown axiom' WHEN s.state <> 'active' THEN 'axiom is ' || s.state END AS rejected FROM (SELECT 'axiom' || CAST(r_regionkey + 2 AS STRING) AS axiom_id FROM {{region}}) r LEFT JOIN ({_AXIOM}) s ON r.axiom_id = s.axiom_id")
+def j09(get):
+    asked = get("region").select(F.concat(F.lit("axiom"), (F.col("r_regionkey") + 2).cast("string")).alias("axiom_id"))
+    return ledger.axiom_decisions(asked, ledger.axiom_states(get("axioms"))).select("axiom_id", "rejected")
+
+
+@query("x07_baseline", f"{_LAST} SELECT fingerprint, 'baselined' AS type, TIMESTAMP '2024-03-01 00:00:00' AS expires_at FROM last WHERE type = 'observed' OR type = 'baselined' AND expires_at <= {_LIVE}")
+def x07(get):
+    return ledger.baseline_events(ledger.latest(get("ledger")), LEDGER_AS_OF).select("fingerprint", "type", "expires_at")
+
+
+@query("p16_lookup", f"{_LAST} SELECT fingerprint, type FROM last WHERE fingerprint IN (SELECT fingerprint FROM {{current}})")
+def p16(get):
+    return ledger.lookup(ledger.latest(get("ledger")), get("current")).select("fingerprint", "type")
+
+
+# ---- insight
+
+
+def _coupling(get: Get) -> DataFrame:
+    e = _edges(get)
+    names = [f"@acme/{k}" for k in ("economy", "promo", "standard")]
+    rows = [boundary.violations(e, boundary.Layer(n)) for n in names]
+    both = reduce(DataFrame.unionByName, rows)
+    folded = identity.fold_findings(both.withColumn("package_root", F.get_json_object(F.get("artifacts", F.lit(0))["data"], "$.packageRoot")))
+    return folded.select("rule_id", "instance_id", "fingerprint", "package_root", "dependency")
+
+
+_BOUNDS = """WITH v AS (SELECT DISTINCT from_pkg_name AS boundary, from_pkg_root AS root, to_path FROM {edges} WHERE from_pkg_name IN ('@acme/economy', '@acme/promo', '@acme/standard') AND NOT (NOT is_external AND starts_with(to_path, from_pkg_root || '/'))),
+  b AS (SELECT boundary, root, count(*) AS violation_count FROM v GROUP BY boundary, root)"""
+
+
+@query("a06_boundaries", f"{_BOUNDS} SELECT boundary, root || '/**' AS root, violation_count FROM b")
+def a06(get):
+    return erosion.boundaries(erosion.findings_for(_coupling(get), ["coupling/pure-imports"])).select("boundary", "root", "violation_count")
+
+
+@query("a08_erosion", f"{_BOUNDS}, c AS (SELECT path, count(*) AS count {_WINDOW} GROUP BY path) SELECT boundary, CAST(sum(count) AS BIGINT) AS churn_total, count(*) AS hot_files, arg_min(path, (-count, path)) AS hottest, any_value(violation_count) AS violation_count FROM b JOIN c ON starts_with(path, root || '/') GROUP BY boundary")
+def a08(get):
+    counts = git_rules.churn_counts(get("commits"), get("changes"), AS_OF, 90)
+    found = erosion.erosion(erosion.boundaries(_coupling(get)), counts)
+    return found.select("boundary", "churn_total", "hot_files", "hottest", "violation_count")
+
+
+# ---- scoring
+
+
+@query("s14_tokens", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM {documents}")
+def s14(get):
+    return get("documents").select("doc_id", budget.tokens(F.col("text")).alias("tokens"))
+
+
+@query("s18_cache_keys", "SELECT doc_id, SHA[lang || chr(31) || source] AS key FROM {documents}")
+def s18(get):
+    return get("documents").select("doc_id", budget.cache_key(F.col("lang"), F.col("source")).alias("key"))
+
+
+@query("a11_usage", "SELECT CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(count(*) * 29 AS BIGINT) AS output_tokens FROM {items}")
+def a11(get):
+    per = budget.output_estimate({"type": "object", "properties": {"confidence": {"type": "number"}, "flag": {"type": "boolean"}, "ok": {"type": "integer"}}}) - 6
+    rows = get("items").select(F.col("tokens").alias("input_tokens"), F.lit(per).cast("long").alias("output_tokens")).withColumn("cost", budget.cost(F.col("input_tokens"), F.col("output_tokens"), 1e-6, 5e-6))
+    return scoring.usage(rows).select("input_tokens", "output_tokens")
+
+
+@query("j12_cache_plan", "SELECT cache_key, CASE WHEN original_index % 3 = 0 THEN 'hit' ELSE 'miss' END AS part FROM {items} UNION ALL SELECT SHA['old' || CAST(doc_id AS STRING)], 'stale' FROM {labels}")
+def j12(get):
+    items = get("items")
+    cache = items.where("original_index % 3 = 0").select("cache_key").unionByName(get("labels").select(F.sha2(F.concat(F.lit("old"), F.col("doc_id").cast("string")), 256).alias("cache_key")))
+    return scoring.cache_plan(items, cache)
+
+
+@query(
+    "w06_batches",
+    """WITH RECURSIVE i AS (SELECT original_index, tokens, row_number() OVER (ORDER BY original_index) AS n FROM {items}),
+    b AS (SELECT n, original_index, tokens AS used, 1 AS held, 0 AS batch_no FROM i WHERE n = 1
+      UNION ALL SELECT i.n, i.original_index, CASE WHEN used + tokens > 10000 OR held >= 20 THEN tokens ELSE used + tokens END, CASE WHEN used + tokens > 10000 OR held >= 20 THEN 1 ELSE held + 1 END, batch_no + CASE WHEN used + tokens > 10000 OR held >= 20 THEN 1 ELSE 0 END
+      FROM b JOIN i ON i.n = b.n + 1)
+    SELECT original_index, batch_no FROM b""",
+)
+def w06(get):
+    return scoring.batches(get("items"), 10_000, 20).select("original_index", "batch_no")
+
+
+@query("x03_scores", "SELECT doc_id AS original_index, CAST(length(text) % 7 AS BIGINT) AS confidence FROM {documents}")
+def x03(get):
+    """A scorer that says the text's length modulo 7, in reverse order, over packed batches in eight groups."""
+    def scorer(keys, texts):
+        return [(k, float(len(t) % 7)) for k, t in zip(keys, texts, strict=True)][::-1]
+
+    items = get("items").join(get("documents").select(F.col("doc_id").alias("original_index"), F.col("text").alias("serialized")), "original_index")
+    return scoring.score_batches(scoring.batches(items, 10_000, 20, groups=8), scorer).select("original_index", F.col("confidence").cast("long").alias("confidence"))
+
+
+# ---- extraction
+
+
+@query("e02_literals", "SELECT page_id, 'string' AS kind, '</p>' AS value FROM {pages} UNION ALL SELECT page_id, 'number', regexp_extract(html, 'track[(]([0-9]+)[)]', 1) FROM {pages}")
+def e02(get):
+    """Literals of the pages' scripts."""
+    source = get("pages").select("page_id", F.regexp_extract("html", r'<script>(var t="</p>";.*?)</script>', 1).alias("content"))
+    return extraction.literals(source).select("page_id", "kind", "value")
+
+
+@query("e01_imports", "SELECT page_id, '@x/' || CAST(page_id % 7 AS STRING) AS specifier, true AS is_external, CAST(2 AS INT) AS line FROM {pages} UNION ALL SELECT page_id, './lib/' || CAST(page_id % 3 AS STRING), false, 1 FROM {pages}")
+def e01(get):
+    """Imports of sources written from the pages' ids; types and comments don't count."""
+    i = F.col("page_id")
+    text = F.concat(F.lit("import a from './lib/"), (i % 3).cast("string"), F.lit("'; import type T from './t'\nconst b = require('@x/"), (i % 7).cast("string"), F.lit("') // require('no')\n"))
+    found = extraction.imports(get("pages").select("page_id", text.alias("content")))
+    return found.select("page_id", "specifier", paths.is_external(F.col("specifier")).alias("is_external"), "line")
+
+
+@query("e03_bindings", "SELECT page_id, 'pack-unpack' AS pattern_id, 'pack' AS role, CAST(page_id % 4 AS STRING) AS binding_key, 'f' AS containing_function FROM {pages} UNION ALL SELECT page_id, 'pack-unpack', 'unpack', ':', 'f' FROM {pages} UNION ALL SELECT page_id, 'date-format', 'read', '', 'f' FROM {pages}")
+def e03(get):
+    text = F.concat(F.lit("function f(x) { return x.join('"), (F.col("page_id") % 4).cast("string"), F.lit("') + x.split(\":\") + x.split(y) + new Date(x) }"))
+    found = extraction.bindings(extraction.calls(get("pages").select("page_id", text.alias("content"))))
+    return found.select("page_id", "pattern_id", "role", "binding_key", "containing_function")
+
+
+# ---- streaming
+
+
+def _drain(df: DataFrame, mode: str) -> DataFrame:
+    name = f"s{uuid.uuid4().hex}"
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # the table is a file or a folder; as a pattern it may be either
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger fold over a stream of events."""
+    e = _stream(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("fingerprint"), F.col("event_id").alias("ord"), F.col("event_type").alias("type"))
+    return _drain(jobs.fold_stream(rows), "complete").select("fingerprint", "latest.ord", "latest.type")
+
+
+def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn in tumbling windows over a stream of changes."""
+    e = _stream(spark, sf_dir, "events")
+    rows = e.select(F.col("ts").cast("timestamp").alias("date"), F.col("event_type").alias("path"))
+    out = _drain(jobs.churn_stream(rows, "1 day", late="60 days"), "complete")
+    return out.select(F.col("w.start").alias("day"), "path", "count")
+
+
+QUERIES |= {"t01_stream_fold": t01, "t02_stream_churn": t02}
+ORACLE_SQL |= {
+    "t01_stream_fold": "SELECT CAST(user_id AS VARCHAR) AS fingerprint, max(event_id) AS ord, arg_max(event_type, event_id) AS type FROM events GROUP BY user_id",
+    "t02_stream_churn": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type AS path, count(*) AS count FROM events GROUP BY 1, 2",
+}
+
+
+# ---- runner
+
+
+@query("x06_runner", "SELECT fingerprint, n, requires_verification FROM (SELECT SHA[" + _json('{"data":{"path":"', "path", '"},"ruleId":"git/churn@v1"}') + f"] AS fingerprint, CAST(1 AS BIGINT) AS n, false AS requires_verification FROM (SELECT path {_WINDOW} GROUP BY path HAVING count(*) >= 3) c UNION ALL SELECT SHA[{_LITERAL_ID}], CAST(count(*) AS BIGINT), true FROM {{constants}} GROUP BY kind, value HAVING count(DISTINCT file) >= 2) x")
+def x06(get):
+    """Two rules over two collectors; literals are supplied by an enricher, so their findings await verification."""
+    git = runner.Collector("git", ("git_commits", "git_file_changes"), lambda _: {"git_commits": get("commits"), "git_file_changes": get("changes")})
+    lit = runner.Enricher("literals", ("git_commits",), ("constants",), lambda _: {"constants": get("constants").withColumnRenamed("col", "column")})
+
+    def churn(facts):
+        found = git_rules.churn_findings(git_rules.churn_counts(facts["git_commits"], facts["git_file_changes"], AS_OF, 90), 3)
+        return found.withColumn("ord", F.struct("path"))
+
+    def literal(facts):
+        found = grouping.literal_findings(facts["constants"])
+        return found.withColumn("instance_id", F.col("rule_id")).withColumn("message", F.col("value")).withColumn("ord", F.struct("kind", "value"))
+
+    rules = [runner.Rule("churn", ("git_commits", "git_file_changes"), churn), runner.Rule("literals", ("constants",), literal), runner.Rule("idle", ("call_nodes",), churn)]
+    found = runner.run([git], rules, [lit]).findings
+    return found.select("fingerprint", F.size("artifacts").cast("long").alias("n"), "requires_verification")
