@@ -60,7 +60,7 @@ class ByteBpe:
         self.tokens = [b""] * size
         for t, r in ranks.items():
             self.tokens[r] = t
-        self.memory = Memory(self._encode_pieces)
+        self.memory = Memory(self._encode_pieces, 100_000)
         self.words = Memory(self._encode_words)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:

@@ -181,12 +181,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     lists = one.mapInArrow(postings, "token long, doc long, pos int, n int, level short")
     lists = cut(lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c"))
-    lists = cut(_bounded(lists, num, den))
+    bounded = cut(_bounded(lists, num, den))
     home = classes.select(F.col("rep").alias("doc")).distinct().withColumn("comp", F.col("doc"))
     seen: DataFrame | None = None
     links: DataFrame | None = None
     for star in range(STARS + 1):
-        now = lists.join(home, "doc") if links is not None else lists.withColumn("comp", F.col("doc"))
+        now = bounded.join(home, "doc") if links is not None else bounded.withColumn("comp", F.col("doc"))
         heads = now.groupBy("token").agg(F.min(F.struct("comp", "doc")).alias("lo"), F.max("comp").alias("hi")).where(F.col("lo.comp") != F.col("hi")).select("token", F.col("lo.comp").alias("hc"), F.col("lo.doc").alias("head"))
         now = now.join(heads, "token")
         if star < STARS:
@@ -194,15 +194,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             pairs = pairs.groupBy("doc").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
             pairs = pairs.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
         else:
-            cols = [F.col(c) for c in ("doc", "comp", "pos", "n", "level", "most")]
-            x = now.select("token", *(c.alias(f"{n}a") for c, n in zip(cols, ("", "c", "p", "n", "l", "m"), strict=True)))
-            y = now.select("token", *(c.alias(f"{n}b") for c, n in zip(cols, ("", "c", "p", "n", "l", "m"), strict=True)))
-            both = x.join(y, "token").where("a < b and ca != cb and na <= mb and nb <= ma").withColumn("level", F.least("la", "lb"))
-            inside = lambda c: F.col(f"p{c}") < F.col(f"n{c}") - least_overlap(F.col(f"n{c}"), num, den, F.floor) + F.col("level")
-            pairs = both.where(inside("a") & inside("b")).groupBy("a", "b", "na", "nb", "level").agg(F.count(F.lit(1)).alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-            # what is shared up to the last shared prefix shingle, and at most all that follows it
-            reach = F.col("n") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-            pairs = pairs.where((F.col("n") >= F.col("level")) & (reach * (num + den) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
+            pairs = _across(now, lists, num, den)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -234,6 +226,23 @@ def _bounded(lists: DataFrame, num: int, den: int) -> DataFrame:
     return x.join(least, "token").where("most >= least").drop("least")
 
 
+def _across(now: DataFrame, lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): the pairs of different components that may be similar, each once, at its first shared shingle.
+
+    Two prefixes show every shared shingle up to the end of the one that ends first, so the overlap is at most what
+    they share and what that document has left.
+    """
+    prefixes = lists.join(now.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p")).select("doc", F.col("p.token").alias("prefix"))
+    rows = now.select("token", "doc", "comp", "n", "level", "most").join(prefixes, "doc")
+    names = [c for c in rows.columns if c != "token"]
+    x, y = (rows.select("token", *(F.col(c).alias(c + side) for c in names)) for side in ("_a", "_b"))
+    shared = F.array_intersect("prefix_a", "prefix_b")
+    left = lambda s: least_overlap(F.col(f"n_{s}"), num, den, F.floor) - F.col(f"level_{s}")
+    both = x.join(y, "token").where("doc_a < doc_b and comp_a != comp_b and n_a <= most_b and n_b <= most_a").where(F.get(shared, F.lit(0)) == F.col("token"))
+    enough = (F.size(shared) + F.greatest(left("a"), left("b"))) * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
+    return both.where((F.size(shared) >= F.least("level_a", "level_b")) & enough).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
 def _homes(classes: DataFrame, links: DataFrame) -> DataFrame:
     all_of = classes.select(F.col("rep").alias("doc")).distinct()
     return cut(all_of.join(components(links).toDF("doc", "root"), "doc", "left").select("doc", F.coalesce("root", "doc").alias("comp")))

@@ -56,7 +56,7 @@ class WordBpe:
         self.find = regex.compile(WORDS).findall
         self.chars = {b: c for c, b in byte_table().items()}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words, self.runs = Memory(self._encode_words), Memory(self._encode_runs)
+        self.words, self.runs = Memory(self._encode_words, 100_000), Memory(self._encode_runs)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         spelled = [w if w.isascii() and w.isprintable() else "".join(map(self.chars.__getitem__, w.encode("utf-8", "surrogatepass"))) for w in words]

@@ -37,7 +37,7 @@ class PieceCounter:
         self.splits = not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
         # with a letter and a line feed in front, the model neither adds a space mark nor sees what stood before
         self.lead = len(self.model.encode("a\n"))
-        self.memory = Memory(lambda new: [len(x) - self.lead for x in self.model.encode(["a\n" + t for t in new], num_threads=1)])
+        self.memory = Memory(lambda new: [len(x) - self.lead for x in self.model.encode(["a\n" + t for t in new], num_threads=1)], 100_000)
         self.words = Memory(lambda new: self.memory.make([w if w[:1] == "\n" else MARK + w for w in new]))
         self.splits = self.splits and self.model.encode("a  b \n c", out_type=str)[:3] == [MARK + "a", MARK, MARK + "b"]
 

@@ -13,8 +13,8 @@ import sys
 from array import array
 from collections.abc import Callable
 
-#: Entries of a worker's memory of pre-tokens.
-ENTRIES = 500_000
+#: Entries of a worker's memory of pre-tokens, unless it is made smaller.
+ENTRIES = 400_000
 _loaded: dict = {}
 _OTHER = re.compile(r"[^\S \n]").search
 
@@ -22,13 +22,13 @@ _OTHER = re.compile(r"[^\S \n]").search
 class Memory:
     """Pre-token -> value. ``make`` gives the values of a list of new pre-tokens at once."""
 
-    def __init__(self, make: Callable[[list[str]], list]):
-        self.make, self.known = make, {}
+    def __init__(self, make: Callable[[list[str]], list], entries: int = ENTRIES):
+        self.make, self.entries, self.known = make, entries, {}
 
     def look(self, texts: list[list[str]]) -> Callable:
         """A look-up that knows every pre-token of ``texts``."""
         new = [t for t in set().union(*texts).difference(self.known)] if texts else []
-        if len(self.known) + len(new) > ENTRIES:
+        if len(self.known) + len(new) > self.entries:
             self.known = {}
             new = list(set().union(*texts))
         self.known.update(zip(new, self.make(new), strict=True))
