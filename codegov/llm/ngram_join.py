@@ -42,6 +42,9 @@ COUNTERS = 1 << 18
 LEVELS = 4
 #: Cost of verifying a candidate, in postings.
 VERIFY_COST = 25.0
+#: Bits of a set's parity sketch, in longs.
+SKETCH = 8
+SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
 #: Star rounds before the exact step.
 STARS = 3
 
@@ -51,12 +54,26 @@ def least_overlap(n, num: int, den: int, floor: Callable | None = None):
     return floor((n * num + den - 1) / den) if floor else (n * num + den - 1) // den
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Bit h of the sketch tells whether an odd number of the set's shingles hash to h.
+
+    Sketches of two sets differ in at most as many bits as the sets differ in shingles, so too many differing bits prove
+    that a pair isn't similar, and a similar pair never has them.
+    """
+    bits = np.bincount((mix(tokens ^ np.uint64(0x632BE59BD9B4E019)) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(words: int):
     def run(batches):
         for b in batches:
-            sets = list(shingle_sets(b.column("text"), words))
-            keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "key"])
+            sizes, keys, sketches = [], [], np.zeros((len(b), SKETCH), np.int64)
+            for i, s in enumerate(shingle_sets(b.column("text"), words)):
+                sizes.append(len(s))
+                keys.append(set_key(s))
+                sketches[i] = parity_sketch(s)
+            columns = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(sketches[:, k]) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", *SKETCH_COLUMNS])
 
     return run
 
@@ -160,8 +177,10 @@ def _verify(words: int, num: int, den: int):
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: components of the links with Jaccard >= num/den."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(docs.mapInArrow(_sets(words), "doc_id long, n_shingles long, key binary"))
-    classes = cut(sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    sets = cut(docs.mapInArrow(_sets(words), f"doc_id long, n_shingles long, key binary, {', '.join(f'{c} long' for c in SKETCH_COLUMNS)}"))
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "n_shingles")
+    # equal sets have equal sketches
+    classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in SKETCH_COLUMNS)))
     size = classes.agg(F.count("*").alias("n"), F.max("copies").alias("copies")).first()
     if size["n"] <= 1:
         return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")) if (size["copies"] or 0) <= 1 else _named(sets, classes, None)
@@ -194,15 +213,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             pairs = pairs.groupBy("doc").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
             pairs = pairs.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
         else:
-            cols = [F.col(c) for c in ("doc", "comp", "pos", "n", "level", "most")]
-            x = now.select("token", *(c.alias(f"{n}a") for c, n in zip(cols, ("", "c", "p", "n", "l", "m"), strict=True)))
-            y = now.select("token", *(c.alias(f"{n}b") for c, n in zip(cols, ("", "c", "p", "n", "l", "m"), strict=True)))
-            both = x.join(y, "token").where("a < b and ca != cb and na <= mb and nb <= ma").withColumn("level", F.least("la", "lb"))
-            inside = lambda c: F.col(f"p{c}") < F.col(f"n{c}") - least_overlap(F.col(f"n{c}"), num, den, F.floor) + F.col("level")
-            pairs = both.where(inside("a") & inside("b")).groupBy("a", "b", "na", "nb", "level").agg(F.count(F.lit(1)).alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-            # what is shared up to the last shared prefix shingle, and at most all that follows it
-            reach = F.col("n") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-            pairs = pairs.where((F.col("n") >= F.col("level")) & (reach * (num + den) >= num * (F.col("na") + F.col("nb")))).select("a", "b")
+            pairs = _candidates(now, classes.select(F.col("rep").alias("doc"), F.col("n_shingles").cast("int").alias("n"), *SKETCH_COLUMNS), num, den)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -220,6 +231,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     return _named(sets, classes, links)
 
 
+def _candidates(now: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) across components that share enough prefix shingles at positions that allow enough overlap.
+
+    Near copies share hundreds of prefix shingles, and most of those stand in the same lists. Shingles whose lists hold
+    the same documents are one group here: a document has one row a group, with the number of its shingles and the last
+    position, so a pair meets once a group and not once a shingle. The groups' key is 64 bits of xor and the sum of 31
+    bits over the list, with its length; xor alone would cancel repeated rows of a document. Variants of one text that
+    are just not similar share many groups; the join leaves out pairs whose sketches prove that.
+    """
+    h = F.xxhash64("doc")
+    lists = now.groupBy("token").agg(F.count(F.lit(1)).alias("g0"), F.bit_xor(h).alias("g1"), F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("g2"))
+    group = ["g0", "g1", "g2"]
+    rows = now.join(lists, "token").groupBy(*group, "doc", "comp", "n", "level").agg(F.count(F.lit(1)).alias("w"), F.max("pos").alias("last"), F.max("most").alias("most"))
+    rows = rows.join(sketches, ["doc", "n"])
+    side = lambda s: rows.select(*group, F.col("doc").alias(s), *(F.col(c).alias(c + s) for c in ("comp", "n", "level", "w", "last", "most", *SKETCH_COLUMNS)))
+    both = side("a").join(side("b"), group).where("a < b and compa != compb and na <= mostb and nb <= mosta")
+    differing = " + ".join(f"bit_count({c}a ^ {c}b)" for c in SKETCH_COLUMNS)
+    both = both.where(f"({differing}) * {num + den} <= (na + nb) * {den - num}")
+    pairs = both.groupBy("a", "b", "na", "nb", F.least("levela", "levelb").alias("level")).agg(F.sum(F.least("wa", "wb")).alias("shared"), F.max("lasta").alias("pa"), F.max("lastb").alias("pb"))
+    # what is shared up to the last shared prefix shingle, and at most all that follows it
+    reach = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.where((F.col("shared") >= F.col("level")) & (reach * (num + den) >= num * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+
+
 def _bounded(lists: DataFrame, num: int, den: int) -> DataFrame:
     """The postings with ``most``: the largest set that can be similar through this shingle; hopeless ones go.
 
@@ -248,7 +283,7 @@ def _named(sets: DataFrame, classes: DataFrame, links: DataFrame | None) -> Data
         named = named.withColumnRenamed("doc", "root").select("key", "n_shingles", "root")
     # a class with thousands of copies is one join key: both sides are dealt by (key, salt)
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = sets.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+    rows = sets.select("doc_id", "n_shingles", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
     out = rows.join(salted, ["key", "n_shingles", "salt"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
