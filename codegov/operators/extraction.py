@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, strings and templates of the language, and numbers outside them.
-LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|$)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`|(?<![\w.$])(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w$])", re.S)
+#: Comments, strings and numbers outside them, and what opens or closes a template or its substitutions.
+LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|$)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|[`{}]|(?<![\w.$])(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w$])", re.S)
+#: The fixed part of a template up to its end or its next substitution.
+PIECE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(?:`|\$\{)", re.S)
+#: White space, also written as escapes; a template's first or last part of nothing else doesn't count.
+SPACE = re.compile(r"(?:\s|\\[ntrfv0])*")
 IMPORTS = (
     ("require", re.compile(r"\brequire\s*\(\s*(?=['\"])")), ("dynamic", re.compile(r"\bimport\s*\(\s*(?=['\"])")),
     ("static", re.compile(r"(?:^|[;\n}])\s*import\s+(?!type\b)(?:[\w*${}\s,]+\sfrom\s+)?(?=['\"])")),
@@ -18,18 +22,34 @@ IMPORTS = (
 BEFORE_SPECIFIER = re.compile(r"(?:\bfrom|\bimport|\brequire\s*\(|\bimport\s*\()\s*$")
 TYPEOF = re.compile(r"\btypeof\s+[\w.$]+\s*[!=]==?\s*$")
 FUNCTION = re.compile(r"\bfunction\s+([\w$]+)\s*\(")
-#: Preset matchers: pattern, role, kind of site, callee, index of the argument that binds (fixed values).
+#: Preset matchers: pattern, role, kind of site, callee, index of the argument that binds (fixed values). A template's
+#: argument is one of its fixed parts.
 PRESETS = (
-    ("pack-unpack", "pack", "call", r"\bjoin", 0), ("pack-unpack", "unpack", "call", r"\bsplit", 0), ("file-encoding", "write", "call", r"\bwriteFileSync", 2), ("file-encoding", "read", "call", r"\breadFileSync", 1),
-    ("hash-algo", "hash", "call", r"\bcreateHash", 0), ("buffer-encoding", "encode", "call", r"\btoString", 0), ("buffer-encoding", "decode", "call", r"\bBuffer\.from", 1), ("date-format", "write", "call", r"\btoISOString", None), ("date-format", "read", "new", r"\bDate", None),
+    ("pack-unpack", "pack", "call", r"\.join$", 0), ("pack-unpack", "pack", "template", r"^template-literal$", 0), ("pack-unpack", "unpack", "call", r"\.split$", 0),
+    ("file-encoding", "read", "call", r"^readFile(Sync)?$", 1), ("file-encoding", "write", "call", r"^writeFile(Sync)?$", 2), ("hash-algo", "hash", "call", r"^createHash$", 0),
+    ("buffer-encoding", "encode", "call", r"^Buffer\.from$", 1), ("buffer-encoding", "decode", "call", r"\.toString$", 0), ("date-format", "write", "call", r"\.toISOString$", None), ("date-format", "read", "new", r"^Date$", 0),
 )
 
 
 def tokens(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of comments, strings, templates and numbers."""
-    for m in LEX.finditer(text):
-        s = m.group()
-        yield m.start(), m.end(), "comment" if s[:2] in ("//", "/*") else "template" if s[0] == "`" else "string" if s[0] in "'\"" else "number"
+    """(start, end, kind) of comments, strings, fixed parts of templates and numbers; substitutions are code."""
+    at, depths = 0, []
+    while (m := LEX.search(text, at)) is not None:
+        s, at = m.group(), m.end()
+        if s == "{" and depths:
+            depths[-1] += 1
+        elif s == "}" and depths and depths[-1]:
+            depths[-1] -= 1
+        elif s == "`" or s == "}" and depths:
+            if s == "}":
+                depths.pop()
+            if (piece := PIECE.match(text, at)) is not None:
+                at = piece.end()
+                yield m.start(), at, "template"
+                if text[at - 1] == "{":
+                    depths.append(0)
+        elif s not in "{}":
+            yield m.start(), at, "comment" if s[:2] in ("//", "/*") else "string" if s[0] in "'\"" else "number"
 
 
 def blank(text: str, kinds: tuple[str, ...] = ("comment", "template")) -> str:
@@ -68,21 +88,75 @@ def literals_of(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def templates_of(text: str) -> list[tuple[int, list[str]]]:
+    """(start, segments) of templates with substitutions, in order of their starts."""
+    found, open_ = [], []
+    for a, b, kind in tokens(text):
+        if kind != "template":
+            continue
+        if text[a] == "`":
+            open_.append((a, []))
+        start, parts = open_[-1]
+        parts.append(text[a + 1 : b - (2 if text[b - 1] == "{" else 1)])
+        if text[b - 1] == "`":
+            open_.pop()
+            ends = (0, len(parts) - 1)
+            if len(parts) > 1:
+                found.append((start, [p for k, p in enumerate(parts) if p and not (k in ends and SPACE.fullmatch(p))]))
+    return sorted(found)
+
+
 def template_segments(text: str) -> list[str]:
-    """The fixed parts of a template literal's inside; a first or last part of white space only goes."""
-    parts = re.split(r"\$\{[^}]*\}", text)
-    if parts and not parts[0].strip():
-        parts = parts[1:]
-    if parts and not parts[-1].strip():
-        parts = parts[:-1]
-    return parts
+    """The fixed parts of a template literal's inside; empty ones and a first or last part of white space only go."""
+    return [s for _, segments in templates_of(f"`{text}`")[:1] for s in segments]
+
+
+def _receiver(plain: str, ends: dict[int, int], at: int) -> int:
+    """Where the expression starts that ends in a dot before ``at``, or ``at`` if there is none."""
+    while (m := re.search(r"(\?)?\.\s*$", plain[max(0, at - 100) : at])) is not None:
+        k = at - len(m.group())
+        while k and plain[k - 1].isspace() and k not in ends:
+            k -= 1
+        start = k
+        while k and (k in ends or plain[k - 1] in ")]"):
+            if k in ends:
+                k = ends[k]
+                continue
+            depth = 0
+            while k:
+                k -= 1
+                depth += (plain[k] in ")]}") - (plain[k] in "([{")
+                if not depth:
+                    break
+        while k and re.match(r"[\w$]", plain[k - 1]):
+            k -= 1
+        if k == start:
+            return at
+        if new := re.search(r"\bnew\s+$", plain[max(0, k - 20) : k]):
+            k -= len(new.group())
+        at = k
+    return at
 
 
 def calls_of(text: str) -> list[tuple[str, str, list, int, int, str | None]]:
-    """(kind, callee, arguments, line, column, function): calls and constructions; arguments are literals or null."""
-    plain = blank(text, ("comment", "template", "string"))
-    strings = sorted((a, text[a + 1 : b - 1]) for a, b, kind in tokens(text) if kind == "string")
+    """(kind, callee, arguments, line, column, function): calls, constructions and segments of templates.
+
+    Arguments are literals or null; a segment is the one argument of a row of kind ``template``.
+    """
+    plain, code = blank(text, ("comment", "template", "string")), blank(text, ("comment",))
+    spans = list(tokens(text))
+    strings = {a: b for a, b, kind in spans if kind == "string"}
+    ends = {b: a for a, b, kind in spans if kind == "string"} | {e: a for a, e in _whole_templates(text, spans)}
     names = [(m.start(), m.group(1)) for m in FUNCTION.finditer(plain)]
+
+    def home(at: int) -> str | None:
+        return next((n for s, n in reversed(names) if s < at), None)
+
+    def literal(a: int, b: int) -> str | None:
+        inside = code[a:b]
+        start = a + len(inside) - len(inside.lstrip())
+        return text[start + 1 : strings[start] - 1] if strings.get(start) == a + len(inside.rstrip()) else None
+
     out = []
     for m in re.finditer(r"(\bnew\s+)?((?:[\w$]+\.)*[\w$]+)\s*\(", plain):
         depth, at, cuts = 1, m.end(), [m.end() - 1]
@@ -93,12 +167,25 @@ def calls_of(text: str) -> list[tuple[str, str, list, int, int, str | None]]:
                 cuts.append(at)
             at += 1
         cuts.append(at - 1)
-        arguments = [next((v for s, v in strings if a < s < b and not text[a + 1 : s].strip()), None) for a, b in zip(cuts, cuts[1:], strict=False)]
-        home = [n for s, n in names if s < m.start()]
-        out.append(("new" if m.group(1) else "call", m.group(2), arguments, *place(text, m.start(2)), home[-1] if home else None))
+        arguments = [literal(a + 1, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+        start = m.start(2) if m.group(1) else _receiver(plain, ends, m.start(2))
+        out.append(("new" if m.group(1) else "call", text[start : m.end(2)], arguments, *place(text, start), home(m.start())))
+    for at, segments in templates_of(text):
+        out += [("template", "template-literal", [s], *place(text, at), home(at)) for s in segments]
     return out
 
 
+def _whole_templates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of templates, with their substitutions."""
+    open_ = []
+    for a, b, kind in spans:
+        if kind == "template":
+            if text[a] == "`":
+                open_.append(a)
+            if text[b - 1] == "`":
+                yield open_.pop(), b
+
+
 def _each(sources: DataFrame, work, fields: str, arrow: list[pa.DataType]) -> DataFrame:
     names = [f.split(" ")[0] for f in fields.split(", ")]
     keys = [c for c in sources.columns if c != "content"]
@@ -132,10 +219,10 @@ def calls(sources: DataFrame) -> DataFrame:
 
 
 def bindings(found: DataFrame, matchers=PRESETS) -> DataFrame:
-    """Call sites that match a pattern's role. Matchers are configuration, so each is one column over the sites."""
+    """Sites that match a pattern's role. Matchers are configuration, so each is one column over the sites."""
     hits = [
         F.when(
-            (F.col("kind") == kind) & F.col("callee").rlike(callee + "$") & (F.lit(True) if k is None else F.get("arguments", F.lit(k)).isNotNull()),
+            (F.col("kind") == kind) & F.col("callee").rlike(callee) & (F.lit(True) if k is None else F.get("arguments", F.lit(k)).isNotNull()),
             F.struct(F.lit(pattern).alias("pattern_id"), F.lit(role).alias("role"), (F.lit("") if k is None else F.get("arguments", F.lit(k))).alias("binding_key")),
         )
         for pattern, role, kind, callee, k in matchers

@@ -122,6 +122,20 @@ def test_extraction():
     assert extraction.template_segments(" ${a}:${b} ") == [":"]
 
 
+def test_bindings_follow_the_reference_presets(spark):
+    text = "function f(a, b, y) { x = `${a}:${b}`; w = `id-${g(`${a}|${y.join(';')}`)} - ${b}\\n`; q = `fixed`\nd = new Date('2020-01-01') + new Date(x) + new Date().toISOString() + a.join('-' + b) + split(' ')\ne = Buffer.from(a, 'base64'), h = c().toString('hex'), k = 'a,b'.split(',') }"
+    sources = spark.createDataFrame([(1, text)], "id int, content string")
+    got = sorted((r.pattern_id, r.role, r.function_name, r.binding_key) for r in extraction.bindings(extraction.calls(sources)).collect())
+    template = [("pack-unpack", "pack", "template-literal", k) for k in (":", "id-", " - ", "|")]
+    assert got == sorted([
+        *template, ("pack-unpack", "pack", "y.join", ";"), ("pack-unpack", "unpack", "'a,b'.split", ","), ("date-format", "read", "Date", "2020-01-01"), ("date-format", "write", "new Date().toISOString", ""),
+        ("buffer-encoding", "encode", "Buffer.from", "base64"), ("buffer-encoding", "decode", "c().toString", "hex"),
+    ])
+    back = spark.createDataFrame([(2, "function g(s) { return s.split(':') }")], "id int, content string")
+    both = extraction.bindings(extraction.calls(sources.union(back))).withColumn("file", F.col("id").cast("string"))
+    assert [r.binding_key for r in grouping.shared_algorithms(both).collect()] == [":"]
+
+
 def test_literals_count_files_once_and_keep_kinds_apart(spark):
     rows = spark.createDataFrame([("a", "string", "1", 1, 1), ("a", "string", "1", 2, 1), ("b", "number", "1", 1, 1)], "file string, kind string, value string, line int, column int")
     assert grouping.shared_literals(rows, 2).count() == 0 and grouping.shared_literals(rows, 1).count() == 2
