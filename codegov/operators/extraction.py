@@ -204,6 +204,23 @@ def _each(sources: DataFrame, work, fields: str, arrow: list[pa.DataType]) -> Da
     return sources.select(*keys, "content").mapInArrow(run, f"{kinds}, {fields}")
 
 
+def page_scripts(pages: DataFrame) -> DataFrame:
+    """(page_id, content): the body of every script of every page, whatever its attributes."""
+    bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>(.*?)</script(?=[\s/>])"), F.lit(1))
+    return pages.select("page_id", F.explode(bodies).alias("content"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, content): a source for every page with links, with an import of each anchor's href on a line of its own.
+
+    As in URLs, line feeds and tabs don't count and a backslash is a slash.
+    """
+    hrefs = F.regexp_extract_all("html", F.lit(r"(?is)<a\s(?:(?!href\s*=)[^>\s\"'][^>\s\"'=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?\s+|\s)*href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"), F.lit(1))
+    clean = F.transform(hrefs, lambda h: F.translate(F.translate(h, "\\", "/"), "\r\n\t", ""))
+    quoted = F.transform(clean, lambda h: F.when(F.substring(h, 1, 1).isin('"', "'"), h).otherwise(F.concat(F.lit('"'), h, F.lit('"'))))
+    return pages.select("page_id", F.concat_ws("\n", F.transform(quoted, lambda h: F.concat(F.lit("import "), h, F.lit(";")))).alias("content")).where("content != ''")
+
+
 def imports(sources: DataFrame) -> DataFrame:
     """(keys, specifier, line, column)."""
     return _each(sources, imports_of, "specifier string, line int, column int", [pa.string(), pa.int32(), pa.int32()])

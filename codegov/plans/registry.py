@@ -524,9 +524,8 @@ def x03(get):
 
 @query("e02_literals", "SELECT page_id, 'string' AS kind, '</p>' AS value FROM {pages} UNION ALL SELECT page_id, 'number', regexp_extract(html, 'track[(]([0-9]+)[)]', 1) FROM {pages}")
 def e02(get):
-    """Literals of the pages' scripts."""
-    source = get("pages").select("page_id", F.regexp_extract("html", r'<script>(var t="</p>";.*?)</script>', 1).alias("content"))
-    return extraction.literals(source).select("page_id", "kind", "value")
+    """Literals of all scripts of the pages."""
+    return extraction.literals(extraction.page_scripts(get("pages"))).select("page_id", "kind", "value")
 
 
 @query("e01_imports", "SELECT page_id, '@x/' || CAST(page_id % 7 AS STRING) AS specifier, true AS is_external, CAST(2 AS INT) AS line FROM {pages} UNION ALL SELECT page_id, './lib/' || CAST(page_id % 3 AS STRING), false, 1 FROM {pages}")
@@ -545,6 +544,22 @@ def e03(get):
     return found.select("page_id", "pattern_id", "role", "binding_key", "containing_function")
 
 
+@query("e04_page_imports", """SELECT page_id, specifier, NOT starts_with(specifier, '.') AS is_external, CAST(line AS INT) AS line FROM (
+    SELECT page_id, unnest(h) AS specifier, unnest(range(1, len(h) + 1)) AS line FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM {pages}) a) x""")
+def e04(get):
+    """Every anchor of the pages as an import."""
+    found = extraction.imports(extraction.page_links(get("pages")))
+    return found.select("page_id", "specifier", paths.is_external(F.col("specifier")).alias("is_external"), "line")
+
+
+@query("e05_page_bindings", "SELECT page_id, 'tracker' AS pattern_id, 'track' AS role, 'track' AS function_name, '' AS binding_key FROM (SELECT page_id, unnest(regexp_extract_all(html, '\\btrack[(]', 0)) AS c FROM {pages}) x")
+def e05(get):
+    """Bindings of all scripts of the pages; the presets, and a pattern of the calls that these pages make."""
+    matchers = (*extraction.PRESETS, ("tracker", "track", "call", r"^track$", None))
+    found = extraction.bindings(extraction.calls(extraction.page_scripts(get("pages"))), matchers)
+    return found.select("page_id", "pattern_id", "role", "function_name", "binding_key")
+
+
 # ---- streaming
 
 

@@ -136,6 +136,23 @@ def test_bindings_follow_the_reference_presets(spark):
     assert [r.binding_key for r in grouping.shared_algorithms(both).collect()] == [":"]
 
 
+def test_whole_pages_are_extracted(spark):
+    html = """<a class="x>y" href='/one'>1</a><abbr href="/no"></abbr><script type="module" data-x='a>b'>f("p");\ng(a.join("|"))</script><A HREF="/two\nb">2</A> <SCRIPT>h(`${x}:${y}`, 7)</SCRIPT ><a data-href="/no" href=/three>3</a><scripty>"no"</scripty><a name="n">4</a>"""
+    pages = spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page_id int, html string")
+    scripts, links = extraction.page_scripts(pages), extraction.page_links(pages)
+    assert sorted((r.kind, r.value) for r in extraction.literals(scripts).collect()) == [("number", "7"), ("string", "p"), ("string", "|")]
+    assert [(r.specifier, r.line) for r in extraction.imports(links).collect()] == [("/one", 1), ("/twob", 2), ("/three", 3)]
+    assert sorted((r.function_name, r.binding_key) for r in extraction.bindings(extraction.calls(scripts)).collect()) == [("a.join", "|"), ("template-literal", ":")]
+
+
+def test_e02_reads_every_script(spark, tmp_path):
+    from codegov.plans.registry import QUERIES
+
+    html = """<script>var t="</p>";track(1);</script><script defer>u("second")</script>"""
+    spark.createDataFrame([(1, html), (2, "<script>v('other', 5)</script>")], "page_id int, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.value) for r in QUERIES["e02_literals"](spark, str(tmp_path)).collect()) == [(1, "1"), (1, "</p>"), (1, "second"), (2, "5"), (2, "other")]
+
+
 def test_literals_count_files_once_and_keep_kinds_apart(spark):
     rows = spark.createDataFrame([("a", "string", "1", 1, 1), ("a", "string", "1", 2, 1), ("b", "number", "1", 1, 1)], "file string, kind string, value string, line int, column int")
     assert grouping.shared_literals(rows, 2).count() == 0 and grouping.shared_literals(rows, 1).count() == 2
