@@ -506,17 +506,17 @@ def j12(get):
     SELECT original_index, batch_no FROM b""",
 )
 def w06(get):
-    return scoring.batches(get("items"), 10_000, 20).select("original_index", "batch_no")
+    return scoring.batches(get("items").select("original_index", "tokens"), 10_000, 20).select("original_index", "batch_no")
 
 
 @query("x03_scores", "SELECT doc_id AS original_index, CAST(length(text) % 7 AS BIGINT) AS confidence FROM {documents}")
 def x03(get):
-    """A scorer that says the text's length modulo 7, in reverse order, over packed batches in eight groups."""
+    """A scorer that says the text's length modulo 7, in reverse order, over packed batches; texts come to their batches by index."""
     def scorer(keys, texts):
         return [(k, float(len(t) % 7)) for k, t in zip(keys, texts, strict=True)][::-1]
 
-    items = get("items").join(get("documents").select(F.col("doc_id").alias("original_index"), F.col("text").alias("serialized")), "original_index")
-    return scoring.score_batches(scoring.batches(items, 10_000, 20, groups=8), scorer).select("original_index", F.col("confidence").cast("long").alias("confidence"))
+    texts = get("documents").select(F.col("doc_id").alias("original_index"), F.col("text").alias("serialized"))
+    return scoring.score_batches(scoring.batches(get("items"), 10_000, 20).join(texts, "original_index"), scorer).select("original_index", F.col("confidence").cast("long").alias("confidence"))
 
 
 # ---- extraction

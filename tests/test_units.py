@@ -101,6 +101,24 @@ def test_batches(spark, tokens, expected):
     assert [r.batch_no for r in got] == expected
 
 
+def test_batches_run_across_chunks(spark):
+    import random
+
+    draw = random.Random(5)
+    for budget_, most, size, high in ((30, 4, 7, 12), (30, 9, 3, 5), (10, 3, 1, 14), (1000, 50, 11, 3)):
+        tokens = [draw.randint(0, high) for _ in range(150)]
+        want, number, used, count = [], 0, 0, 0
+        for t in tokens:
+            if count and used + t > budget_ or count >= most:
+                number, used, count = number + 1, 0, 0
+            used, count = used + t, count + 1
+            want.append(number)
+        rows = spark.createDataFrame([(3 * k, t, f"x{k}") for k, t in enumerate(tokens)], "original_index long, tokens long, cache_key string")
+        packed = scoring.batches(rows, budget_, most, chunk_items=size)
+        got = packed.orderBy("original_index").collect()
+        assert [r.batch_no for r in got] == want and [r.cache_key for r in got] == [f"x{k}" for k in range(150)]
+
+
 def test_scorers_are_held_to_their_contract(spark):
     rows = spark.createDataFrame([("k", 0, "t", 0, 0)], "cache_key string, original_index long, serialized string, pack_group int, batch_no int")
     for bad in (lambda k, t: [], lambda k, t: [("other", 1.0)]):
