@@ -23,12 +23,30 @@ def artifact(kind: str, **data: Column) -> Column:
 
 
 def fold_findings(findings: DataFrame, order: str = "ord", keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per fingerprint: the first finding's fields, the artifacts of all, sorted by their JSON text."""
+    """One row per fingerprint: the first finding's fields, the artifacts of all, sorted by their JSON text.
+
+    For fingerprints of few artifacts: they become one row. ``count_findings`` and ``evidence`` have no such bound.
+    """
     kept = [c for c in findings.columns if c not in (order, "fingerprint", "artifacts", *keys)]
     firsts = [F.min_by(c, order).alias(c) for c in kept]
     return findings.groupBy(*keys, "fingerprint").agg(*firsts, F.array_sort(F.flatten(F.collect_list("artifacts"))).alias("artifacts"))
 
 
+def count_findings(findings: DataFrame, order: str = "ord", keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per fingerprint: the first finding's fields and ``n``, the number of artifacts of all.
+
+    Every aggregate combines before the shuffle, so a fingerprint may have any number of them; ``evidence`` has them.
+    """
+    kept = [c for c in findings.columns if c not in (order, "fingerprint", "artifacts", *keys)]
+    return findings.groupBy(*keys, "fingerprint").agg(*(F.min_by(c, order).alias(c) for c in kept), F.sum(F.size("artifacts")).alias("n"))
+
+
+def evidence(findings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, fingerprint, kind, data): the artifacts of all findings as rows, sorted over range partitions."""
+    names = [*keys, "fingerprint", "kind", "data"]
+    return findings.select(*keys, "fingerprint", F.inline("artifacts")).repartitionByRange(*names).sortWithinPartitions(*names)
+
+
 def location(file: Column, line: Column, column: Column | None = None) -> Column:
     return F.concat_ws(":", file, line.cast("string"), *([column.cast("string")] if column is not None else []))
 

@@ -1,14 +1,14 @@
 """Rules that group facts: shared literals and shared algorithm invariants; merging and de-duplicating facts.
 
 Values such as '' or 0 are everywhere, so groups are judged on counts alone, which combine before the shuffle; evidence
-is collected only for groups that qualify.
+is rows of the groups that qualify, never one row a group.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import artifact, fingerprint
@@ -31,16 +31,30 @@ def shared_literals(constants: DataFrame, threshold: int = 2, ignored: tuple[str
     return files.where(F.col("files") >= threshold)
 
 
+def _literal_id() -> Column:
+    return fingerprint(LITERAL, kind=F.col("kind"), value=F.col("value"))
+
+
+def literal_counts(constants: DataFrame, threshold: int = 2, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(rule_id, fingerprint, kind, value, files, n): literals that enough files hold, and their occurrences."""
+    kept = constants.where(~F.col("value").isin(*ignored)) if ignored else constants
+    per = kept.groupBy("kind", "value", "file").agg(F.count(F.lit(1)).alias("n"))
+    found = per.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n")).where(F.col("files") >= threshold)
+    return found.select(F.lit(LITERAL).alias("rule_id"), _literal_id().alias("fingerprint"), "kind", "value", "files", "n")
+
+
 def literal_findings(constants: DataFrame, threshold: int = 2, ignored: tuple[str, ...] = (), max_artifacts: int | None = None) -> DataFrame:
-    """Findings with every occurrence as evidence, or the first ``max_artifacts`` of them where that is set."""
+    """A row for every occurrence with itself as evidence, or for the first ``max_artifacts`` where that is set.
+
+    Rows of a literal share a fingerprint; ``identity.count_findings`` and ``identity.evidence`` fold them.
+    """
     good = shared_literals(constants, threshold, ignored)
     rows = constants.join(good, ["kind", "value"])
     if max_artifacts is not None:
         order = Window.partitionBy("kind", "value").orderBy("file", "line", "column")
         rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_artifacts)
     place = artifact("literal", file=F.col("file"), line=F.col("line"), column=F.col("column"))
-    found = rows.groupBy("kind", "value", "files").agg(F.array_sort(F.collect_list(place)).alias("artifacts"))
-    return found.select(F.lit(LITERAL).alias("rule_id"), fingerprint(LITERAL, kind=F.col("kind"), value=F.col("value")).alias("fingerprint"), "kind", "value", "files", "artifacts")
+    return rows.select(F.lit(LITERAL).alias("rule_id"), _literal_id().alias("fingerprint"), "kind", "value", "files", F.array(place).alias("artifacts"))
 
 
 def shared_algorithms(bindings: DataFrame, patterns: tuple[str, ...] | None = None, ignored: tuple[str, ...] = (), min_files: int = 2, complete_pair: bool = True, same_container: bool = False) -> DataFrame:

@@ -140,7 +140,7 @@ _ECONOMY = "@acme/economy"
 
 
 def _folded(rows: DataFrame) -> DataFrame:
-    return identity.fold_findings(rows).select("fingerprint", "dependency", F.size("artifacts").cast("long").alias("n"))
+    return identity.count_findings(rows).select("fingerprint", "dependency", "n")
 
 
 def _finding(rule: str, where: str) -> str:
@@ -200,8 +200,7 @@ _LITERAL_ID = _json('{"data":{"kind":"', "kind", '","value":"', "value", '"},"ru
 
 @query("a02_shared_literals", f"SELECT kind, value, count(DISTINCT file) AS files, count(*) AS n, SHA[{_LITERAL_ID}] AS fingerprint FROM {{constants}} WHERE value NOT IN ('0', '1') GROUP BY kind, value HAVING count(DISTINCT file) >= 2")
 def a02(get):
-    rows = grouping.literal_findings(get("constants").withColumnRenamed("col", "column"), 2, ("0", "1"))
-    return rows.select("kind", "value", "files", F.size("artifacts").cast("long").alias("n"), "fingerprint")
+    return grouping.literal_counts(get("constants"), 2, ("0", "1")).select("kind", "value", "files", "n", "fingerprint")
 
 
 @query("a02_shared_lines", "SELECT value, count(DISTINCT file) AS files FROM (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS value FROM {documents}) x WHERE value <> '' GROUP BY value HAVING count(DISTINCT file) >= 2")
@@ -255,8 +254,8 @@ _PARAMS = "SELECT l_orderkey, 'fn_' || CAST(l_orderkey % 500 AS STRING) AS funct
 
 @query("p09_arguments", f"SELECT function, params, count(*) AS n, SHA[{_json('{"data":{"function":"', 'function', '","params":"', 'params', '"},"ruleId":"connascence/arguments@v1"}')}] AS fingerprint FROM ({_PARAMS} WHERE exported GROUP BY l_orderkey) x WHERE has_flag OR is_long GROUP BY function, params")
 def p09(get):
-    found = identity.fold_findings(structures.argument_findings(_signatures(get)))
-    return found.select("function", "params", F.size("artifacts").cast("long").alias("n"), "fingerprint")
+    found = identity.count_findings(structures.argument_findings(_signatures(get)))
+    return found.select("function", "params", "n", "fingerprint")
 
 
 @query("a12_heterogeneity", f"SELECT l_orderkey AS key, mixed FROM ({_PARAMS} GROUP BY l_orderkey) x")
@@ -275,8 +274,8 @@ def p11(get):
 @query("p10_semantic", f"SELECT value, 'O | F' AS kind, count(*) AS n FROM ({_SITES}) x WHERE again AND (l_orderkey % 10) / 10.0 >= 0.7 GROUP BY value")
 def p10(get):
     scored = structures.candidates(_signatures(get)).withColumn("confidence", (F.col("key") % 10) / 10.0)
-    found = identity.fold_findings(structures.semantic_findings(scored, 0.7))
-    return found.select("value", "kind", F.size("artifacts").cast("long").alias("n"))
+    found = identity.count_findings(structures.semantic_findings(scored, 0.7))
+    return found.select("value", "kind", "n")
 
 
 @query("s11_repeated_values", "SELECT l_orderkey AS key, count(*) - count(DISTINCT type) AS n FROM {parameters} GROUP BY l_orderkey")
@@ -349,6 +348,12 @@ def r06(get):
     return ledger_files.export_states(ledger.with_state(ledger.latest(get("ledger"))), ["fingerprint", "rule_id"])
 
 
+@query("r08_state_lines", f"""{_LAST} SELECT type AS state, '{{"fingerprint":"' || fingerprint || '","rule_id":"' || rule_id || '"}}' AS item FROM last""")
+def r08(get):
+    """The export of r06 as a line per item: its one array per state is as large as the state."""
+    return ledger_files.export_lines(ledger.with_state(ledger.latest(get("ledger"))), ["fingerprint", "rule_id"])
+
+
 @query("w02_rejected_transitions", "SELECT fingerprint, ord, type FROM (SELECT *, lag(type) OVER w AS was, lag(expires_at) OVER w AS until FROM {ledger} WINDOW w AS (PARTITION BY fingerprint ORDER BY ord)) x WHERE type IN ('observed', 'unverified') AND was = 'baselined' AND until > timestamp")
 def w02(get):
     return ledger.rejected_transitions(get("ledger")).select("fingerprint", "ord", "type")
@@ -450,7 +455,7 @@ def _coupling(get: Get) -> DataFrame:
     names = [f"@acme/{k}" for k in ("economy", "promo", "standard")]
     rows = [boundary.violations(e, boundary.Layer(n)) for n in names]
     both = reduce(DataFrame.unionByName, rows)
-    folded = identity.fold_findings(both.withColumn("package_root", F.get_json_object(F.get("artifacts", F.lit(0))["data"], "$.packageRoot")))
+    folded = identity.count_findings(both.withColumn("package_root", F.get_json_object(F.get("artifacts", F.lit(0))["data"], "$.packageRoot")))
     return folded.select("rule_id", "instance_id", "fingerprint", "package_root", "dependency")
 
 
@@ -615,4 +620,4 @@ def x06(get):
 
     rules = [runner.Rule("churn", ("git_commits", "git_file_changes"), churn), runner.Rule("literals", ("constants",), literal), runner.Rule("idle", ("call_nodes",), churn)]
     found = runner.run([git], rules, [lit]).findings
-    return found.select("fingerprint", F.size("artifacts").cast("long").alias("n"), "requires_verification")
+    return found.select("fingerprint", "n", "requires_verification")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import fold_findings
+from ..functions.identity import count_findings, evidence
 from ..operators.erosion import findings_for
 from ..operators.grouping import merge_facts
 
@@ -50,6 +50,7 @@ class Insight:
 @dataclass
 class Result:
     findings: DataFrame | None = None
+    evidence: DataFrame | None = None
     skipped: list[str] = field(default_factory=list)
 
 
@@ -73,7 +74,7 @@ def gather(collectors: list[Collector], needed: set[str]) -> Facts:
 
 
 def run(collectors: list[Collector], rules: list[Rule], enrichers: list[Enricher] | None = None) -> Result:
-    """Facts, enriched facts, findings: one row per fingerprint. A rule without its facts is skipped.
+    """Facts, enriched facts, findings: one row per fingerprint, and their evidence as rows. A rule without its facts is skipped.
 
     Enrichers all see the collected facts. Findings of rules that need enriched facts are marked for verification.
     """
@@ -100,7 +101,8 @@ def run(collectors: list[Collector], rules: list[Rule], enrichers: list[Enricher
         rows = r.evaluate({k: facts[k] for k in r.needs}).select("rule_id", "instance_id", "fingerprint", "message", "artifacts", F.to_json(F.struct("ord")).alias("ord"))
         found.append(rows.withColumn("requires_verification", F.lit(bool(scored & set(r.needs)))))
     if found:
-        result.findings = fold_findings(reduce(DataFrame.unionByName, found))
+        rows = reduce(DataFrame.unionByName, found)
+        result.findings, result.evidence = count_findings(rows), evidence(rows)
     return result
 
 

@@ -42,10 +42,19 @@ def append_ledger(events: DataFrame, path: str) -> None:
 
 
 def export_states(states: DataFrame, payload: list[str]) -> DataFrame:
-    """(state, items): one JSON array per state that has rows, items in fingerprint order."""
+    """(state, items): one JSON array per state that has rows, items in fingerprint order; for small ledgers.
+
+    An array is one row in one task. ``export_lines`` has no such bound.
+    """
     return states.groupBy("state").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*payload)))).alias("items"))
 
 
+def export_lines(states: DataFrame, payload: list[str]) -> DataFrame:
+    """(state, item): one JSON object per row, sorted over range partitions by state and payload."""
+    rows = states.repartitionByRange("state", *payload).sortWithinPartitions("state", *payload)
+    return rows.select("state", F.to_json(F.struct(*payload)).alias("item"))
+
+
 def read_facts(spark: SparkSession, folder: str, needed: list[str]) -> dict[str, DataFrame]:
     """Only the fact tables that are asked for, each with its fixed schema."""
     return {k: spark.read.schema(FACTS[k]).parquet(f"{folder}/{k}") for k in needed if k in FACTS}

@@ -177,6 +177,29 @@ def test_literals_count_files_once_and_keep_kinds_apart(spark):
     assert grouping.literal_findings(rows.limit(0)).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_rows_and_counts_need_no_arrays(spark):
+    rows = spark.createDataFrame([(f, "string", "v", k, 1) for f in ("b", "a") for k in (2, 1)], "file string, kind string, value string, line int, column int")
+    found = grouping.literal_findings(rows).withColumn("ord", F.col("value"))
+    one, evidence = identity.count_findings(found), identity.evidence(found)
+    assert [(r.value, r.n) for r in one.collect()] == [("v", 4)] and [(r.files, r.n) for r in grouping.literal_counts(rows).collect()] == [(2, 4)]
+    assert [r.data for r in evidence.collect()] == [f'{{"column":1,"file":"{f}","line":{k}}}' for f in ("a", "b") for k in (1, 2)]
+    states = spark.createDataFrame([("s", "b"), ("s", "a"), ("r", "c")], "state string, fingerprint string")
+    lines = ledger_files.export_lines(states, ["fingerprint"])
+    assert [(r.state, r.item) for r in lines.collect()] == [("r", '{"fingerprint":"c"}'), ("s", '{"fingerprint":"a"}'), ("s", '{"fingerprint":"b"}')]
+    assert not any("collect_list" in plan_of(x) for x in (one, evidence, lines, grouping.literal_counts(rows)))
+
+
+@pytest.mark.parametrize("name", ["a02_shared_literals", "x06_runner", "p05_pure_layer", "p06_allow_list", "p07_deny_list", "r08_state_lines"])
+def test_counts_are_made_without_collecting(spark, sf_dir, name):
+    from codegov.plans.registry import QUERIES
+
+    assert "collect_list" not in plan_of(QUERIES[name](spark, sf_dir))
+
+
 def test_runner_checks_and_skips(spark):
     rule = runner.Rule("r", ("missing",), lambda f: None)
     one = runner.Collector("c", ("x",), lambda k: {})
