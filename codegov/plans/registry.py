@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,8 +187,6 @@ _OK = "(to_path LIKE 'packages/promo/%' OR to_path = '@supp/nation_1')"
 )
 def j05(get):
     spark = get("part").sparkSession
-    from tempfile import mkdtemp
-
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return boundary.reach(_edges(get), [boundary.Layer("packages/economy/**", allows=("packages/promo/**", "@supp/nation_1"))])
@@ -568,10 +567,24 @@ def e05(get):
 # ---- streaming
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in the one of ``spark.checkpoint.dir``, which driver and executors share."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def _drain(df: DataFrame, mode: str) -> DataFrame:
-    name = f"s{uuid.uuid4().hex}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+    """The stream's result as Parquet, with its state beside it; a batch of complete mode replaces the one before."""
+    spark, folder = df.sparkSession, _shared_folder(df.sparkSession)
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows")
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -200,6 +200,17 @@ def test_counts_are_made_without_collecting(spark, sf_dir, name):
     assert "collect_list" not in plan_of(QUERIES[name](spark, sf_dir))
 
 
+@pytest.mark.parametrize("name", ["t01_stream_fold", "t02_stream_churn"])
+def test_streams_keep_result_and_state_in_the_shared_folder(spark, sf_dir, name):
+    from pathlib import Path
+
+    from codegov.plans.registry import QUERIES
+
+    files = QUERIES[name](spark, sf_dir).inputFiles()
+    assert files and all(f.startswith("file:") and spark.conf.get("spark.checkpoint.dir") in f for f in files)
+    assert (Path(files[0].split("file://")[-1]).parents[1] / "state" / "offsets").is_dir()
+
+
 def test_runner_checks_and_skips(spark):
     rule = runner.Rule("r", ("missing",), lambda f: None)
     one = runner.Collector("c", ("x",), lambda k: {})
