@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    A private one is made only where the setting is absent (tests, a laptop), never on a cluster.
+    A private one is made only where Spark runs in this process and the setting is absent (tests, a laptop); on a
+    cluster its absence is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
     return named or sc.getCheckpointDir()
 
@@ -36,6 +41,13 @@ def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+def added(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step(docs)`` without the columns ``names`` that it adds, also where docs has columns of these names."""
+    own = docs.columns
+    renamed = docs.toDF(*[f"__{n}" if n in names else n for n in own])
+    return step(renamed).drop(*names).toDF(*own)
+
+
 def bucket_of(doc_id, modulus: int):
     """crc32 of the id's text, modulo ``modulus``: the fold that decides which rows may teach a model."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))

@@ -1,29 +1,30 @@
 """Line dedup on hashes alone; DataFrame functions only.
 
-Every document's lines become (hash, doc_id, position) rows: 16 bytes of hash instead of the text. They are range
+Every document's lines become (hash, doc_id, position) rows once: 16 bytes of hash instead of the text. They are range
 partitioned by hash and a salt of the document, and sorted within by document (largest first) and position; a window
 over that order streams the first occurrence of a line in each document, so the documents of a line are counted exactly.
-The salt spreads a line that most documents hold; its parts meet as one row each. Repeated lines then give every
-document a compressed bitmap: only the 63-line words that lose a line are stored. Text never moves for the counting;
-it meets its bitmap once, by doc_id, when the kept text is written.
+The salt spreads a line that most documents hold; its parts meet as one row each. Repeated lines then give every row a
+compressed bitmap: only the 63-line words that lose a line are stored. Text never moves for the counting; it meets its
+bitmap once, by doc_id and a hash of the text, when the kept text is written.
 
 Defined results: a null or empty text is one empty line. Rows that repeat a doc_id are one document when documents are
-counted; each row is returned, with its own lines. A null doc_id counts as no document: its row comes back as it is.
-Extra columns pass through ``dedup_lines`` untouched.
+counted; each row is returned and loses only its own lines, whether the rows have one text or several. A null doc_id
+counts as no document: its row comes back as it is. Extra columns pass through ``dedup_lines`` untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
-#: Lines are stripped of these and A-Z is lower-cased (fixed values of the contract).
+#: Lines are stripped of these (fixed values of the contract); A-Z is lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Parts that the rows of one line are dealt to.
 SALTS = 64
 #: Lines per bitmap word.
@@ -34,30 +35,43 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _stripped(line: Column) -> Column:
+    blank = reduce(or_, [x for b in BLANKS for x in (F.startswith(line, F.lit(b)), F.endswith(line, F.lit(b)))])
+    return F.when(blank, F.btrim(line, F.lit(BLANKS))).otherwise(line)
+
+
 def _key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+    """A text that is equal for two lines if and only if they are equal with A-Z lower-cased.
+
+    ``lower`` also changes letters beyond ASCII, and ``translate`` is slow. Read as one character a byte, a line's A-Z
+    are lower-cased as they should be; of the other bytes only the first ones of two-byte characters change, to first
+    bytes of longer ones, and the number of bytes that follow still tells the two apart.
+    """
+    bytewise = F.lower(F.decode(F.encode(line, "UTF-8"), "ISO-8859-1"))
+    return F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(bytewise)
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(doc_id, dropped): the documents that lose lines; dropped has (word, bits) of the words with a lost line."""
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    rows = rows.where(F.length("line") >= min_chars).select("doc_id", "pos", _key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    rows = rows.select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    """(doc_id, text_hash, dropped): the rows that lose lines; dropped has (word, bits) of the words with a lost line."""
+    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    rows = rows.where(F.octet_length("line") >= min_chars).select("doc_id", "text_hash", "pos", _stripped(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
+    rows = rows.withColumn("key", _key(F.col("line"))).select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    rows = cut(rows).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, "h1", "h2", "salt")
+    dealt = rows.select("h1", "h2", "salt", "doc_id", "pos").repartitionByRange(parts, "h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("doc_id").desc(), "pos")
     first = dealt.withColumn("before", F.lag("doc_id").over(order)).where(F.col("before").isNull() | (F.col("before") != F.col("doc_id")))
     part = first.groupBy("h1", "h2", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-    repeated = part.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lost = rows.join(spread, ["h1", "h2", "salt"]).where("doc_id != keeper")
-    words = lost.groupBy("doc_id", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("bits"))
-    return words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    line = Window.partitionBy("h1", "h2")  # at most SALTS rows
+    repeated = part.select("h1", "h2", "salt", F.sum("n").over(line).alias("n"), F.max("keeper").over(line).alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    lost = rows.join(repeated, ["h1", "h2", "salt"]).where("doc_id != keeper")
+    words = lost.groupBy("doc_id", "text_hash", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("bits"))
+    return words.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
 def _split(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    marks = drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    return docs.join(marks, docs["doc_id"] == F.col("__id"), "left").drop("__id")
+    marks = drop_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).toDF("__id", "__text_hash", "__dropped")
+    return docs.join(marks, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text_hash")), "left").drop("__id", "__text_hash")
 
 
 def _kept(lines: Column) -> Column:
@@ -83,7 +97,7 @@ def line_report(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     kept = F.when(F.col("__dropped").isNull(), plain).otherwise(F.array_join(_kept(_lines(F.col("text"))), "\n"))
     return x.select(
         "doc_id",
-        (F.length(plain) - F.length(F.translate(plain, "\n", "")) + 1).cast("long").alias("n_lines"),
+        (F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce(n_dropped, F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
