@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; only Spark opens the path, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +45,12 @@ def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to BATCH_BYTES: rows of long texts would make batches of any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def added(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``step(docs)`` without the columns ``names`` that it adds, also where docs has columns of these names."""
     own = docs.columns

@@ -16,8 +16,10 @@ have none.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,42 +27,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .vocab import Memory, byte_table, default_path, ids_bytes, once, portions
+from .common import bounded, cut, table
+from .vocab import Memory, byte_table, default_path, encoded, ids_bytes, last_merge, once
 
 #: Items of a packing group, about; more would hardly fill sequences better.
-GROUP = 4_000
-#: Words of the vocabulary's pre-tokenizer (a fixed pattern of the vocabulary file).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+GROUP = 2_000
+#: What ends a word's bytes; marks that are no part of a word. Words of the vocabulary's pre-tokenizer (a fixed pattern of the vocabulary file).
+END, MARKS = b"\xff", frozenset(".,;:!?)")
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _raw_vocabulary(tokenizer) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """Token bytes -> id, and the merges in order. The mark of a word's end is the byte END, which UTF-8 never has."""
+    model, back = json.loads(tokenizer.to_str())["model"], byte_table()
+    mark = model["end_of_word_suffix"]
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+
+    def raw(token: str) -> bytes:
+        last = token.endswith(mark)
+        return bytes(map(back.__getitem__, token[: -len(mark)] if last else token)) + END * last
+
+    return {raw(t): i for t, i in model["vocab"].items() if t not in special}, [(raw(a), raw(b)) for a, b in model["merges"]]
+
+
+@lru_cache(maxsize=4)
+def known_rules(path: str) -> bool:
+    """Whether a file's rules are those that ``WordBpe`` takes apart; checked on the driver.
+
+    Its normaliser and word pattern must be the ones named here, its ids must be in the order of its merges, and what
+    ids alone say about the last merge of each token must be what the file says. Then merging the pair of lowest id
+    again and again gives what the file's merges give.
+    """
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    rules = json.loads(whole.to_str())
+    parts = lambda x, y: [k.get("pattern", {}).get("Regex", k["type"]) for k in (rules[x] or {}).get(y) or []]
+    if parts("pre_tokenizer", "pretokenizers") != [WORDS, "ByteLevel"] or parts("normalizer", "normalizers") != ["NFC", r"\s+", "Lowercase"] or rules["post_processor"] is not None or not rules["model"].get("end_of_word_suffix"):
+        return False
+    ranks, merges = _raw_vocabulary(whole)
+    ids = [ranks[a + b] for a, b in merges]
+    letters = [ranks.get(bytes([k]) + e, -1) for k in range(256) for e in (b"", END)]
+    return ids == sorted(ids) and -1 not in letters and max(letters) < ids[0] and all(last_merge(a + b, ranks) == (a, b) for a, b in merges)
 
 
 class WordBpe:
-    """Ids of whole texts by the tokenizers library.
+    """Ids of whole texts, as the tokenizers library gives them.
 
     The vocabulary drops white space, and no rule of its normaliser or pre-tokenizer reaches across a space or a line
     feed, so a text's ids are those of its runs between them. A run is normalised by the library, split by the
-    vocabulary's word pattern, and each distinct word goes through the library's model once.
+    vocabulary's word pattern, and each distinct word is merged once, by tiktoken over the file's own ids. Texts that
+    hold a special token go through the library whole, and so do all texts where ``known`` is false.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: bool | None = None):
         import os
 
         import regex
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         self.whole = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
-        self.model.encode_special_tokens = True
-        self.find = regex.compile(WORDS).findall
-        self.chars = {b: c for c, b in byte_table().items()}
+        self.known = known_rules(path) if known is None else known
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words, self.runs = Memory(self._encode_words, 100_000), Memory(self._encode_runs)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        spelled = [w if w.isascii() and w.isprintable() else "".join(map(self.chars.__getitem__, w.encode("utf-8", "surrogatepass"))) for w in words]
-        return [ids_bytes(e.ids) for e in self.model.encode_batch_fast(spelled, add_special_tokens=False)]
+        if self.known:
+            self.merge = tiktoken._tiktoken.CoreBPE(_raw_vocabulary(self.whole)[0], {}, r"[^\n]+").encode_single_piece
+        self.find = regex.compile(WORDS.replace(r"\s", r"\p{White_Space}")).findall
+        self.words = Memory(lambda new: [ids_bytes(self.merge(w.encode() + END)) for w in new])
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
         other = [r for r in runs if not r.isascii()]
@@ -68,52 +102,59 @@ class WordBpe:
         if len(normal) != len(other):  # some run holds another kind of white space
             normal = [self.whole.normalizer.normalize_str(r) for r in other]
         rest = iter(normal)
-        found = [self.find(r.lower() if r.isascii() else next(rest)) for r in runs]
+        lower = [r.lower() if r.isascii() else next(rest) for r in runs]
+        # letters alone are one word; the commonest other run is a word with one mark after it
+        found = [(r,) if r.isalpha() else (r[:-1], r[-1]) if r[-1:] in MARKS and r[:-1].isalpha() else self.find(r) for r in lower]
         look = self.words.look(found)
-        return [b"".join(map(look, f)) for f in found]
+        return [look(f[0]) if len(f) == 1 else b"".join(map(look, f)) for f in found]
 
     def encode_many(self, texts: list[str]):
         """Yields each text's ids as little-endian unsigned 32-bit integers."""
-        for part in portions(texts):
-            odd = [any(s in t for s in self.special) for t in part]
-            found = [[] if o else t.replace("\n", " ").split(" ") for t, o in zip(part, odd, strict=True)]
-            look = self.runs.look(found)
-            for t, o, f in zip(part, odd, found, strict=True):
-                yield ids_bytes(self.whole.encode(t, add_special_tokens=False).ids) if o else b"".join(map(look, f))
+        if not self.known:
+            yield from (np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") for t in texts)
+            return
+        odd = [any(s in t for s in self.special) for t in texts]
+        rest = encoded([t for t, o in zip(texts, odd, strict=True) if not o], lambda t: t.replace("\n", " "), list, self._encode_runs)
+        for t, o in zip(texts, odd, strict=True):
+            yield np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4") if o else next(rest)
 
 
 def cut_documents(docs: DataFrame, size: int = 2048, closing: int = 1, path: str | None = None) -> DataFrame:
     """Pieces of at most ``size`` ids: (row, doc_id, start, length, ids_crc32, doc_tokens)."""
     path = path or default_path("word_bpe_49k.json")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = ids_bytes([closing])
+    known = known_rules(path)
 
     def run(batches):
         from pyspark import TaskContext
 
-        bpe = once("word_bpe", path, WordBpe)
+        bpe = once("word_bpe", path, lambda p: WordBpe(p, known))
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             at, out = [], []
             for i, ids in enumerate(bpe.encode_many([t or "" for t in b.column("text").to_pylist()])):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    piece = ids[4 * start : 4 * (start + size)]
+                ids = np.append(ids, np.uint32(closing)).astype("<u4")
+                for start in range(0, len(ids), size):
+                    piece = ids[start : start + size]
                     at.append(i)
-                    out.append((row, start, len(piece) // 4, zlib.crc32(piece), n))
+                    out.append((row, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
                     row += 1
             rows = np.array(out, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *map(pa.array, rows)], ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, start long, length long, ids_crc32 long, doc_tokens long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The sequence of each item. ``demand``: items x dimensions, every item within the limits."""
-    share = demand / limits
-    order = np.lexsort((np.arange(len(demand)), -share.sum(1), -demand[:, 0]))
-    left, need = share[order], demand[order]
+    """The sequence of each item. ``demand``: items x dimensions, every item within the limits.
+
+    Shares are compared as whole numbers, over a common denominator, so ties are ties; they go to the item of larger
+    first demand, then of larger shares, then to the earlier one.
+    """
+    common = np.lcm.reduce(limits.astype(np.int64))
+    scale = (common // limits) ** 2 if common < 1 << 30 else 1.0 / limits**2
+    order = np.lexsort((np.arange(len(demand)), -(demand * (common // limits)).sum(1), -demand[:, 0]))
+    need = demand[order]
     found = np.full(len(demand), -1, np.int64)
     names = order.copy()
     k = 0
@@ -125,14 +166,13 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
             fits = free[first:] & (need[first:] <= room).all(1)
             if not fits.any():
                 break
-            score = np.where(fits, left[first:] @ (room / limits), -1.0)
-            j = first + int(score.argmax())
+            j = first + int(np.where(fits, need[first:] @ (room * scale), -1).argmax())
             free[j] = False
             found[names[j]] = k
             room -= need[j]
             if room.min() <= 0:
                 break
-        names, left, need = names[free], left[free], need[free]
+        names, need = names[free], need[free]
         k += 1
     return found
 
@@ -169,14 +209,15 @@ def pack(items: DataFrame, limits: dict[str, int], key: str = "row", group: int
     return dealt.groupBy("__group").applyInPandas(run, schema)
 
 
-def pack_documents(docs: DataFrame, size: int = 2048, max_segments: int = 512, max_loss: int | None = None, closing: int = 1, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = 2048, max_segments: int = 32, max_loss: int | None = None, closing: int = 1, path: str | None = None) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is cut every ``size`` ids: full pieces are sequences of their own, the rests are packed. Every id of a
-    document bears loss, so ``max_loss`` defaults to ``size``.
+    document but the closing one bears loss; ``max_loss`` defaults to ``size``, and a piece that exceeds it is cut to it.
     """
-    pieces = cut(cut_documents(docs, size, closing, path))
-    rests = pieces.where(F.col("length") < size).withColumn("segments", F.lit(1).cast("long")).withColumn("loss", F.col("length"))
+    pieces = cut(cut_documents(docs, min(size, max_loss or size), closing, path))
+    last = (F.col("start") + F.col("length") == F.col("doc_tokens")).cast("long")
+    rests = pieces.where(F.col("length") < size).withColumn("segments", F.lit(1).cast("long")).withColumn("loss", F.col("length") - last)
     packed = pack(rests, {"length": size, "segments": max_segments, "loss": max_loss or size})
     full = pieces.where(F.col("length") == size).withColumn("sequence_id", F.lit(1 << 62) + F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
