@@ -19,19 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
-from .vocab import Memory, byte_table, default_path, ids_bytes, once, portions, read_ranks, spaced
+from .common import bounded, table
+from .vocab import Memory, Pieces, byte_table, default_path, encoded, ids_bytes, last_merge, once, read_ranks, spaced
 
-
-def _merge_of(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
-    """The two parts whose merge makes ``token``: apply the merges of lower rank until two parts are left."""
-    parts, limit = [token[i : i + 1] for i in range(len(token))], ranks[token]
-    while len(parts) > 2:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], limit), i) for i in range(len(parts) - 1))
-        if best >= limit:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return (parts[0], parts[1]) if len(parts) == 2 else (b"", b"")
+#: Marks in front of a unit: a text's first word; a match of the pattern. Texts that are cut at spaces have neither.
+FIRST, MATCH = "\x1e", "\x1f"
 
 
 class ByteBpe:
@@ -50,54 +42,54 @@ class ByteBpe:
         merges = []
         for token, _ in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
-                a, b = _merge_of(token, ranks)
+                a, b = last_merge(token, ranks)
                 if a:
                     merges.append((spell(a), spell(b)))
         self.model = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges))
+        # only of the public pattern is it known that no match goes on over a single space or line feed between others
+        self.by_words = pattern in (None, public_tokenizers.PATTERN)
         self.find = regex.compile(pattern or public_tokenizers.PATTERN).findall
         self.chars, self.ranks = chars, ranks
-        size = max(ranks.values()) + 1
-        self.tokens = [b""] * size
+        tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
-            self.tokens[r] = t
-        self.memory = Memory(self._encode_pieces, 100_000)
-        self.words = Memory(self._encode_words)
+            tokens[r] = t
+        self.tokens = Pieces(tokens, "u1")
+        self.memory = Memory(self._encode_matches)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    def _encode_matches(self, matches: list[str]) -> list[bytes]:
+        raw = [p.encode("utf-8", "surrogatepass") for p in matches]
         known = [self.ranks.get(r) for r in raw]
         spelled = ["".join(map(self.chars.__getitem__, r)) for r, k in zip(raw, known, strict=True) if k is None]
         rest = iter(self.model.encode_batch_fast(spelled, add_special_tokens=False)) if spelled else iter(())
         return [ids_bytes([k] if k is not None else next(rest).ids) for k in known]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        found = [self.find(w if w[:1] == "\n" else " " + w) for w in words]
+    def _plain(self, text: str) -> str | None:
+        s = spaced(text) if self.by_words else None
+        return None if s is None else FIRST + s
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """A unit is a match of the pattern (marked), a text's first word (marked), or a word that follows a space or line feed."""
+        found = [(u[1:],) if u[0] == MATCH else self.find(u[1:] if u[0] == FIRST else u if u[0] == "\n" else " " + u) for u in units]
         look = self.memory.look(found)
-        return [b"".join(map(look, f)) for f in found]
+        return [look(f[0]) if len(f) == 1 else b"".join(map(look, f)) for f in found]
 
     def encode_many(self, texts: list[str]):
-        """Yields each text's ids as little-endian unsigned 32-bit integers.
+        """Yields each text's ids as unsigned 32-bit integers.
 
-        No match of the pattern goes on over a single space or line feed between other characters, so most texts are
-        looked up by the words between them; others by the pattern's matches.
+        Most texts are cut into the words between single spaces and line feeds; others into the pattern's matches.
         """
-        for part in portions(texts):
-            words = [spaced(t) for t in part]
-            found = [self.find(t) if w is None else self.find(w[0]) for t, w in zip(part, words, strict=True)]
-            look, look_word = self.memory.look(found), self.words.look([w[1:] for w in words if w])
-            for f, w in zip(found, words, strict=True):
-                yield b"".join(map(look, f)) + (b"".join(map(look_word, w[1:])) if w else b"")
+        return encoded(texts, self._plain, lambda t: [MATCH + m for m in self.find(t)], self._encode_units)
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(next(self.encode_many([text])), "<u4").tolist()
+        return next(self.encode_many([text])).tolist()
 
     def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.tokens.of(np.asarray(ids, np.int64)).tobytes()
 
     def offsets(self, ids) -> list[int]:
         """Where each token starts in the text's bytes."""
-        sizes = [len(self.tokens[i]) for i in ids]
-        return [0, *np.cumsum(sizes).tolist()[:-1]] if sizes else []
+        sizes = self.tokens.sizes[np.asarray(ids, np.int64)]
+        return (np.cumsum(sizes) - sizes).tolist()
 
 
 def _load(path: str) -> ByteBpe:
@@ -112,10 +104,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         bpe = _load(path)
         for b in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_many([t or "" for t in b.column("text").to_pylist()])]
+            ids = list(bpe.encode_many([t or "" for t in b.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.offsets(i) for i in ids], pa.list_(pa.int32()))], ["doc_id", "ids", "offsets"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, offsets array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -129,7 +121,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             raw = [bpe.decode_bytes(i or []) for i in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())], ["doc_id", "bytes", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary, text string")
+    return bounded(encoded).select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, bytes binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -142,12 +134,12 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             n, a, d = [], [], []
             for ids in bpe.encode_many([t or "" for t in b.column("text").to_pylist()]):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                d.append(hashlib.sha256(bpe.decode_bytes(np.frombuffer(ids, "<u4").tolist())).hexdigest())
+                n.append(len(ids))
+                a.append(hashlib.sha256(ids.astype("<u4", copy=False).tobytes()).hexdigest())
+                d.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
