@@ -1,18 +1,26 @@
-"""Exact BM25 top-k search: an inverted index per shard with block-max dynamic pruning, merged exactly.
+"""Exact BM25 top-k search: an inverted index per shard, block-max WAND pruning, merged exactly.
 
 Documents are indexed in shards of a bounded number of documents and postings, written to the shared folder. Global
 statistics (documents, mean length, document frequency of every query term) are sums over all shards, so scores of
-different shards compare. Queries go through all shards in blocks of a bounded number; each shard returns its k best per
-query, and the k best of those are the answer.
+different shards compare. Queries go through all shards in blocks of a bounded number of terms; each shard returns its
+k best per query, and the k best of those are the answer.
 
-Within a shard a term's postings are cut into blocks of BLOCK documents whose largest impact is known. Frequent terms
-are left for last: with the rarer terms summed, a document can gain at most the frequent terms' block maxima, so only
-documents whose bound reaches the k-th best full score found so far are scored in full; the rest are skipped, whatever
-they hold. Ties go to the smaller doc_id, and bounds are kept on equality, so pruning never changes the result.
+Within a shard, documents are ordered by their commonest term and length, so that neighbours are alike, and are cut
+into blocks of BLOCK; every term has the largest impact of its postings in each block where it has any. For a query, the
+sum of these maxima over the terms bounds all scores of a block. Only blocks whose bound reaches the k-th best score
+known so far are pivots: their postings are read and their documents scored in full. All other blocks are skipped with
+all their postings. The blocks of largest bounds come first and raise the threshold for the rest; a first pass over one
+shard in FIRST gives every query a threshold for the other shards, and a task carries its own from shard to shard.
+
+Bounds are kept on equality and a document's contributions are always summed in the order of its terms' hashes, so
+pruning never changes the result, equal documents have equal scores in whatever shard they are, and ties go to the
+smaller doc_id.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A query is a document's whole text; it finds
-itself as well. Defined results: a null or empty text is no query and is found by none; documents that share no term
-with a query are not returned for it. Rows that repeat a doc_id are separate rows of the index, and one query each.
+itself as well. Defined results: a null or empty text is no query and is found by none, and so is a row with a null
+doc_id, which counts in no statistic; documents that share no term with a query are not returned for it. Rows that
+repeat a doc_id are separate rows of the index; of the queries, equal rows are one, and other rows of one id are
+queries of their own, each with its k rows in the result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +32,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table
 from .texthash import word_hashes
 
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 4096, 4_000_000
-BLOCK = 64
-#: Queries that go through the shards at once (a bounded broadcast).
-QUERIES_AT_ONCE = 1024
-#: Share of a shard's documents from which a term is frequent.
-FREQUENT = 0.1
+#: Documents of a block; one shard in so many gives the first thresholds; blocks that are scored before the others.
+BLOCK, FIRST, LEAD = 32, 8, 4
+#: Query terms that go through the shards at once, about (a bounded broadcast of 16 bytes each).
+TERMS_AT_ONCE = 1_500_000
 
 
-def _terms(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(hashes, return_counts=True)
+def _smallest(x: np.ndarray) -> np.ndarray:
+    """Counts as unsigned integers of 16 bits where they fit, else of 32."""
+    return x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4")
 
 
 def _index(batches):
@@ -45,16 +53,18 @@ def _index(batches):
     from pyspark import TaskContext
 
     shard = TaskContext.get().partitionId() << 24
-    ids, lengths, terms, tfs, size = [], [], [], [], 0
+    ids, lengths, top, terms, tfs, size = [], [], [], [], [], 0
 
     def flush():
-        of = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
-        t, f = np.concatenate(terms), np.concatenate(tfs)
-        order = np.lexsort((of, t))
-        t, of, f = t[order], of[order], f[order]
+        order = np.lexsort((np.array(ids), np.array(lengths), np.array(top, np.uint64)))
+        of = np.repeat(np.arange(len(order)), [len(terms[i]) for i in order])
+        t, f = np.concatenate([terms[i] for i in order]), np.concatenate([tfs[i] for i in order])
+        by = np.argsort(t, kind="stable")
+        t, of, f = t[by], of[by], f[by]
         keys, starts = np.unique(t, return_index=True)
-        parts = [keys.astype("<u8"), np.append(starts, len(t)).astype("<i8"), of.astype("<i4"), np.minimum(f, 2**31 - 1).astype("<i4"), np.array(ids, "<i8"), np.array(lengths, "<i8")]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["shard", "terms", "starts", "docs", "tf", "ids", "lengths"])
+        f = _smallest(f)
+        parts = [keys.astype("<u8"), np.append(starts, len(t)).astype("<i8"), of.astype("<u2"), f, np.array(ids, "<i8")[order], np.array(lengths, "<i8")[order]]
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f.dtype.itemsize], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["shard", "width", "terms", "starts", "docs", "tf", "ids", "lengths"])
 
     for b in batches:
         names = b.column("doc_id").to_pylist()
@@ -63,16 +73,17 @@ def _index(batches):
                 h = hashes[at[k] : at[k + 1]]
                 if not len(h) or names[i + k] is None:
                     continue
-                t, f = _terms(h)
+                t, f = np.unique(h, return_counts=True)
                 ids.append(names[i + k])
                 lengths.append(len(h))
+                top.append(t[f.argmax()])
                 terms.append(t)
                 tfs.append(f)
                 size += len(t)
                 if len(ids) >= SHARD_DOCS or size >= SHARD_POSTINGS:
                     yield flush()
                     shard += 1
-                    ids, lengths, terms, tfs, size = [], [], [], [], 0
+                    ids, lengths, top, terms, tfs, size = [], [], [], [], [], 0
     if ids:
         yield flush()
 
@@ -84,107 +95,145 @@ def _frequencies(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_py(), "<u8").view("<i8")), pa.array(n)], ["term", "df"])
 
 
+def _lengths(batches):
+    for b in batches:
+        words = [int(np.frombuffer(x.as_py(), "<i8").sum()) for x in b.column("lengths")]
+        yield pa.RecordBatch.from_arrays([pa.array([len(x.as_py()) // 8 for x in b.column("ids")], pa.int64()), pa.array(words, pa.int64())], ["n", "words"])
+
+
 def _queries(batches):
     for b in batches:
-        names = b.column("doc_id").to_pylist()
+        names, texts = b.column("doc_id"), b.column("text_hash")
         for i, hashes, at in word_hashes(b.column("text")):
             for k in range(len(at) - 1):
-                t, f = _terms(hashes[at[k] : at[k + 1]])
-                if len(t) and names[i + k] is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), names[i + k], np.int64)), pa.array(t.view(np.int64)), pa.array(f.astype(np.int64))], ["query_id", "term", "qtf"])
+                t, f = np.unique(hashes[at[k] : at[k + 1]], return_counts=True)
+                if len(t) and names[i + k].is_valid:
+                    same = pa.array(np.zeros(len(t), np.int64))
+                    yield pa.RecordBatch.from_arrays([names[i + k : i + k + 1].take(same), texts[i + k : i + k + 1].take(same), pa.array(t.view(np.int64)), pa.array(f.astype(np.int64))], ["query_id", "text_hash", "term", "qtf"])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Shard:
     def __init__(self, row: dict, mean_length: float):
-        self.terms, self.starts, self.docs, tf, self.ids, lengths = (np.frombuffer(row[c], kind) for c, kind in (("terms", "<u8"), ("starts", "<i8"), ("docs", "<i4"), ("tf", "<i4"), ("ids", "<i8"), ("lengths", "<i8")))
-        n = len(self.ids)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / mean_length))
-        df = np.diff(self.starts)
-        self.frequent = np.flatnonzero(df >= FREQUENT * n)
-        self.place = np.full(len(self.terms), -1, np.int64)
-        self.place[self.frequent] = np.arange(len(self.frequent))
-        self.blocks = -(-n // BLOCK)
-        self.dense = np.zeros((len(self.frequent), self.blocks * BLOCK))
-        for k, t in enumerate(self.frequent):
-            at = slice(self.starts[t], self.starts[t + 1])
-            self.dense[k, self.docs[at]] = self.impact[at]
-        self.most = self.dense.reshape(len(self.frequent), self.blocks, BLOCK).max(2)
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the k best of this shard."""
-        n = len(self.ids)
+        kinds = {"terms": "<u8", "starts": "<i8", "docs": "<u2", "tf": f"<u{row['width']}", "ids": "<i8", "lengths": "<i8"}
+        self.terms, starts, docs, tf, self.ids, lengths = (np.frombuffer(row[c], k) for c, k in kinds.items())
+        self.docs = docs.astype(np.int64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean_length))[docs])
+        self.blocks = -(-len(self.ids) // BLOCK)
+        block = self.docs // BLOCK
+        head = np.ones(len(docs), bool)
+        head[1:] = block[1:] != block[:-1]
+        head[starts[:-1]] = True
+        self.entry = np.flatnonzero(head)  # where the postings of a term in a block begin
+        self.entry_block = block[self.entry]
+        self.entry_most = np.maximum.reduceat(self.impact, self.entry)
+        self.entry_size = np.diff(self.entry, append=len(docs))
+        self.term_entry = np.searchsorted(self.entry, starts)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the k best of this shard, of those that reach ``least``."""
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[at] == terms
         at, weights = at[here], weights[here]
-        rare = self.place[at] < 0
-        a, w = at[rare], weights[rare]
-        size = self.starts[a + 1] - self.starts[a]
-        rows = np.repeat(self.starts[a] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        part = np.bincount(self.docs[rows], np.repeat(w, size) * self.impact[rows], minlength=n)
-        rest, v = self.place[at[~rare]], weights[~rare]
-        if len(rest):
-            bound = part + np.repeat(v @ self.most[rest], BLOCK)[:n]
-            full = lambda d: part[d] + v @ self.dense[np.ix_(rest, d)]
-        else:
-            bound, full = part, lambda d: part[d]
-        if n > k:
-            first = np.argpartition(-bound, k - 1)[:k]
-            least = np.sort(full(first))[0]
-            docs = np.flatnonzero(bound >= least - 1e-9 * abs(least))
-        else:
-            docs = np.arange(n)
-        score = full(docs)
-        docs, score = docs[score > 0], score[score > 0]
-        order = np.lexsort((self.ids[docs], -score))[:k]
-        return self.ids[docs[order]], score[order]
-
-
-def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best rows of ``docs`` for every row of ``queries`` (doc_id, text)."""
-    spark = docs.sparkSession
-    plain = lambda x: x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blob = ", ".join(f"{c} binary" for c in ("terms", "starts", "docs", "tf", "ids", "lengths"))
-    shards = cut(plain(docs).mapInArrow(_index, f"shard long, {blob}"))
-    sums = shards.mapInArrow(_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
-    number, mean = sums["n"] or 0, (sums["words"] or 0) / max(sums["n"] or 0, 1)
-    asked = plain(queries).distinct().mapInArrow(_queries, "query_id long, term long, qtf long").groupBy("query_id", "term").agg(F.max("qtf").alias("qtf"))
-    asked = cut(asked)
-    df = shards.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    idf = F.log(1 + (F.lit(float(number)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = cut(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")))
-    blocks = max(1, -(-weighted.count() // QUERIES_AT_ONCE))
-    found = None
-    for block in range(blocks):
-        part = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col("t.term").alias("term"), F.col("t.weight").alias("weight")).toArrow()
-        asks = [(q, np.array(t, np.int64).view(np.uint64), np.array(w)) for q, t, w in zip(*(part[c].to_pylist() for c in ("query_id", "term", "weight")), strict=True)]
-        shared = spark.sparkContext.broadcast(asks)
-        one = shards.mapInArrow(_searcher(shared, mean, k), "query_id long, doc_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        sizes = self.term_entry[at + 1] - self.term_entry[at]
+        entries, weights = _ranges(self.term_entry[at], sizes), np.repeat(weights, sizes)
+        of = self.entry_block[entries]
+        bound = np.bincount(of, weights * self.entry_most[entries], minlength=self.blocks) * (1 + 1e-9)
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        lead = np.zeros(self.blocks, bool)
+        lead[np.argpartition(-bound, LEAD)[:LEAD] if self.blocks > LEAD else slice(None)] = True
+        for turn in (lead, ~lead):
+            pivot = turn & (bound >= least) & (bound > 0)
+            if not pivot.any():
+                continue
+            read = pivot[of]
+            some, n = entries[read], self.entry_size[entries[read]]
+            rows = _ranges(self.entry[some], n)
+            full = np.bincount(self.docs[rows], np.repeat(weights[read], n) * self.impact[rows], minlength=len(self.ids))
+            found = np.flatnonzero((full >= least) & (full > 0))
+            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, full[found]])
+            if len(docs) > k:
+                order = np.lexsort((self.ids[docs], -scores))[:k]
+                docs, scores = docs[order], scores[order]
+            if len(docs) == k:
+                least = max(least, scores.min())
+        return self.ids[docs], scores
 
 
 def _searcher(shared, mean: float, k: int):
     def run(batches):
+        number, hashes, starts, terms, weights, least = shared.value
+        least = least.copy()
+        seen = [np.zeros(0)] * len(number)  # the best scores of this task's shards so far
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row, mean)
                 q, d, v = [], [], []
-                for query, terms, weights in shared.value:
-                    docs, score = s.best(terms, weights, k)
-                    q.append(np.full(len(docs), query, np.int64))
-                    d.append(docs)
-                    v.append(score)
+                for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                    docs, scores = s.best(terms[lo:hi], weights[lo:hi], k, least[i])
+                    if len(docs):
+                        q.append(np.full(len(docs), i))
+                        d.append(docs)
+                        v.append(scores)
+                        seen[i] = np.sort(np.concatenate([seen[i], scores]))[-k:]
+                        if len(seen[i]) == k:
+                            least[i] = max(least[i], seen[i][0])
                 if q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, d, v)], ["query_id", "doc_id", "score"])
+                    of = np.concatenate(q)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[of], hashes[of], np.concatenate(d), np.concatenate(v))], ["query_id", "text_hash", "doc_id", "score"])
 
     return run
 
 
-def _lengths(batches):
-    for b in batches:
-        words = [int(np.frombuffer(x.as_py(), "<i8").sum()) for x in b.column("lengths")]
-        yield pa.RecordBatch.from_arrays([pa.array([len(x.as_py()) // 8 for x in b.column("ids")], pa.int64()), pa.array(words, pa.int64())], ["n", "words"])
+def _through(shards: DataFrame, block: DataFrame, least: DataFrame | None, mean: float, k: int) -> DataFrame:
+    """The k best of each shard for a block of queries, which goes to the tasks as one bounded broadcast."""
+    if least is not None:
+        block = block.join(least, ["query_id", "text_hash"], "left")
+    else:
+        block = block.withColumn("least", F.lit(0.0))
+    t = block.orderBy("query_id", "text_hash").toArrow().combine_chunks()
+    lists = pa.concat_arrays(t["t"].chunks or [pa.array([], t.schema.field("t").type)])
+    starts, of = np.cumsum([0, *lists.value_lengths().to_pylist()]), lists.flatten()
+    least_of = np.nan_to_num(t["least"].to_numpy().astype(float))
+    shared = shards.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), t["text_hash"].to_numpy(), starts, of.field("term").to_numpy().view(np.uint64), of.field("weight").to_numpy(), least_of))
+    found = cut(shards.mapInArrow(_searcher(shared, mean, k), "query_id long, text_hash long, doc_id long, score double"))
+    shared.destroy()
+    return found
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best rows of ``docs`` for every row of ``queries`` (doc_id, text)."""
+    plain = lambda x: x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blob = ", ".join(f"{c} binary" for c in ("terms", "starts", "docs", "tf", "ids", "lengths"))
+    shards = cut(plain(bounded(docs)).mapInArrow(_index, f"shard long, width int, {blob}"))
+    sums = shards.mapInArrow(_lengths, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    number, mean = sums["n"] or 0, (sums["words"] or 0) / max(sums["n"] or 0, 1)
+    asked = plain(queries).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_queries, "query_id long, text_hash long, term long, qtf long")
+    asked = cut(asked.groupBy("query_id", "text_hash", "term").agg(F.max("qtf").alias("qtf")))
+    df = shards.mapInArrow(_frequencies, "term long, df long").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    idf = F.log(1 + (F.lit(float(number)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # in the order of unsigned hashes, as in the index
+    weighted = asked.join(df, "term").select("query_id", "text_hash", (F.col("term").bitwiseXOR(F.lit(-(1 << 63)))).alias("u"), "term", (F.col("qtf") * idf).alias("weight"))
+    weighted = weighted.groupBy("query_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("u", "term", "weight"))).alias("t"))
+    weighted = cut(weighted.withColumn("t", F.transform("t", lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight")))))
+    terms = weighted.agg(F.sum(F.size("t")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-terms // TERMS_AT_ONCE))
+    first = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
+    best = Window.partitionBy("query_id", "text_hash").orderBy(F.col("score").desc(), "doc_id")
+    ranked = lambda x: x.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found: DataFrame | None = None
+    for block in range(blocks):
+        part = weighted.where(F.pmod(F.xxhash64("query_id", "text_hash"), F.lit(blocks)) == block)
+        early = _through(shards.where(first), part, None, mean, k)
+        least = ranked(early).where(F.col("rank") == k).select("query_id", "text_hash", F.col("score").alias("least"))
+        both = early.unionByName(_through(shards.where(~first), part, least, mean, k))
+        found = both if found is None else found.unionByName(both)
+    return ranked(found).select("query_id", "rank", "doc_id", "score")
 
 
 def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
