@@ -1,13 +1,17 @@
 """Embedding near-dedup by collision-counting projections.
 
 Every unit vector has M one-dimensional Gaussian projections. Two vectors collide in one where their values differ by
-at most WIDTH, the window centred on the query. Vectors at the least similarity that links differ by a normal value of
+at most a window, which is centred on the query. Vectors at the least similarity that links differ by a normal value of
 known deviation, so the chance of a collision and with it the count that a wanted share of such pairs reaches are
 known; pairs that reach this count are verified by their cosine in double precision.
 
-Windows are found by sorting: TABLES pairs of projections each cut a label's vectors into cells a few windows wide.
-A vector goes to its cell, and as a visitor to the smaller neighbours within a window; each cell is sorted by its
-first projection and every vector looks up its window there. A pair counts in the first table that brings it together.
+Counting a pair in all M sorted projections would first make all pairs that collide in any one of them. A pair that
+reaches the count misses at most M - count of them, so of M - count + 1 tables, each of two projections of its own, it
+collides in both projections of at least one. Each such table therefore deals a label's vectors to cells a few windows
+wide; a vector goes to its cell, and as a visitor to the smaller neighbours within a window. Each cell is sorted by its
+first projection, every vector looks up its window there, and the pairs found are counted over all M projections. That
+is every pair whose count suffices, none left out; it counts in the first table that brings it together.
+
 Cells of more than BLOCK vectors are split into pairs of chunks, so no task holds an unbounded group, and no pair
 leaves a task: blocks return each vector's number of links and one local component edge.
 
@@ -15,7 +19,8 @@ Equal vectors are one class with a number of copies, so a group of copies costs
 
 Defined results: a null label or an invalid vector (null, empty, zero, null or non-finite components) links with
 nothing: n_links 0, component_id = vec_id, kept. Vectors of different length are never compared. Rows that repeat a
-vec_id and vector count once in n_links; each row is returned. Extra columns are ignored.
+vec_id, label and vector count once in n_links; rows of one vec_id with other vectors or labels are vectors of their
+own. A null vec_id links with nothing. Each row is returned. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, has_rows, table
 from .components import components
 
-M, TABLES = 24, 3
+M = 24
 #: A window in deviations of the projections' difference at the least similarity.
 WIDTH = 2.0
 #: Cell width in windows; share of the pairs at the least similarity that must reach the count.
@@ -55,6 +60,7 @@ def directions(dim: int) -> np.ndarray:
 
 def _unit(raw, kind) -> list[np.ndarray]:
     x = [np.frombuffer(v, kind).astype(np.float64) for v in raw]
+    x = [v / np.abs(v).max() for v in x]  # squares of very large or small components would leave the range of doubles
     return [v / np.linalg.norm(v) for v in x]
 
 
@@ -70,7 +76,7 @@ def _cells(y: np.ndarray, g: int, window: float):
         yield i, ca[i] + da, cb[i] + db, np.full(len(i), da == 0 and db == 0)
 
 
-def _emit(window: float, kind, vectors: bool):
+def _emit(window: float, tables: int, kind, vectors: bool):
     def run(batches):
         for batch in batches:
             if not len(batch):
@@ -81,7 +87,7 @@ def _emit(window: float, kind, vectors: bool):
             for _, rows in dims.items():
                 unit = np.stack(_unit([raw[i] for i in rows], kind))
                 y, rows = unit @ directions(unit.shape[1]), np.array(rows)
-                for g in range(TABLES):
+                for g in range(tables):
                     for i, ca, cb, home in _cells(y, g, window):
                         at = pa.array(rows[i])
                         cols = [batch.column("label").take(at), pa.array(np.full(len(i), unit.shape[1], np.int32)), pa.array(np.full(len(i), g, np.int32)), pa.array(ca), pa.array(cb), batch.column("cid").take(at)]
@@ -171,6 +177,9 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     kind = np.dtype("<f8")
     window, need = calibrate(similarity)
+    tables = M - need + 1
+    if 2 * tables > M:
+        raise ValueError("the count is too low for tables of two projections")
 
     def valid(batches):
         for b in batches:
@@ -181,28 +190,31 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label").cast(pa.int64()), pa.array(out, pa.binary())], ["vec_id", "label", "vec"])
 
     rows = vectors.select("vec_id", "label", "embedding").mapInArrow(valid, "vec_id long, label long, vec binary")
-    rows = rows.select("vec_id", F.when(F.col("vec").isNotNull(), F.col("label")).alias("label"), "vec").withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
-    good = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "label", "h1", "h2"])
-    classes = cut(good.groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "vec")).alias("r"), F.count(F.lit(1)).alias("copies")).select("label", "h1", "h2", F.col("r.vec_id").alias("cid"), F.col("r.vec").alias("vec"), "copies"))
+    rows = rows.select("vec_id", F.when(F.col("vec").isNotNull() & F.col("vec_id").isNotNull(), F.col("label")).alias("label"), "vec").withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
+    good = rows.where(F.col("label").isNotNull()).dropDuplicates(["vec_id", "label", "h1", "h2"])
+    classes = good.groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "vec")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes.select("label", "h1", "h2", F.monotonically_increasing_id().alias("cid"), F.col("r.vec_id").alias("first"), F.col("r.vec").alias("vec"), "copies"))
     reps = classes.select("label", "cid", "copies", "vec")
 
     cell = "label long, dim int, g int, ca long, cb long, cid long"
     names = ["label", "dim", "g", "ca", "cb"]
-    sizes = reps.mapInArrow(_emit(window, kind, False), cell).groupBy(*names).count()
+    sizes = reps.mapInArrow(_emit(window, tables, kind, False), cell).groupBy(*names).count()
     sizes = sizes.select(*names, F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    dealt = reps.mapInArrow(_emit(window, kind, True), f"{cell}, home boolean, copies long, vec binary").withColumn("salt", F.pmod(F.xxhash64("cid", F.lit("salt")), F.lit(16)).cast("int"))
+    dealt = reps.mapInArrow(_emit(window, tables, kind, True), f"{cell}, home boolean, copies long, vec binary").withColumn("salt", F.pmod(F.xxhash64("cid", F.lit("salt")), F.lit(16)).cast("int"))
     dealt = dealt.join(sizes, [*names, "salt"]).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
     blocks = dealt.select("dim", "g", "label", "ca", "cb", "one", "two", "cid", "home", "copies", "chunk", "vec")
     found = cut(blocks.groupBy("dim", "g", "label", "ca", "cb", "one", "two").applyInArrow(_block(window, need, similarity, kind), "cid long, links long, root long"))
 
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    named = classes.select("label", "h1", "h2", "cid", "copies").join(links, "cid", "left")
+    named = classes.select("label", "h1", "h2", "cid", "first", "copies").join(links, "cid", "left")
     if has_rows(found):
-        named = named.join(components(found, "cid", "root").toDF("cid", "low"), "cid", "left")
+        named = named.join(components(found, "cid", "root").toDF("cid", "group"), "cid", "left")
+        low = named.where("group is not null").groupBy("group").agg(F.min("first").alias("low"))
+        named = named.join(low, "group", "left")
     else:
-        named = named.withColumn("low", F.col("cid"))
-    named = named.select("label", "h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("low", "cid").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+        named = named.withColumn("low", F.lit(None).cast("long"))
+    named = named.select("label", "h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("low", "first").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
     # a class with very many copies is one join key: both sides are dealt by (key, salt)
     slim = rows.select("vec_id", "label", "h1", "h2").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int"))
     out = slim.join(named, ["label", "h1", "h2", "salt"], "left").withColumn("component_id", F.coalesce("low", "vec_id"))
