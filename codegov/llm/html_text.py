@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded, table
 from .html_blocks import Block, blocks, features
 from .html_training import labelled_pages
 
@@ -120,7 +120,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
             texts = [main_text(shared.value, p) for p in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return bounded(pages).select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, labelled_sample, table
-from .texthash import mix, word_hashes
+from .common import added, bounded, bucket_of, labelled_sample, table
+from .texthash import mix, word_places
 
 PASSAGE = 512
 PER_CLASS = 1200
@@ -43,7 +43,7 @@ def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(passages x FEATURES, offsets of the documents in the passages)."""
     rows, ends = [], [0]
     raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
-    for i, hashes, at in word_hashes(texts):
+    for i, hashes, at, places in word_places(texts):
         for k in range(len(at) - 1):
             data = np.frombuffer(raw[i + k].as_buffer(), np.uint8)
             n = max(1, -(-len(data) // PASSAGE))
@@ -56,7 +56,7 @@ def describe(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 pairs = mix(h[:-1] * np.uint64(3) + h[1:])
                 _, back, count = np.unique(pairs, return_inverse=True, return_counts=True)
                 again = np.append(count[back] > 1, False)
-                of = np.minimum(np.arange(len(h)) * n // len(h), n - 1)  # words are dealt evenly over the passages
+                of = places[at[k] : at[k + 1]] // PASSAGE  # the passage where the word begins
                 words = np.maximum(np.bincount(of, minlength=n), 1)
                 f[:, _KINDS] = np.bincount(of, again, minlength=n) / words
                 f[:, _KINDS + 1] = len(count) / len(pairs)
@@ -83,6 +83,19 @@ def forward(w: dict, x: np.ndarray, at: np.ndarray) -> dict:
     return {"of": of, "h": h, "t": t, "g": g, "a": a, "z": z, "logit": z @ w["c"] + w["b"]}
 
 
+def gradient(w: dict, s: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of labels ``y``, at the values ``s`` that ``forward`` gave."""
+    d = (_sigmoid(s["logit"]) - y) / len(y)
+    dz = d[:, None] * w["c"]
+    da = (s["h"] * dz[s["of"]]).sum(1)
+    de = s["a"] * (da - np.add.reduceat(s["a"] * da, at[:-1])[s["of"]])
+    dtg = de[:, None] * w["a"]
+    dt, dg = dtg * s["g"] * (1 - s["t"] ** 2), dtg * s["t"] * s["g"] * (1 - s["g"])
+    dh = s["a"][:, None] * dz[s["of"]] + dt @ w["V"].T + dg @ w["U"].T
+    du = dh * (1 - s["h"] ** 2)
+    return {"We": x.T @ du, "be": du.sum(0), "V": s["h"].T @ dt, "U": s["h"].T @ dg, "a": (s["t"] * s["g"]).T @ de, "c": s["z"].T @ d, "b": np.array([d.sum()])}
+
+
 def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict:
     """Weights by Adam on the log loss of the document labels."""
     r = np.random.default_rng(seed)
@@ -98,15 +111,7 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 60, batch: i
             rows = np.repeat(at[docs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             xb, ab = x[rows], np.concatenate(([0], np.cumsum(sizes)))
             s = forward(w, xb, ab)
-            d = (_sigmoid(s["logit"]) - y[docs]) / len(docs)
-            dz = d[:, None] * w["c"]
-            da = (s["h"] * dz[s["of"]]).sum(1)
-            de = s["a"] * (da - np.add.reduceat(s["a"] * da, ab[:-1])[s["of"]])
-            dtg = de[:, None] * w["a"]
-            dt, dg = dtg * s["g"] * (1 - s["t"] ** 2), dtg * s["t"] * s["g"] * (1 - s["g"])
-            dh = s["a"][:, None] * dz[s["of"]] + dt @ w["V"].T + dg @ w["U"].T
-            du = dh * (1 - s["h"] ** 2)
-            grad = {"We": xb.T @ du, "be": du.sum(0), "V": s["h"].T @ dt, "U": s["h"].T @ dg, "a": (s["t"] * s["g"]).T @ de, "c": s["z"].T @ d, "b": np.array([d.sum()])}
+            grad = gradient(w, s, xb, ab, y[docs])
             step += 1
             for k in w:
                 q = grad[k] + decay * w[k]
@@ -126,14 +131,21 @@ def predict(w: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = PER_CLASS) -> dict | None:
-    sample = labelled_sample(docs, labels, "quality", modulus, held, per_class).toArrow().combine_chunks()
-    y = np.array(sample["y"].to_pylist(), float)
+    """The weights, or None without labelled documents of both classes. Bags are described where their texts are."""
+
+    def run(batches):
+        for b in batches:
+            x, at = describe(b.column("text"))
+            bags = [x[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("o"), b.column("y"), pa.array(bags, pa.binary())], ["o", "y", "bag"])
+
+    sample = labelled_sample(docs, labels, "quality", modulus, held, per_class).select(F.xxhash64("doc_id", "text").alias("o"), "y", "text")
+    bags = sample.mapInArrow(run, "o long, y int, bag binary").toArrow().sort_by("o")  # rows arrive in any order
+    y = bags["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
-    order = np.argsort(np.array([str(i) for i in sample["doc_id"].to_pylist()]), kind="stable")  # rows arrive in any order
-    sample, y = sample.take(pa.array(order)), y[order]
-    x, at = describe(pa.concat_arrays(sample["text"].chunks))
-    w = fit(x, at, y)
+    parts = [np.frombuffer(x.as_py()).reshape(-1, FEATURES) for x in bags["bag"]]
+    w = fit(np.concatenate(parts), np.cumsum([0, *map(len, parts)]), y)
     n = labels.where(F.col("quality").isin(0, 1) & (bucket_of("doc_id", modulus) != held)).agg(F.sum("quality").alias("good"), F.count(F.lit(1)).alias("all")).first()
     good, bad = max(int(n["good"]), 1), max(int(n["all"]) - int(n["good"]), 1)
     w["b"] = w["b"] + math.log(good / bad) - math.log(max(y.sum(), 1) / max((1 - y).sum(), 1))
@@ -142,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """``docs`` with score double and predicted int."""
-    model = train(docs, labels, modulus, held, per_class)
+    model = train(bounded(docs), labels, modulus, held, per_class)
     if model is None:
         return docs.withColumn("score", F.lit(1.0)).withColumn("predicted", F.lit(1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -159,9 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, t
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pipeline's stage: documents predicted to be of low quality go; the columns of docs."""
-    names = docs.columns
-    renamed = docs.toDF(*[n if n not in ("score", "predicted") else f"__{n}" for n in names])
-    return score(renamed, labels).where("predicted = 1").drop("score", "predicted").toDF(*names)
+    return added(docs, ("score", "predicted"), lambda x: score(x, labels).where("predicted = 1"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

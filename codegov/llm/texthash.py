@@ -56,6 +56,11 @@ def word_hashes(texts: pa.Array, budget: int = 1 << 20):
     Words are runs of characters other than ASCII white space, with A-Z lower-cased. ``offsets`` has the rows' ranges
     in ``hashes``. A null text has no words.
     """
+    return ((i, h, at) for i, h, at, _ in word_places(texts, budget))
+
+
+def word_places(texts: pa.Array, budget: int = 1 << 20):
+    """What ``word_hashes`` yields, and the byte of its text where each word begins."""
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     for i, j in _runs(texts, budget):
         part = pa.concat_arrays([pc.fill_null(texts[i:j], b"")])
@@ -63,7 +68,7 @@ def word_hashes(texts: pa.Array, budget: int = 1 << 20):
         data = np.frombuffer(part.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
         if not len(data):
-            yield i, np.zeros(0, U), np.zeros(len(at), np.int64)
+            yield i, np.zeros(0, U), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
             continue
         space = _SPACE[data]
         starts_word = ~space
@@ -79,7 +84,8 @@ def word_hashes(texts: pa.Array, budget: int = 1 << 20):
         total = np.zeros(len(data) + 1, U)
         np.add.accumulate(_FOLDED[data] * power[: len(data)], out=total[1:])
         hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-        yield i, hashes, np.searchsorted(starts, at)
+        ranges = np.searchsorted(starts, at)
+        yield i, hashes, ranges, starts - np.repeat(at[:-1], np.diff(ranges))
 
 
 def shingle_sets(texts: pa.Array, words: int):
