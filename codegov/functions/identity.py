@@ -22,14 +22,20 @@ def artifact(kind: str, **data: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), stable_json(**data).alias("data"))
 
 
+def _first(findings: DataFrame, order: str, keys: tuple[str, ...]) -> tuple[list[str], Column]:
+    """The fields of a finding, and the whole first finding: by ``order``, ties by the fields themselves."""
+    kept = [c for c in findings.columns if c not in (order, "fingerprint", "artifacts", *keys)]
+    return kept, F.min(F.struct(order, *kept)).alias("__first")
+
+
 def fold_findings(findings: DataFrame, order: str = "ord", keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per fingerprint: the first finding's fields, the artifacts of all, sorted by their JSON text.
 
     For fingerprints of few artifacts: they become one row. ``count_findings`` and ``evidence`` have no such bound.
     """
-    kept = [c for c in findings.columns if c not in (order, "fingerprint", "artifacts", *keys)]
-    firsts = [F.min_by(c, order).alias(c) for c in kept]
-    return findings.groupBy(*keys, "fingerprint").agg(*firsts, F.array_sort(F.flatten(F.collect_list("artifacts"))).alias("artifacts"))
+    kept, first = _first(findings, order, keys)
+    out = findings.groupBy(*keys, "fingerprint").agg(first, F.array_sort(F.flatten(F.collect_list("artifacts"))).alias("artifacts"))
+    return out.select(*keys, "fingerprint", *(f"__first.{c}" for c in kept), "artifacts")
 
 
 def count_findings(findings: DataFrame, order: str = "ord", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -37,8 +43,9 @@ def count_findings(findings: DataFrame, order: str = "ord", keys: tuple[str, ...
 
     Every aggregate combines before the shuffle, so a fingerprint may have any number of them; ``evidence`` has them.
     """
-    kept = [c for c in findings.columns if c not in (order, "fingerprint", "artifacts", *keys)]
-    return findings.groupBy(*keys, "fingerprint").agg(*(F.min_by(c, order).alias(c) for c in kept), F.sum(F.size("artifacts")).alias("n"))
+    kept, first = _first(findings, order, keys)
+    out = findings.groupBy(*keys, "fingerprint").agg(first, F.sum(F.size("artifacts")).alias("n"))
+    return out.select(*keys, "fingerprint", *(f"__first.{c}" for c in kept), "n")
 
 
 def evidence(findings: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -29,17 +29,18 @@ class Layer:
             raise ValueError("a layer either allows or forbids")
 
 
-def layer_root(edges: DataFrame, target: str) -> str:
-    """``<root>/**`` of the package of that name on some edge, else the target itself as a glob."""
-    row = edges.where(F.col("from_pkg_name") == target).agg(F.min("from_pkg_root").alias("root")).first()
-    return f"{row['root']}/**" if row and row["root"] else target
+def layer_roots(edges: DataFrame, targets: list[str]) -> dict[str, str]:
+    """For each target ``<root>/**`` of the package of that name on some edge, else the target itself as a glob; one pass."""
+    rows = edges.where(F.col("from_pkg_name").isin(*targets)).groupBy("from_pkg_name").agg(F.min("from_pkg_root").alias("root")).collect()
+    named = {r["from_pkg_name"]: f"{r['root']}/**" for r in rows if r["root"]}
+    return {t: named.get(t, t) for t in targets}
 
 
-def crossing(edges: DataFrame, root: str) -> DataFrame:
-    """Edges that leave the layer: not imports of its own package by name, not internal edges that stay inside."""
+def leaves(root: str) -> Column:
+    """Whether an edge leaves the layer: no import of its own package by name, no internal edge that stays inside."""
     own = F.col("is_external") & (F.col("to_path") == F.col("from_pkg_name"))
     stays = ~F.col("is_external") & matches(F.col("to_path"), root)
-    return edges.where(matches(F.col("from_path"), root) & ~F.coalesce(own, F.lit(False)) & ~stays)
+    return matches(F.col("from_path"), root) & ~F.coalesce(own, F.lit(False)) & ~stays
 
 
 def _offends(layer: Layer) -> Column:
@@ -49,14 +50,16 @@ def _offends(layer: Layer) -> Column:
     return ~matches_any_import(to, layer.allows)
 
 
-def violations(edges: DataFrame, layer: Layer) -> DataFrame:
-    """One finding per (target, dependency, import site) of a pure, allow-list or deny-list layer."""
-    rule = IMPORTS if layer.allows or layer.forbids else PURE
-    found = crossing(edges, layer_root(edges, layer.target)).where(_offends(layer))
-    instance = f"{rule}:{layer.target}"
+def violations(edges: DataFrame, *layers: Layer) -> DataFrame:
+    """One finding per (target, dependency, import site) of pure, allow-list or deny-list layers; one pass for all of them."""
+    roots = layer_roots(edges, [x.target for x in layers])
+    rule = lambda x: IMPORTS if x.allows or x.forbids else PURE
+    hits = [F.when(leaves(roots[x.target]) & _offends(x), F.struct(F.lit(rule(x)).alias("rule"), F.lit(x.target).alias("target"))) for x in layers]
+    found = edges.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+    target, name = F.col("hit.target"), F.col("hit.rule")
     return found.select(
-        F.lit(rule).alias("rule_id"), F.lit(instance).alias("instance_id"), fingerprint(rule, target=F.lit(layer.target), dependency=F.col("to_path")).alias("fingerprint"),
-        F.concat(F.lit(f"{layer.target} imports "), F.col("to_path")).alias("message"),
+        name.alias("rule_id"), F.concat(name, F.lit(":"), target).alias("instance_id"), fingerprint(name, target=target, dependency=F.col("to_path")).alias("fingerprint"),
+        F.concat(target, F.lit(" imports "), F.col("to_path")).alias("message"),
         F.array(artifact("import", file=F.col("file"), line=F.col("line"), column=F.col("column"), dependency=F.col("to_path"), packageRoot=F.col("from_pkg_root"))).alias("artifacts"),
         F.struct("file", "line", "column", "to_path").alias("ord"), F.col("to_path").alias("dependency"),
     )
@@ -84,8 +87,9 @@ def reach(edges: DataFrame, layers: list[Layer], exact_paths: bool = False, cut=
     walk = cut(plain.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(key(F.col("from_path"))), ancestors(F.col("from_path")))))))
     found: DataFrame | None = None
     seeds = None
+    roots = layer_roots(edges, [x.target for x in layers])
     for layer in layers:
-        direct = crossing(edges, layer_root(edges, layer.target)).where(~F.col("is_external"))
+        direct = edges.where(leaves(roots[layer.target]) & ~F.col("is_external"))
         ok = ~matches_any_import(F.col("to_path"), layer.forbids) if layer.forbids else matches_any_import(F.col("to_path"), layer.allows)
         one = direct.where(ok).select(F.lit(layer.target).alias("target"), F.col("to_path").alias("path")).distinct()
         seeds = one if seeds is None else seeds.unionByName(one)

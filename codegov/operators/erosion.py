@@ -35,8 +35,10 @@ def erosion(bounds: DataFrame, churn: DataFrame, max_boundaries: int = 10_000) -
     Boundaries come from configuration; more than ``max_boundaries`` of them is an error, so the broadcast is bounded.
     Their root globs are of the form prefix/**: a file is in it when one of its directories is the prefix.
     """
-    if bounds.limit(max_boundaries + 1).count() > max_boundaries:
+    rows = bounds.limit(max_boundaries + 1).collect()  # once; the violations behind them aren't worked out again
+    if len(rows) > max_boundaries:
         raise ValueError("too many boundaries for one run")
+    bounds = bounds.sparkSession.createDataFrame(rows, bounds.schema)
     prefix = F.regexp_replace("root", r"/\*\*$", "")
     hot = F.broadcast(bounds.withColumn("prefix", prefix)).join(churn, F.col("path").startswith(F.concat("prefix", F.lit("/"))))
     found = hot.groupBy("boundary").agg(F.sum("count").alias("churn_total"), F.count(F.lit(1)).alias("hot_files"), F.min_by("path", F.struct(-F.col("count"), "path")).alias("hottest"), F.first("violation_count").alias("violation_count"), F.first("sample").alias("sample"))

@@ -19,8 +19,6 @@ IMPORTS = (
     ("require", re.compile(r"\brequire\s*\(\s*(?=['\"])")), ("dynamic", re.compile(r"\bimport\s*\(\s*(?=['\"])")),
     ("static", re.compile(r"(?:^|[;\n}])\s*import\s+(?!type\b)(?:[\w*${}\s,]+\sfrom\s+)?(?=['\"])")),
 )
-BEFORE_SPECIFIER = re.compile(r"(?:\bfrom|\bimport|\brequire\s*\(|\bimport\s*\()\s*$")
-TYPEOF = re.compile(r"\btypeof\s+[\w.$]+\s*[!=]==?\s*$")
 FUNCTION = re.compile(r"\bfunction\s+([\w$]+)\s*\(")
 #: Preset matchers: pattern, role, kind of site, callee, index of the argument that binds (fixed values). A template's
 #: argument is one of its fixed parts.
@@ -74,6 +72,34 @@ def imports_of(text: str) -> list[tuple[str, int, int]]:
     return [(strings[m.end()], *place(text, m.end())) for _, rule in IMPORTS for m in rule.finditer(plain) if m.end() in strings]
 
 
+def _back(text: str, at: int, inside: str = "") -> int:
+    """The place from which on only white space stands before ``at``, or only characters of words and of ``inside``."""
+    while at and (text[at - 1].isspace() if not inside else text[at - 1].isalnum() or text[at - 1] in inside):
+        at -= 1
+    return at
+
+
+def _is_specifier(plain: str, at: int) -> bool:
+    """Whether what ends before ``at`` imports: from, import, require( or import(, however far white space reaches."""
+    end = _back(plain, at)
+    words = ("from", "import")
+    if end and plain[end - 1] == "(":
+        end, words = _back(plain, end - 1), ("require", "import")
+    return plain[_back(plain, end, "_$.") : end] in words
+
+
+def _is_compared_type(plain: str, at: int) -> bool:
+    """Whether what ends before ``at`` is ``typeof operand ==`` or another (in)equality, whatever its length."""
+    end = _back(plain, at)
+    sign = next((s for s in ("===", "!==", "==", "!=") if plain.endswith(s, 0, end)), None)
+    if sign is None:
+        return False
+    end = _back(plain, end - len(sign))
+    start = _back(plain, end, "_$.")
+    end = _back(plain, start)
+    return start > end and plain[_back(plain, end, "_$.") : end] == "typeof"
+
+
 def literals_of(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, value, line, column): strings but import specifiers and typeof comparisons, and all numbers."""
     plain = blank(text)
@@ -82,8 +108,7 @@ def literals_of(text: str) -> list[tuple[str, str, int, int]]:
         if kind == "number":
             out.append((kind, text[a:b], *place(text, a)))
         elif kind == "string":
-            lead = plain[max(0, a - 200) : a]
-            if not BEFORE_SPECIFIER.search(lead) and not TYPEOF.search(lead):
+            if not _is_specifier(plain, a) and not _is_compared_type(plain, a):
                 out.append((kind, text[a + 1 : b - 1], *place(text, a)))
     return out
 

@@ -65,13 +65,11 @@ def shared_algorithms(bindings: DataFrame, patterns: tuple[str, ...] | None = No
     rows = bindings.where((F.col("binding_key") != "") & ~F.col("binding_key").isin(*NOISE, *ignored))
     if patterns is not None:
         rows = rows.where(F.col("pattern_id").isin(*patterns)) if patterns else rows.limit(0)
-    place = F.coalesce("containing_function", "file")
-    holders = rows.groupBy("pattern_id", "binding_key", place.alias("container"), "file").agg(F.collect_set("role").alias("roles"))
-    holders = holders.groupBy("pattern_id", "binding_key", "container").agg(F.collect_set("file").alias("f"), F.array_distinct(F.flatten(F.collect_list("roles"))).alias("r"))
-    found = holders.groupBy("pattern_id", "binding_key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("f")))).alias("files"), F.size(F.array_distinct(F.flatten(F.collect_list("r")))).alias("roles"), F.max((F.size("r") >= 2).cast("int")).alias("together")
-    )
-    good = found.where((F.col("files") >= min_files) & ((F.col("roles") >= 2) | F.lit(not complete_pair)) & ((F.col("together") == 1) | F.lit(not same_container)))
+    good = rows.groupBy("pattern_id", "binding_key").agg(F.count_distinct("file").alias("files"), F.count_distinct("role").alias("roles"))
+    good = good.where((F.col("files") >= min_files) & ((F.col("roles") >= 2) | F.lit(not complete_pair)))
+    if same_container:
+        per = rows.groupBy("pattern_id", "binding_key", F.coalesce("containing_function", "file").alias("container")).agg(F.min("role").alias("low"), F.max("role").alias("high"))
+        good = good.join(per.where("low != high"), ["pattern_id", "binding_key"], "left_semi")
     return good.select("pattern_id", "binding_key", F.col("files").cast("long").alias("files"), F.col("roles").cast("long").alias("roles"), fingerprint(ALGORITHM, patternId=F.col("pattern_id"), bindingKey=F.col("binding_key")).alias("fingerprint"))
 
 

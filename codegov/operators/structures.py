@@ -27,12 +27,17 @@ def argument_findings(signatures: DataFrame, flag_boolean: bool = True, max_argu
 
 
 def position_findings(sources: DataFrame, accesses: DataFrame, only_heterogeneous: bool = True) -> DataFrame:
-    """Positional structures that are read by index; an access counts for its origin where it has one."""
+    """Positional structures that are read by index; an access counts for its origin where it has one.
+
+    A row for every access with itself as evidence, since a structure may be read anywhere; rows of a structure share a
+    fingerprint, and ``identity.count_findings`` and ``identity.evidence`` fold them.
+    """
     left = sources.where("is_heterogeneous") if only_heterogeneous else sources
     has_origin = F.col("origin_file").isNotNull() | F.col("origin_name").isNotNull()
-    keyed = accesses.select(F.when(has_origin, F.col("origin_file")).otherwise(F.col("file")).alias("file"), F.when(has_origin, F.col("origin_name")).otherwise(F.col("name")).alias("name"), artifact("access", file=F.col("file"), index=F.col("accessed_index"), line=F.col("line")).alias("a"))
-    by_key = keyed.groupBy("file", "name").agg(F.count(F.lit(1)).alias("accesses"), F.array_sort(F.collect_list("a")).alias("artifacts"))
-    return left.select("file", "name").join(by_key, ["file", "name"]).select(fingerprint(POSITION, file=F.col("file"), name=F.col("name")).alias("fingerprint"), "file", "name", "accesses", "artifacts")
+    place = artifact("access", file=F.col("file"), index=F.col("accessed_index"), line=F.col("line"))
+    keyed = accesses.select(F.when(has_origin, F.col("origin_file")).otherwise(F.col("file")).alias("of_file"), F.when(has_origin, F.col("origin_name")).otherwise(F.col("name")).alias("of_name"), F.array(place).alias("artifacts"), F.struct("file", "line").alias("ord"))
+    rows = keyed.join(left.select(F.col("file").alias("of_file"), F.col("name").alias("of_name")).distinct(), ["of_file", "of_name"])
+    return rows.select(fingerprint(POSITION, file=F.col("of_file"), name=F.col("of_name")).alias("fingerprint"), F.col("of_file").alias("file"), F.col("of_name").alias("name"), "artifacts", "ord")
 
 
 def candidates(signatures: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ FACTS = {
     "edges": """
         SELECT a.path AS from_path, '@acme/' || a.pkg AS from_pkg_name, 'packages/' || a.pkg AS from_pkg_root, a.path AS file, CAST(l_orderkey % 400 AS INT) AS line, CAST(l_linenumber AS INT) AS col,
                CASE WHEN l_linenumber % 3 = 0 THEN '@supp/nation_' || CAST(s_nationkey AS STRING) ELSE b.path END AS to_path, l_linenumber % 3 = 0 AS is_external
-        FROM {lineitem} JOIN {paths} a ON l_partkey = a.p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN (SELECT count(*) AS n FROM {part}) c ON 1 = 1
-        JOIN {paths} b ON b.p_partkey = (l_partkey * 7 + l_suppkey) % n""",
+        FROM (SELECT *, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM {part}) AS target FROM {lineitem}) l
+        JOIN {paths} a ON l_partkey = a.p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {paths} b ON b.p_partkey = target""",
     "constants": """
         SELECT 'src/u' || CAST(user_id AS STRING) || '.ts' AS file, 'string' AS kind, event_type AS value, CAST(event_id % 500 AS INT) AS line, 1 AS col FROM {events}
         UNION ALL SELECT 'src/u' || CAST(user_id AS STRING) || '.ts', 'number', regexp_extract(props, '[0-9]+', 0), CAST(event_id % 500 AS INT), 9 FROM {events}""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
-from functools import reduce
 from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
@@ -166,8 +166,8 @@ def p07(get):
 @query("p03_layer_root", "SELECT DISTINCT from_pkg_root || '/**' AS root FROM {edges} WHERE from_pkg_name = '@acme/economy' UNION ALL SELECT 'src/other/**'")
 def p03(get):
     e = _edges(get)
-    roots = [boundary.layer_root(e, t) for t in (_ECONOMY, "src/other/**")]
-    return e.sparkSession.createDataFrame([(r,) for r in roots], "root string")
+    roots = boundary.layer_roots(e, [_ECONOMY, "src/other/**"])
+    return e.sparkSession.createDataFrame([(r,) for r in roots.values()], "root string")
 
 
 @query("p08_idle_patterns", "SELECT p AS pattern FROM (VALUES ('@supp/nation_1'), ('@typo/**'), ('packages/promo/**')) v(p) WHERE EXISTS (SELECT 1 FROM {edges}) AND NOT EXISTS (SELECT 1 FROM {edges} WHERE to_path = p OR starts_with(to_path, replace(p, '/**', '') || '/'))")
@@ -186,9 +186,7 @@ _OK = "(to_path LIKE 'packages/promo/%' OR to_path = '@supp/nation_1')"
     SELECT DISTINCT 'packages/economy/**' AS target, path AS current_path, to_path AS dependency FROM walk JOIN {{edges}} ON from_path = path WHERE is_external AND NOT {_OK}""",
 )
 def j05(get):
-    spark = get("part").sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    _shared(get("part").sparkSession)
     return boundary.reach(_edges(get), [boundary.Layer("packages/economy/**", allows=("packages/promo/**", "@supp/nation_1"))])
 
 
@@ -299,7 +297,8 @@ def s09(get):
 
 @query("j02_positions", "SELECT s.file, s.name, count(*) AS accesses, SHA[" + _json('{"data":{"file":"', "s.file", '","name":"', "s.name", '"},"ruleId":"connascence/position@v1"}') + "] AS fingerprint FROM {sources} s JOIN {accesses} a ON s.file = coalesce(a.origin_file, a.file) AND s.name = coalesce(a.origin_name, a.name) WHERE s.is_heterogeneous GROUP BY s.file, s.name")
 def j02(get):
-    return structures.position_findings(get("sources"), get("accesses")).select("file", "name", "accesses", "fingerprint")
+    found = identity.count_findings(structures.position_findings(get("sources"), get("accesses")))
+    return found.select("file", "name", F.col("n").alias("accesses"), "fingerprint")
 
 
 @query(
@@ -452,8 +451,7 @@ def p16(get):
 def _coupling(get: Get) -> DataFrame:
     e = _edges(get)
     names = [f"@acme/{k}" for k in ("economy", "promo", "standard")]
-    rows = [boundary.violations(e, boundary.Layer(n)) for n in names]
-    both = reduce(DataFrame.unionByName, rows)
+    both = boundary.violations(e, *map(boundary.Layer, names))
     folded = identity.count_findings(both.withColumn("package_root", F.get_json_object(F.get("artifacts", F.lit(0))["data"], "$.packageRoot")))
     return folded.select("rule_id", "instance_id", "fingerprint", "package_root", "dependency")
 
@@ -541,7 +539,7 @@ def e01(get):
     return found.select("page_id", "specifier", paths.is_external(F.col("specifier")).alias("is_external"), "line")
 
 
-@query("e03_bindings", "SELECT page_id, 'pack-unpack' AS pattern_id, 'pack' AS role, CAST(page_id % 4 AS STRING) AS binding_key, 'f' AS containing_function FROM {pages} UNION ALL SELECT page_id, 'pack-unpack', 'unpack', ':', 'f' FROM {pages} UNION ALL SELECT page_id, 'date-format', 'read', '', 'f' FROM {pages}")
+@query("e03_bindings", "SELECT page_id, 'pack-unpack' AS pattern_id, 'pack' AS role, CAST(page_id % 4 AS STRING) AS binding_key, 'f' AS containing_function FROM {pages} UNION ALL SELECT page_id, 'pack-unpack', 'unpack', ':', 'f' FROM {pages}")
 def e03(get):
     text = F.concat(F.lit("function f(x) { return x.join('"), (F.col("page_id") % 4).cast("string"), F.lit("') + x.split(\":\") + x.split(y) + new Date(x) }"))
     found = extraction.bindings(extraction.calls(get("pages").select("page_id", text.alias("content"))))
@@ -567,12 +565,20 @@ def e05(get):
 # ---- streaming
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """A new folder's path in the one of ``spark.checkpoint.dir``, which driver and executors share."""
+def _shared(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a private one only where all is one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared one."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
 
 
 def _drain(df: DataFrame, mode: str) -> DataFrame:

@@ -93,16 +93,20 @@ def run(collectors: list[Collector], rules: list[Rule], enrichers: list[Enricher
             added |= e.enrich({k: facts[k] for k in e.needs})
             scored |= set(e.provides)
     facts |= added
-    result, found = Result(), []
-    for r in rules:
-        if not all(k in facts for k in r.needs):
+    result, found, sites = Result(), [], []
+    for k, r in enumerate(rules):
+        if not all(x in facts for x in r.needs):
             result.skipped.append(r.id)
             continue
-        rows = r.evaluate({k: facts[k] for k in r.needs}).select("rule_id", "instance_id", "fingerprint", "message", "artifacts", F.to_json(F.struct("ord")).alias("ord"))
-        found.append(rows.withColumn("requires_verification", F.lit(bool(scored & set(r.needs)))))
+        rows = r.evaluate({x: facts[x] for x in r.needs}).select("rule_id", "instance_id", "fingerprint", "message", "artifacts", "ord").withColumn("requires_verification", F.lit(bool(scored & set(r.needs))))
+        sites.append(rows.drop("ord"))
+        found.append(count_findings(rows).withColumn("__rule", F.lit(k)))  # each rule has an order of its own
     if found:
-        rows = reduce(DataFrame.unionByName, found)
-        result.findings, result.evidence = count_findings(rows), evidence(rows)
+        # a fingerprint of several rules is one finding, of the rule that was named first
+        first = F.min(F.struct("__rule", "rule_id", "instance_id", "message", "requires_verification")).alias("f")
+        both = reduce(DataFrame.unionByName, found).groupBy("fingerprint").agg(first, F.sum("n").alias("n"))
+        result.findings = both.select("fingerprint", "f.rule_id", "f.instance_id", "f.message", "f.requires_verification", "n")
+        result.evidence = evidence(reduce(DataFrame.unionByName, sites))
     return result
 
 
