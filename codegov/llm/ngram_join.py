@@ -10,8 +10,8 @@ verified. A pair uses the smaller of its two levels.
 The job returns components, not all pairs, so it looks for links in this order:
 
 1. Documents with equal sets are one class; only one of them goes on.
-2. In some star rounds each class is verified against the classes that come first in its posting lists; verified links
-   are contracted into components. A group of thousands of near copies costs a few comparisons per member.
+2. In a star round each class is verified against a few classes that head its posting lists;
+   verified links are contracted into components. A group of thousands of near copies costs a few comparisons per member.
 3. Posting lists that still touch several components give every pair across components that shares enough prefix
    shingles and whose sizes and positions allow enough overlap; all of them are verified. This step makes the result exact: no cap, no sampling.
 
@@ -19,8 +19,10 @@ Texts are hashed again where they are needed instead of being stored as sets: ei
 than the text.
 
 Defined results: a null or empty text, or one of white space only, has an empty set, n_shingles 0, and links with
-nothing (component_id = doc_id). Rows that repeat a doc_id are one document that links if any of its texts does; each
-row is returned. A null doc_id links with nothing and returns a null component. Extra columns are ignored.
+nothing (component_id = doc_id). Rows that repeat a doc_id are one document that links if any of its texts does, so its
+texts' components are one; each row is returned. A null doc_id links with nothing and returns a null component. Extra
+columns are ignored. ``keep_one`` judges rows: of rows with equal texts and ids one stays, and a row whose text links
+with no other stays whatever else has its id.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, has_rows, table
+from .common import bounded, cut, has_rows, table
 from .components import components
 from .texthash import mix, set_key, shingle_sets
 
@@ -45,8 +47,10 @@ VERIFY_COST = 25.0
 #: Bits of a set's parity sketch, in longs.
 SKETCH = 8
 SKETCH_COLUMNS = [f"s{k}" for k in range(SKETCH)]
-#: Star rounds before the exact step.
-STARS = 3
+#: Star rounds before the exact step; heads of a posting list in each.
+STARS, LIST_HEADS = 1, 4
+#: Heads that a class is verified against in a star round, at most.
+HEADS = 8
 
 
 def least_overlap(n, num: int, den: int, floor: Callable | None = None):
@@ -176,7 +180,7 @@ def _verify(words: int, num: int, den: int):
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: components of the links with Jaccard >= num/den."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(docs.mapInArrow(_sets(words), f"doc_id long, n_shingles long, key binary, {', '.join(f'{c} long' for c in SKETCH_COLUMNS)}"))
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "n_shingles")
     # equal sets have equal sketches
@@ -184,6 +188,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     size = classes.agg(F.count("*").alias("n"), F.max("copies").alias("copies")).first()
     if size["n"] <= 1:
         return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")) if (size["copies"] or 0) <= 1 else _named(sets, classes, None)
+    # the classes of one document's texts are one component from the start
+    own = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id", "key", "n_shingles").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    links: DataFrame | None = None
+    if has_rows(own):
+        several = sets.join(own, "doc_id").join(classes.select("key", "n_shingles", "rep"), ["key", "n_shingles"]).select("doc_id", "rep").distinct()
+        links = cut(several.join(several.groupBy("doc_id").agg(F.min("rep").alias("first")), "doc_id").where("first != rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
 
     # the hashed count table: COUNTERS numbers, whatever the input
     counted = docs.select("doc_id", "text").mapInArrow(_counts(words, COUNTERS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
@@ -201,36 +211,55 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     lists = one.mapInArrow(postings, "token long, doc long, pos int, n int, level short")
     lists = cut(lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c"))
     lists = cut(_bounded(lists, num, den))
-    home = classes.select(F.col("rep").alias("doc")).distinct().withColumn("comp", F.col("doc"))
+    shared.destroy()
+    # only these texts are needed from here on, in every round
+    texts = cut(docs.where(F.col("text").isNotNull()).join(lists.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    home = _homes(classes, links) if links is not None else None
+    sketches = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").cast("int").alias("n"), *SKETCH_COLUMNS)
     seen: DataFrame | None = None
-    links: DataFrame | None = None
     for star in range(STARS + 1):
-        now = lists.join(home, "doc") if links is not None else lists.withColumn("comp", F.col("doc"))
-        heads = now.groupBy("token").agg(F.min(F.struct("comp", "doc")).alias("lo"), F.max("comp").alias("hi")).where(F.col("lo.comp") != F.col("hi")).select("token", F.col("lo.comp").alias("hc"), F.col("lo.doc").alias("head"))
-        now = now.join(heads, "token")
-        if star < STARS:
-            pairs = now.where("comp != hc").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n"))
-            pairs = pairs.groupBy("doc").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
-            pairs = pairs.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+        now = lists.join(home, "doc") if home is not None else lists.withColumn("comp", F.col("doc"))
+        # the first document of a list heads it, and some that differ from list to list
+        nth = [F.min_by("doc", F.xxhash64("doc", "token", F.lit(star * LIST_HEADS + k))) for k in range(1, LIST_HEADS)]
+        heads = now.groupBy("token").agg(F.array_distinct(F.array(F.min("doc"), *nth)).alias("heads"), F.min("comp").alias("least"), F.max("comp").alias("largest"))
+        now = now.join(heads.where("least != largest").select("token", "heads"), "token")
+        exact = star == STARS
+        if not exact:
+            pairs = now.select("doc", "comp", F.explode("heads").alias("head")).where("doc != head").groupBy("doc", "comp", "head").agg(F.count(F.lit(1)).alias("n"))
+            if home is not None:
+                pairs = pairs.join(home.toDF("head", "hc"), "head").where("comp != hc")
+            pairs = pairs.select("doc", "head", "n", F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"))
+            pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = _possible(pairs, sketches, num, den)
+            nth = F.row_number().over(Window.partitionBy("doc").orderBy(F.col("n").desc(), "head"))  # at most as many heads as prefix shingles
+            pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= HEADS).select("a", "b").distinct()
         else:
-            pairs = _candidates(now, classes.select(F.col("rep").alias("doc"), F.col("n_shingles").cast("int").alias("n"), *SKETCH_COLUMNS), num, den)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = _candidates(now, sketches, num, den)
+            pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if not has_rows(pairs):
-            if star < STARS:
-                continue
-            break
-        texts = docs.where(F.col("text").isNotNull())
         checked = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         found = cut(checked.mapInArrow(_verify(words, num, den), "a long, b long, linked boolean").where("linked").select("a", "b").distinct())
         seen = pairs if seen is None else cut(seen.union(pairs))
         links = found if links is None else cut(links.union(found))
-        if star < STARS and has_rows(found):
-            home = _homes(classes, links)
+        if exact:
+            break
+        home = _homes(classes, links)
     return _named(sets, classes, links)
 
 
+def _differing(num: int, den: int) -> str:
+    """SQL that is false where the sketches of sides a and b prove that they aren't similar."""
+    bits = " + ".join(f"bit_count({c}a ^ {c}b)" for c in SKETCH_COLUMNS)
+    return f"({bits}) * {num + den} <= (na + nb) * {den - num}"
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sketches and sizes don't rule out; where an id has several sets, some of them must fit."""
+    side = lambda s: sketches.select(F.col("doc").alias(s), *(F.col(c).alias(c + s) for c in ("n", *SKETCH_COLUMNS)))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}").where(_differing(num, den))
+    return both.select(*pairs.columns)
+
+
 def _candidates(now: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) across components that share enough prefix shingles at positions that allow enough overlap.
 
@@ -247,8 +276,7 @@ def _candidates(now: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     rows = rows.join(sketches, ["doc", "n"])
     side = lambda s: rows.select(*group, F.col("doc").alias(s), *(F.col(c).alias(c + s) for c in ("comp", "n", "level", "w", "last", "most", *SKETCH_COLUMNS)))
     both = side("a").join(side("b"), group).where("a < b and compa != compb and na <= mostb and nb <= mosta")
-    differing = " + ".join(f"bit_count({c}a ^ {c}b)" for c in SKETCH_COLUMNS)
-    both = both.where(f"({differing}) * {num + den} <= (na + nb) * {den - num}")
+    both = both.where(_differing(num, den))
     pairs = both.groupBy("a", "b", "na", "nb", F.least("levela", "levelb").alias("level")).agg(F.sum(F.least("wa", "wb")).alias("shared"), F.max("lasta").alias("pa"), F.max("lastb").alias("pb"))
     # what is shared up to the last shared prefix shingle, and at most all that follows it
     reach = F.col("shared") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
@@ -289,9 +317,18 @@ def _named(sets: DataFrame, classes: DataFrame, links: DataFrame | None) -> Data
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The pipeline's stage: of every component one document stays, the one with the smallest id; the columns of docs."""
-    homes = jaccard_components(docs, words, num, den).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(homes, "doc_id", "left_anti").select(*docs.columns)
+    """The pipeline's stage: of every component one row stays, that of the smallest id; the columns of docs."""
+    names = docs.columns
+    if not has_rows(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")):
+        homes = jaccard_components(docs, words, num, den).where("doc_id != component_id").select("doc_id").distinct()
+        return docs.join(homes, "doc_id", "left_anti").select(*names)
+    # ids that repeat: the nodes are (id, text), numbered in the order of ids
+    rows = docs.where("doc_id is not null").withColumn("__text_hash", F.xxhash64("text"))
+    nodes = cut(rows.select("doc_id", "__text_hash").distinct().orderBy("doc_id", "__text_hash").withColumn("__node", F.monotonically_increasing_id()))
+    rows = rows.join(nodes, ["doc_id", "__text_hash"])
+    homes = jaccard_components(rows.select(F.col("__node").alias("doc_id"), "text"), words, num, den).where("doc_id != component_id").select(F.col("doc_id").alias("__node")).distinct()
+    kept = rows.join(homes, "__node", "left_anti").dropDuplicates(["__node"])
+    return kept.select(*names).unionByName(docs.where("doc_id is null"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
