@@ -70,3 +70,24 @@ def union_types(text: Column) -> Column:
 
 def guard_text(text: Column) -> Column:
     return F.substring(F.trim(text), 1, 300)
+
+
+def display(kind: Column, data: Column) -> Column:
+    """What a reader sees of an artifact, as a map of texts by kind; fields without a value are left out, an unknown kind is its ``value``."""
+    at = lambda name: F.get_json_object(data, f"$.{name}")
+    spot = F.concat_ws(":", at("file"), at("line"), at("column"))
+    binding = {"location": spot, "role": at("role"), "pattern": at("patternId"), "invariant": at("bindingKey"), "function": at("functionName"), "container": F.coalesce(at("containingFunction"), F.lit("(module-level)"))}
+    shown = {
+        "churn": {"file": at("path"), "changes": at("count")},
+        "import": {"file": spot, "dependency": at("dependency")},
+        "literal": {"location": spot},
+        "function": {"location": spot, "function": at("name")},
+        "source": {"role": F.lit("[Source]"), "location": spot, "identifier": at("name"), "positions": at("positions")},
+        "access": {"role": F.lit("[Access]"), "location": spot, "identifier": at("name"), "kind": at("accessKind"), "index": at("index")},
+        "binding": binding,
+    }
+    as_map = lambda fields: F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+    out = as_map({"value": data})
+    for name, fields in shown.items():
+        out = F.when(kind == name, as_map(fields)).otherwise(out)
+    return F.map_filter(out, lambda _, v: v.isNotNull())

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import is_external, resolve
+from .graph import nearest_package
+
 #: Comments, strings and numbers outside them, and what opens or closes a template or its substitutions.
 LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|$)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|[`{}]|(?<![\w.$])(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w$])", re.S)
 #: The fixed part of a template up to its end or its next substitution.
@@ -271,3 +274,17 @@ def bindings(found: DataFrame, matchers=PRESETS) -> DataFrame:
     ]
     rows = found.withColumn("m", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())))
     return rows.select(*[c for c in found.columns if c not in ("kind", "arguments")], "m.pattern_id", "m.role", "m.binding_key").withColumnRenamed("callee", "function_name")
+
+
+def depends_on(found: DataFrame, packages: DataFrame) -> DataFrame:
+    """The ``depends_on`` facts of imports (file, specifier, line, column), with the importing file's nearest package.
+
+    A relative specifier becomes a project path. Any other one is external and its own package.
+    """
+    homes = nearest_package(found.select(F.col("file").alias("path")).distinct(), packages)
+    rows = found.join(homes.select(F.col("path").alias("file"), F.col("name").alias("from_pkg_name"), F.col("root_path").alias("from_pkg_root")), "file", "left")
+    outside, text = is_external(F.col("specifier")), F.col("specifier")
+    return rows.select(
+        F.col("file").alias("from_path"), "from_pkg_name", "from_pkg_root", "file", "line", "column", F.when(outside, text).otherwise(resolve(F.col("file"), text)).alias("to_path"), outside.alias("is_external"),
+        F.when(outside, text).alias("to_pkg_name"), F.lit(None).cast("string").alias("to_pkg_root"),
+    )

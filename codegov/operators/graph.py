@@ -38,3 +38,17 @@ def enclosing_function(functions: DataFrame, calls: DataFrame, keys: tuple[str,
     inside = F.col("cl").between(F.col("sl"), F.col("el")) & ((F.col("cl") != F.col("sl")) | (F.col("cc") >= F.col("sc"))) & ((F.col("cl") != F.col("el")) | (F.col("cc") <= F.col("ec")))
     size = (F.col("el") - F.col("sl")).cast("long") * 100000 + (F.col("ec") - F.col("sc"))
     return x.where(inside).groupBy("call_idx").agg(F.min_by("fun_idx", F.struct(size, "fun_idx")).alias("fun_idx"))
+
+
+def call_edges(functions: DataFrame, calls: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(keys, caller_id, callee_id, line, column): a row for every resolved target of every call.
+
+    ``targets``: (call_idx, callee_idx). A function's id is ``file:line:column`` with columns from 0. A call outside every
+    function has no caller and goes, as does a target that is unknown, without a start, or a module's own range.
+    """
+    known = functions.where(F.col("sl").isNotNull() & ~((F.col("sl") == 1) & (F.col("sc") == 1)))
+    names = known.select("fun_idx", F.concat_ws(":", *keys, F.col("sl").cast("string"), (F.col("sc") - 1).cast("string")).alias("id"))
+    place = calls.select("call_idx", *keys, F.col("cl").alias("line"), (F.col("cc") - 1).alias("column"))
+    found = enclosing_function(functions, calls, keys).join(targets, "call_idx").join(place, "call_idx")
+    found = found.join(names.withColumnRenamed("id", "caller_id"), "fun_idx")
+    return found.join(names.select(F.col("fun_idx").alias("callee_idx"), F.col("id").alias("callee_id")), "callee_idx").select(*keys, "caller_id", "callee_id", "line", "column")

@@ -79,6 +79,11 @@ def merge_facts(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ordered)
 
 
+def merge_values(*sources: DataFrame) -> DataFrame:
+    """(key, value): facts that are single values; of several collectors that supply one, the last registered wins."""
+    return merge_facts(*sources).groupBy("key").agg(F.max_by("value", "source_order").alias("value"))
+
+
 def keep_first(facts: DataFrame, kind: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The first of the facts that share a key; min_by combines before the shuffle, where a window would not."""
     names = [*keys, *FACT_KEYS[kind]]

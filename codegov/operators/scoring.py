@@ -18,6 +18,23 @@ def cache_plan(items: DataFrame, cache: DataFrame) -> DataFrame:
     return both.select("cache_key", F.when(F.col("i").isNull(), "stale").when(F.col("c").isNull(), "miss").otherwise("hit").alias("part"))
 
 
+def merge_results(items: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(original_index, cache_key, confidence, cached): cached and new results in the items' own order.
+
+    ``cache``: (cache_key, confidence), one row a key; ``fresh``: (original_index, confidence) of the items that missed.
+    The order is a range partitioning, so no task holds all items.
+    """
+    hits = items.select("original_index", "cache_key").join(cache.select("cache_key", "confidence"), "cache_key").withColumn("cached", F.lit(True))
+    new = items.select("original_index", "cache_key").join(fresh.select("original_index", "confidence"), "original_index").withColumn("cached", F.lit(False))
+    names = ["original_index", "cache_key", "confidence", "cached"]
+    return hits.select(*names).unionByName(new.select(*names)).orderBy("original_index")
+
+
+def next_cache(merged: DataFrame) -> DataFrame:
+    """(cache_key, confidence): the cache after a run. What no item used is gone; of equal keys the first item's result stays."""
+    return merged.groupBy("cache_key").agg(F.min_by("confidence", "original_index").alias("confidence"))
+
+
 def _walk(tokens: list[int], budget: int, max_items: int, used: int = 0, count: int = 0) -> list[int]:
     """For each item, 1 if a batch starts with it, else 0; the batch before has ``used`` tokens of ``count`` items."""
     out = []

@@ -43,16 +43,17 @@ FACTS = {
                CASE WHEN event_type = 'purchase' THEN ts + DAYS[k % 40] END AS expires_at, 'rule' || CAST(k % 4 AS STRING) || '@v1' AS rule_id FROM {keyed_events}""",
     "current": """
         SELECT fingerprint, max(review) = 1 AS requires_verification FROM (
-          SELECT SHA[CAST(user_id AS STRING) || ':' || CAST(k AS STRING)] AS fingerprint, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS review FROM {keyed_events} WHERE event_id % 3 = 0
-          UNION ALL SELECT SHA['new:' || CAST(o_orderkey AS STRING)], 0 FROM {orders} WHERE o_orderkey < 50) x GROUP BY fingerprint""",
+          SELECT SHA[CAST(user_id AS STRING) || ':' || CAST(k AS STRING)] AS fingerprint, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS review FROM {keyed_events} WHERE event_type IN ('click', 'purchase')
+          UNION ALL SELECT SHA['new:' || CAST(o_orderkey AS STRING)], 0 FROM {orders}) x GROUP BY fingerprint""",
     "axioms": """
-        SELECT 'axiom' || CAST(n_regionkey AS STRING) AS axiom_id, n_nationkey AS ord, CASE n_nationkey % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'superseded' ELSE 'revoked' END AS type,
-               CASE WHEN n_nationkey % 3 = 0 THEN 'scope ' || n_name END AS scope, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS claim FROM {nation}""",
+        SELECT 'axiom' || CAST(o_custkey AS STRING) AS axiom_id, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'declared' WHEN 'O' THEN 'superseded' ELSE 'revoked' END AS type,
+               CASE WHEN o_orderstatus = 'F' THEN 'scope ' || o_orderpriority END AS scope, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS claim FROM {orders}""",
     "packages": "SELECT DISTINCT '@acme/' || lower(p_type) AS name, 'packages/' || lower(p_type) AS root_path FROM {part}",
     "ranges": "SELECT 'f' || CAST(o_custkey % (5 * n) AS STRING) AS file, o_orderkey AS fun_idx, CAST(o_orderkey % 400 AS INT) + 2 AS sl, 1 AS sc, CAST(o_orderkey % 400 + o_orderkey % 37 AS INT) + 2 AS el, 80 AS ec FROM {orders} JOIN (SELECT count(*) AS n FROM {supplier}) c ON 1 = 1",
     "sites": """
         SELECT 'f' || CAST(l_partkey % (5 * n) AS STRING) AS file, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS call_idx, max(CAST((l_orderkey * l_linenumber) % 440 AS INT)) AS cl, 5 AS cc
         FROM {lineitem} JOIN (SELECT count(*) AS n FROM {supplier}) c ON 1 = 1 GROUP BY l_partkey, n, l_orderkey, l_linenumber""",
+    "targets": "SELECT DISTINCT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS call_idx, l_partkey AS callee_idx FROM {lineitem}",
     "items": "SELECT doc_id AS original_index, CAST(ceil(n_chars / 4.0) AS BIGINT) AS tokens, SHA[CAST(doc_id AS STRING)] AS cache_key FROM {documents}",
 }
 

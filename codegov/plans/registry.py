@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,6 +233,16 @@ def u01(get):
     return merged.groupBy("source_order").agg(F.count(F.lit(1)).alias("n"))
 
 
+_VALUES = ("click", "purchase", "view")
+
+
+@query("u01_last_wins", "SELECT user_id AS key, arg_max(v, s) AS value FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS s, max(event_id) AS v FROM {events} WHERE event_type IN ('click', 'purchase', 'view') GROUP BY user_id, event_type) x GROUP BY user_id")
+def u01_values(get):
+    """A value per user from each of three collectors, the newest event of their type."""
+    one = lambda t: get("events").where(F.col("event_type") == t).groupBy(F.col("user_id").alias("key")).agg(F.max("event_id").alias("value"))
+    return grouping.merge_values(*map(one, _VALUES))
+
+
 # ---- signatures and structures
 
 
@@ -309,6 +320,16 @@ def j04(get):
     return graph.enclosing_function(get("ranges"), get("sites"))
 
 
+@query(
+    "j04_call_edges",
+    """WITH e AS (SELECT call_idx, fun_idx, s.file, cl, cc, row_number() OVER (PARTITION BY call_idx ORDER BY (el - sl) * 100000 + (ec - sc), fun_idx) AS n FROM {sites} s JOIN {ranges} r ON s.file = r.file AND cl BETWEEN sl AND el AND (cl <> sl OR cc >= sc) AND (cl <> el OR cc <= ec)),
+    f AS (SELECT fun_idx, file || ':' || CAST(sl AS STRING) || ':' || CAST(sc - 1 AS STRING) AS id FROM {ranges})
+    SELECT e.file, a.id AS caller_id, b.id AS callee_id, cl AS line, cc - 1 AS col FROM e JOIN {targets} t ON e.call_idx = t.call_idx JOIN f a ON a.fun_idx = e.fun_idx JOIN f b ON b.fun_idx = callee_idx WHERE n = 1""",
+)
+def j04_edges(get):
+    return graph.call_edges(get("ranges"), get("sites"), get("targets")).withColumnRenamed("column", "col")
+
+
 @query("s22_range_text", "SELECT o_orderkey, CAST(o_custkey AS INT) AS file_index, CAST(o_orderkey % 400 AS INT) AS sl, CAST(o_orderkey % 400 AS INT) AS el FROM {orders}")
 def s22(get):
     r = graph.parse_range(F.concat_ws(":", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 400).cast("string"), F.lit("3"), F.lit("?"), F.lit("?")))
@@ -429,9 +450,9 @@ def p14(get):
     return ledger.axiom_states(get("axioms")).select("axiom_id", "state", "scope")
 
 
-@query("j09_axiom_decisions", f"SELECT r.axiom_id, CASE WHEN s.state IS NULL THEN 'unknown axiom' WHEN s.state <> 'active' THEN 'axiom is ' || s.state END AS rejected FROM (SELECT 'axiom' || CAST(r_regionkey + 2 AS STRING) AS axiom_id FROM {{region}}) r LEFT JOIN ({_AXIOM}) s ON r.axiom_id = s.axiom_id")
+@query("j09_axiom_decisions", f"SELECT r.axiom_id, CASE WHEN s.state IS NULL THEN 'unknown axiom' WHEN s.state <> 'active' THEN 'axiom is ' || s.state END AS rejected FROM (SELECT 'axiom' || CAST(c_custkey AS STRING) AS axiom_id FROM {{customer}}) r LEFT JOIN ({_AXIOM}) s ON r.axiom_id = s.axiom_id")
 def j09(get):
-    asked = get("region").select(F.concat(F.lit("axiom"), (F.col("r_regionkey") + 2).cast("string")).alias("axiom_id"))
+    asked = get("customer").select(F.concat(F.lit("axiom"), F.col("c_custkey").cast("string")).alias("axiom_id"))
     return ledger.axiom_decisions(asked, ledger.axiom_states(get("axioms"))).select("axiom_id", "rejected")
 
 
@@ -472,6 +493,26 @@ def a08(get):
     return found.select("boundary", "churn_total", "hot_files", "hottest", "violation_count")
 
 
+@query("x05_insight", f"{_BOUNDS} SELECT 'boundaries' AS insight, boundary AS name, violation_count AS n FROM b UNION ALL SELECT 'by_rule', 'coupling/pure-imports@v1', sum(violation_count)::BIGINT FROM b HAVING count(*) > 0 UNION ALL SELECT 'by_rule', 'git/churn@v1', count(*) FROM (SELECT path {_WINDOW} GROUP BY path HAVING count(*) >= 3) c HAVING count(*) > 0")
+def x05(get):
+    """Two insights over the findings of two rules; each sees only the rules that it asks for."""
+    churn = git_rules.churn_findings(git_rules.churn_counts(get("commits"), get("changes"), AS_OF, 90), 3)
+    findings = _coupling(get).unionByName(churn.select("rule_id", "instance_id", "fingerprint"), allowMissingColumns=True)
+    parts = [
+        runner.Insight("boundaries", ("coupling/pure-imports",), lambda f: erosion.boundaries(f).select(F.col("boundary").alias("name"), F.col("violation_count").alias("n"))),
+        runner.Insight("by_rule", ("coupling/pure-imports", "git/churn"), lambda f: f.groupBy(F.col("rule_id").alias("name")).agg(F.count(F.lit(1)).alias("n"))),
+    ]
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(k).alias("insight"), "name", "n") for k, rows in runner.insights(findings, parts).items()])
+
+
+@query("s21_display", f"SELECT 'churn' AS kind, path AS file, CAST(count(*) AS STRING) AS changes, NULL AS dependency {_WINDOW} GROUP BY path HAVING count(*) >= 3 UNION ALL SELECT 'import', file || ':' || CAST(line AS STRING) || ':' || CAST(col AS STRING), NULL, to_path {_CROSS}")
+def s21(get):
+    churn = git_rules.churn_findings(git_rules.churn_counts(get("commits"), get("changes"), AS_OF, 90), 3)
+    rows = churn.select("fingerprint", "artifacts").unionByName(boundary.violations(_edges(get), boundary.Layer(_ECONOMY)).select("fingerprint", "artifacts"))
+    shown = identity.evidence(rows).select("kind", identity.display(F.col("kind"), F.col("data")).alias("m"))
+    return shown.select("kind", *(F.col("m").getItem(k).alias(k) for k in ("file", "changes", "dependency")))
+
+
 # ---- scoring
 
 
@@ -521,6 +562,30 @@ def x03(get):
     return scoring.score_batches(scoring.batches(get("items"), 10_000, 20).join(texts, "original_index"), scorer).select("original_index", F.col("confidence").cast("long").alias("confidence"))
 
 
+_KNOWN = "CASE WHEN i.tokens % 3 = 0 THEN 1000 + i.tokens ELSE CAST(length(d.text) % 7 AS BIGINT) END AS confidence"
+
+
+def _merged(get: Get) -> DataFrame:
+    """Items whose cost is a multiple of 3 have a cached score; the others are packed and scored. The cache also has stale keys."""
+    items, texts = get("items"), get("documents").select(F.col("doc_id").alias("original_index"), F.col("text").alias("serialized"))
+    cache = items.where("tokens % 3 = 0").select("cache_key", (F.lit(1000.0) + F.col("tokens")).alias("confidence"))
+    cache = cache.unionByName(get("labels").select(F.sha2(F.concat(F.lit("old"), F.col("doc_id").cast("string")), 256).alias("cache_key"), F.lit(-1.0).alias("confidence")))
+    misses = items.join(cache, "cache_key", "left_anti")
+    scorer = lambda keys, found: [(k, float(len(t) % 7)) for k, t in zip(keys, found, strict=True)]
+    fresh = scoring.score_batches(scoring.batches(misses, 10_000, 20).join(texts, "original_index"), scorer)
+    return scoring.merge_results(items, cache, fresh)
+
+
+@query("o03_merged_scores", f"SELECT original_index, cache_key, {_KNOWN}, i.tokens % 3 = 0 AS cached FROM {{items}} i JOIN {{documents}} d ON original_index = doc_id")
+def o03(get):
+    return _merged(get).select("original_index", "cache_key", F.col("confidence").cast("long").alias("confidence"), "cached")
+
+
+@query("j12_next_cache", f"SELECT cache_key, {_KNOWN} FROM {{items}} i JOIN {{documents}} d ON original_index = doc_id")
+def j12_kept(get):
+    return scoring.next_cache(_merged(get)).select("cache_key", F.col("confidence").cast("long").alias("confidence"))
+
+
 # ---- extraction
 
 
@@ -562,6 +627,52 @@ def e05(get):
     return found.select("page_id", "pattern_id", "role", "function_name", "binding_key")
 
 
+@query("e06_depends_on", """SELECT 'sites/' || CAST(page_id % 7 AS STRING) || '/pages/p' || CAST(page_id AS STRING) || '.html' AS from_path, '@site/' || CAST(page_id % 7 AS STRING) AS from_pkg_name, 'sites/' || CAST(page_id % 7 AS STRING) AS from_pkg_root, CAST(line AS INT) AS line,
+    CASE WHEN starts_with(h, '/t') THEN h ELSE 'sites/' || CAST(page_id % 7 AS STRING) || '/pages' || h END AS to_path, starts_with(h, '/t') AS is_external, CASE WHEN starts_with(h, '/t') THEN h END AS to_pkg_name
+    FROM (SELECT page_id, unnest(h) AS h, unnest(range(1, len(h) + 1)) AS line FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM {pages}) a) x""")
+def e06(get):
+    """Every anchor of the pages as an import of a page beside it, or of something external; sites are the packages."""
+    site = F.concat(F.lit("sites/"), (F.col("page_id") % 7).cast("string"))
+    sources = extraction.page_links(get("pages")).select(F.concat(site, F.lit("/pages/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file"), F.regexp_replace("content", '(?m)^import "/(?!t)', 'import "./').alias("content"))
+    packages = get("pages").select(F.concat(F.lit("@site/"), (F.col("page_id") % 7).cast("string")).alias("name"), site.alias("root_path")).distinct()
+    found = extraction.depends_on(extraction.imports(sources), packages)
+    return found.select("from_path", "from_pkg_name", "from_pkg_root", "line", "to_path", "is_external", "to_pkg_name")
+
+
+# ---- files
+
+
+@query("r07_sources", "SELECT DISTINCT path FROM {changes} WHERE path NOT LIKE '%/Brand11/%' AND status <> 'renamed'")
+def r07(get):
+    """The files of all changes as overlapping sets, renamed ones under a vendored folder."""
+    path = F.when(F.col("status") == "renamed", F.concat(F.lit("node_modules/"), "path")).otherwise(F.col("path"))
+    return ledger_files.list_sources(get("changes").select(path.alias("path")), ("**/Brand11/**",))
+
+
+def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as Parquet in the shared folder; of two tables only the one that is needed is read."""
+    folder = _shared_folder(spark)
+    fact(spark, sf_dir, "constants").withColumnRenamed("col", "column").write.parquet(f"{folder}/constants")
+    fact(spark, sf_dir, "packages").write.parquet(f"{folder}/packages")
+    read = ledger_files.read_facts(spark, folder, ["constants"])
+    return reduce(DataFrame.unionByName, [t.groupBy(F.lit(k).alias("fact"), "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files")) for k, t in read.items()])
+
+
+def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger appended to a file in two runs, revocations in the second, and read again: the latest event by entry id."""
+    path, rows = f"{_shared_folder(spark)}/ledger.ndjson", fact(spark, sf_dir, "ledger")
+    for k, part in enumerate(("type <> 'revoked'", "type = 'revoked'")):
+        ledger_files.append_ledger(ledger_files.stamp(rows.where(part), f"run{k}", k, ["ord"]).drop("ord"), path)
+    return ledger.latest(ledger_files.read_ledger(spark, path), order="entry_id").select("fingerprint", "type", "run_id", "rule_id")
+
+
+QUERIES |= {"r03_read_facts": r03, "r04_ledger_file": r04}
+ORACLE_SQL |= {
+    "r03_read_facts": duck("SELECT 'constants' AS fact, kind, count(*) AS n, count(DISTINCT file) AS files FROM {constants} GROUP BY kind"),
+    "r04_ledger_file": duck("SELECT fingerprint, type, CASE WHEN type = 'revoked' THEN 'run1' ELSE 'run0' END AS run_id, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY type = 'revoked' DESC, ord DESC) AS n FROM {ledger}) x WHERE n = 1"),
+}
+
+
 # ---- streaming
 
 
@@ -640,3 +751,12 @@ def x06(get):
     rules = [runner.Rule("churn", ("git_commits", "git_file_changes"), churn), runner.Rule("literals", ("constants",), literal), runner.Rule("idle", ("call_nodes",), churn)]
     found = runner.run([git], rules, [lit]).findings
     return found.select("fingerprint", "n", "requires_verification")
+
+
+@query("x06_warnings", "SELECT 'layer' AS rule, p AS warning FROM (VALUES ('@supp/nation_1'), ('@typo/**'), ('packages/promo/**')) v(p) WHERE EXISTS (SELECT 1 FROM {edges}) AND NOT EXISTS (SELECT 1 FROM {edges} WHERE to_path = p OR starts_with(to_path, replace(p, '/**', '') || '/'))")
+def x06_warnings(get):
+    """A layer's patterns that match no import come back as warnings of its rule."""
+    allowed = ("@supp/nation_1", "@typo/**", "packages/promo/**")
+    ts = runner.Collector("ts", ("depends_on",), lambda _: {"depends_on": _edges(get)})
+    layer = runner.Rule("layer", ("depends_on",), lambda f: boundary.violations(f["depends_on"], boundary.Layer(_ECONOMY, allows=allowed)), lambda f: boundary.idle_patterns(f["depends_on"], allowed).withColumnRenamed("pattern", "warning"))
+    return runner.run([ts], [layer]).warnings

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.globs import matches
 from .schemas import FACTS, LEDGER
 
 #: Field names in files; tables use snake case.
 _CAMEL = {"entry_id": "entryId", "run_id": "runId", "rule_id": "ruleId", "instance_id": "instanceId", "expires_at": "expiresAt", "requires_verification": "requiresVerification", "axiom_id": "axiomId"}
 
 
+def _ndjson(path: str) -> None:
+    if not path.rstrip("/").endswith(".ndjson"):
+        raise ValueError(f"a ledger's path ends in .ndjson: {path}")
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger events; blank lines are skipped, a missing folder is an empty ledger, bad JSON is an error."""
+    _ndjson(path)
     names = [c.strip().split(" ")[0] for c in LEDGER.replace("array<struct<kind:string,data:string>>", "x").split(",")]
     schema = LEDGER
     for snake, camel in _CAMEL.items():
@@ -38,6 +45,7 @@ def stamp(events: DataFrame, run_id: str, batch_ms: int, order: list[str]) -> Da
 
 
 def append_ledger(events: DataFrame, path: str) -> None:
+    _ndjson(path)
     events.select(*(F.col(c).alias(_CAMEL.get(c, c)) for c in events.columns)).write.mode("append").json(path)
 
 
@@ -60,11 +68,11 @@ def read_facts(spark: SparkSession, folder: str, needed: list[str]) -> dict[str,
     return {k: spark.read.schema(FACTS[k]).parquet(f"{folder}/{k}") for k in needed if k in FACTS}
 
 
-def list_sources(files: DataFrame, exclude_regex: str | None = None, keys: tuple[str, ...] = ("repo",)) -> DataFrame:
-    """The source files to process: excluded and vendored paths go, each file stays once."""
+def list_sources(files: DataFrame, exclude: tuple[str, ...] = (), keys: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """The source files to process: vendored paths and those that an exclude glob matches go; a file of several sets stays once."""
     rows = files.where(~F.col("path").rlike(r"node_modules|dist"))
-    if exclude_regex:
-        rows = rows.where(~F.col("path").rlike(exclude_regex))
+    if exclude:
+        rows = rows.where(~matches(F.col("path"), exclude))
     return rows.dropDuplicates([*[k for k in keys if k in files.columns], "path"])
 
 

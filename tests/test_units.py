@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegov.functions import budget, globs, identity, paths
-from codegov.operators import boundary, extraction, grouping, ledger, scoring
+from codegov.operators import boundary, extraction, graph, grouping, ledger, scoring
 from codegov.plans import runner
 from codegov.sources import gitlog, ledger_files
 from codegov.sources.schemas import LEDGER
@@ -219,6 +219,57 @@ def test_runner_checks_and_skips(spark):
         runner.run([one, one], [rule])
 
 
+def test_call_edges_need_both_ends(spark):
+    functions = spark.createDataFrame([("a", 1, 1, 1, 99, 1), ("a", 2, 5, 3, 20, 1), ("a", 3, 8, 3, 12, 1), ("b", 4, 7, 1, 9, 1), ("b", 5, None, None, None, None)], "file string, fun_idx long, sl int, sc int, el int, ec int")
+    calls = spark.createDataFrame([("a", 10, 9, 5), ("a", 11, 15, 2), ("a", 12, 50, 1), ("b", 13, None, None)], "file string, call_idx long, cl int, cc int")
+    targets = spark.createDataFrame([(10, 4), (10, 2), (11, 1), (11, 5), (11, 99), (12, 4), (13, 4)], "call_idx long, callee_idx long")
+    found = {(r.caller_id, r.callee_id, r.line, r.column) for r in graph.call_edges(functions, calls, targets).collect()}
+    assert found == {("a:8:2", "b:7:0", 9, 4), ("a:8:2", "a:5:2", 9, 4)}  # the module's range, unknown starts and unknown targets go
+
+
+def test_facts_merge_tables_and_let_the_last_value_win(spark):
+    table = lambda v: spark.createDataFrame([(v,)], "v int")
+    parts = [runner.Collector("a", ("t", "x", "y"), lambda k: {"t": table(1), "x": 1, "y": 1}), runner.Collector("b", ("t", "x", "y"), lambda k: {"t": table(2), "x": 2, "y": table(3)})]
+    facts = runner.gather(parts, {"t", "x", "y"})
+    assert sorted(r.v for r in facts["t"].collect()) == [1, 2] and facts["x"] == 2 and facts["y"].first().v == 3
+    values = grouping.merge_values(*(spark.createDataFrame(rows, "key string, value int") for rows in ([("k", 9), ("only", 5)], [("k", 1)])))
+    assert {tuple(r) for r in values.collect()} == {("k", 1), ("only", 5)}
+
+
+def test_display_of_artifacts(spark):
+    rows = [("churn", '{"path":"a","count":3}'), ("access", '{"file":"f","line":2,"index":"0"}'), ("binding", '{"file":"f","line":1,"column":4,"role":"pack","patternId":"p","bindingKey":":","functionName":"join"}'), ("other", '{"z":1}')]
+    shown = {r.kind: r.m for r in spark.createDataFrame(rows, "kind string, data string").select("kind", identity.display(F.col("kind"), F.col("data")).alias("m")).collect()}
+    assert shown["churn"] == {"file": "a", "changes": "3"} and shown["access"] == {"role": "[Access]", "location": "f:2", "index": "0"} and shown["other"] == {"value": '{"z":1}'}
+    assert shown["binding"] == {"location": "f:1:4", "role": "pack", "pattern": "p", "invariant": ":", "function": "join", "container": "(module-level)"}
+
+
+def test_ledger_paths_and_runner_parts_are_checked(spark, tmp_path):
+    with pytest.raises(ValueError):
+        ledger_files.read_ledger(spark, str(tmp_path / "ledger.json"))
+    with pytest.raises(ValueError):
+        runner.insights(spark.range(0), [runner.Insight("", (), lambda f: f)])
+    collector = runner.Collector("c", ("x",), lambda k: {"x": spark.range(1)})
+    rule = runner.Rule("r", ("x",), lambda f: spark.createDataFrame([], "rule_id string, instance_id string, fingerprint string, message string, artifacts array<struct<kind:string,data:string>>, ord int"), lambda f: f["x"].selectExpr("'w' as warning"))
+    with pytest.raises(ValueError):
+        runner.run([collector], [rule], [runner.Enricher("e", ("x",), (), lambda f: {})])
+    assert [tuple(r) for r in runner.run([collector], [rule]).warnings.collect()] == [("r", "w")]
+
+
+def test_merged_results_keep_order_and_drop_stale(spark):
+    items = spark.createDataFrame([(3, "a"), (1, "b"), (2, "a")], "original_index long, cache_key string")
+    cache, fresh = spark.createDataFrame([("a", 0.5), ("old", 0.1)], "cache_key string, confidence double"), spark.createDataFrame([(1, 0.9)], "original_index long, confidence double")
+    merged = scoring.merge_results(items, cache, fresh)
+    assert [(r.original_index, r.confidence, r.cached) for r in merged.collect()] == [(1, 0.9, False), (2, 0.5, True), (3, 0.5, True)]
+    assert {tuple(r) for r in scoring.next_cache(merged).collect()} == {("a", 0.5), ("b", 0.9)}
+
+
+def test_dependencies_have_paths_and_packages(spark):
+    found = spark.createDataFrame([("p/a/x/f.ts", "../y", 1, 1), ("p/a/x/f.ts", "lib", 2, 1), ("q/g.ts", "./h", 1, 1)], "file string, specifier string, line int, column int")
+    packages = spark.createDataFrame([("@p", "p"), ("@p/a", "p/a")], "name string, root_path string")
+    rows = {(r.from_path, r.from_pkg_name, r.to_path, r.is_external, r.to_pkg_name) for r in extraction.depends_on(found, packages).collect()}
+    assert rows == {("p/a/x/f.ts", "@p/a", "p/a/y", False, None), ("p/a/x/f.ts", "@p/a", "lib", True, "lib"), ("q/g.ts", None, "q/h", False, None)}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
