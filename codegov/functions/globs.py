@@ -51,7 +51,7 @@ def glob_to_regex(pattern: str) -> str:
     """The anchored regular expression of a glob without its leading ``!``."""
     if re.search(r"[@+!?*]\(", pattern):
         raise ValueError(f"extended globs are not supported: {pattern}")
-    parts = pattern.split("/")
+    parts = re.split(r"/(?![^{}]*\})", pattern)  # a slash inside braces parts no segments
     out = ""
     for k, part in enumerate(parts):
         last = k == len(parts) - 1

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.globs import matches, matches_any_import
 from ..functions.identity import artifact, fingerprint
 from ..functions.paths import ancestors, module_key
+from ..sources.shared import checkpointed
+from .reach import condensed_walk, walk
 
-PURE, IMPORTS, REACH = "coupling/pure-imports@v1", "coupling/layer-imports@v1", "coupling/layer-reach@v1"
+PURE, IMPORTS = "coupling/pure-imports@v1", "coupling/layer-imports@v1"
 
 
 @dataclass(frozen=True)
@@ -21,12 +23,15 @@ class Layer:
     target: str
     allows: tuple = field(default=())
     forbids: tuple = field(default=())
+    transitive: bool = False
 
     def __post_init__(self):
         if not self.target or self.target.startswith(("./", "../")):
             raise ValueError("a layer needs a target that is no relative path")
         if self.allows and self.forbids:
             raise ValueError("a layer either allows or forbids")
+        if self.transitive and not (self.allows or self.forbids):
+            raise ValueError("a layer that looks further needs imports that it allows or forbids")
 
 
 def layer_roots(edges: DataFrame, targets: list[str]) -> dict[str, str]:
@@ -73,49 +78,70 @@ def idle_patterns(edges: DataFrame, patterns: tuple) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).where("r.hit = 0").select("r.pattern")
 
 
-def reach(edges: DataFrame, layers: list[Layer], exact_paths: bool = False, cut=None) -> DataFrame:
-    """(target, current_path, dependency): what a layer reaches through internal files that it may import.
+def _closed(layers: list[Layer], to: Column) -> Column:
+    """The targets of the layers that forbid an import; null if none does."""
+    bad = [F.when(matches_any_import(to, x.forbids), F.lit(x.target)) for x in layers if x.forbids]
+    return F.filter(F.array(*bad), lambda t: t.isNotNull()) if bad else F.lit(None).cast("array<string>")
 
-    A full walk of the graph by frontier joins on module keys and their directories, all layers together. Allow mode
-    reports external imports that aren't allowed; deny mode reports forbidden imports and doesn't walk them. Each
-    round's frontier is checkpointed, so plans stay short; the walk ends when no new file is reached.
+
+def _members(edges: DataFrame, key) -> DataFrame:
+    """(a, b): the files of every directory that some import names; other directories have no row."""
+    named = edges.where("not is_external").select(key(F.col("to_path")).alias("a")).distinct()
+    files = edges.select("from_path").distinct()
+    return files.select(F.explode(ancestors(F.col("from_path"))).alias("a"), key(F.col("from_path")).alias("b")).join(named, "a", "left_semi").where("a != b").distinct()
+
+
+def reach(edges: DataFrame, layers: list[Layer], exact_paths: bool = False, cut=checkpointed, condense: bool | None = None) -> DataFrame:
+    """(target, current_path, dependency, site): what a layer reaches through internal files that it may import.
+
+    Nodes are module keys; an import leads from its file to what it names, and a directory that some import names leads
+    to its files. Allow mode reports external imports that aren't allowed; deny mode reports forbidden imports and
+    doesn't walk them. ``site`` is the first place of the import. The walk goes by strongly connected components
+    (``condense``) where several layers share the graph; a single layer visits each node once anyway.
     """
-    cut = cut or (lambda df: df.checkpoint(eager=True))
     key = (lambda c: c) if exact_paths else module_key
-    plain = edges.select("from_path", "to_path", "is_external").distinct()
-    # an edge belongs to the file's own key and, for imports of directories, to every directory above it
-    walk = cut(plain.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(key(F.col("from_path"))), ancestors(F.col("from_path")))))))
-    found: DataFrame | None = None
-    seeds = None
-    roots = layer_roots(edges, [x.target for x in layers])
-    for layer in layers:
-        direct = edges.where(leaves(roots[layer.target]) & ~F.col("is_external"))
-        ok = ~matches_any_import(F.col("to_path"), layer.forbids) if layer.forbids else matches_any_import(F.col("to_path"), layer.allows)
-        one = direct.where(ok).select(F.lit(layer.target).alias("target"), F.col("to_path").alias("path")).distinct()
-        seeds = one if seeds is None else seeds.unionByName(one)
-    visited = frontier = cut(seeds)
-    flag = lambda deny: _by_target(layers, deny)
-    while not frontier.isEmpty():
-        out = frontier.withColumn("key", key(F.col("path"))).join(walk, "key").select("target", "path", "from_path", "to_path", "is_external").distinct()
-        out = out.withColumn("bad", flag(True))
-        hits = out.where("bad").select("target", F.col("path").alias("current_path"), F.col("to_path").alias("dependency"))
-        found = cut(hits.distinct()) if found is None else cut(found.unionByName(hits).distinct())
-        onward = out.where("not is_external and not bad").select("target", F.col("to_path").alias("path")).distinct()
-        frontier = cut(onward.join(visited, ["target", "path"], "left_anti"))
-        visited = cut(visited.unionByName(frontier))
-    empty = visited.select("target", F.col("path").alias("current_path"), F.col("path").alias("dependency")).limit(0)
-    return found if found is not None else empty
-
-
-def _by_target(layers: list[Layer], deny: bool) -> Column:
-    """True where an edge of the walk offends its layer."""
-    out = F.lit(False)
-    for layer in layers:
-        to = F.col("to_path")
-        bad = matches_any_import(to, layer.forbids) if layer.forbids else F.col("is_external") & ~matches_any_import(to, layer.allows)
-        out = F.when(F.col("target") == layer.target, bad).otherwise(out)
-    return out
-
-
-def reach_findings(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("fingerprint", fingerprint(REACH, target=F.col("target"), currentPath=F.col("current_path"), dependency=F.col("dependency")))
+    names = ["from_path", "from_pkg_name", "from_pkg_root", "to_path", "is_external", "file", "line", "column"]
+    plain = cut(edges.select(*names).where(F.col("from_path").isNotNull() & F.col("to_path").isNotNull()))
+    roots = layer_roots(plain, [x.target for x in layers])
+    to, inner = F.col("to_path"), plain.where(~F.col("is_external"))
+    starts = [F.when(leaves(roots[x.target]) & (~matches_any_import(to, x.forbids) if x.forbids else matches_any_import(to, x.allows)), F.lit(x.target)) for x in layers]
+    first = cut(inner.select("to_path", F.explode(F.filter(F.array(*starts), lambda t: t.isNotNull())).alias("who")).distinct())
+    graph = inner.select(key(F.col("from_path")).alias("a"), key(to).alias("b"), "to_path").distinct().withColumn("closed", _closed(layers, to))
+    folders = _members(plain, key).withColumn("closed", F.lit(None).cast("array<string>"))
+    links = cut(graph.drop("to_path").unionByName(folders).distinct())
+    go = condensed_walk if (len(layers) > 1 if condense is None else condense) else walk
+    seen = cut(go(first.select("who", key(to).alias("a")), links, cut))
+    onward = seen.join(graph, "a").where(~F.coalesce(F.array_contains("closed", F.col("who")), F.lit(False))).select("who", "to_path")
+    via = first.select("who", "to_path").unionByName(onward).distinct().select("who", F.col("to_path").alias("current_path"), key(to).alias("k"))
+    # the imports that offend, once for each layer, at the keys under which their files are walked
+    bad = [F.when(matches_any_import(to, x.forbids) if x.forbids else F.col("is_external") & ~matches_any_import(to, x.allows), F.lit(x.target)) for x in layers if x.allows or x.forbids]
+    if not bad:
+        return via.select(F.col("who").alias("target"), "current_path", F.col("current_path").alias("dependency"), F.lit(None).cast("struct<file:string,line:int,column:int,packageRoot:string>").alias("site")).limit(0)
+    site = F.struct("file", "line", "column", F.col("from_pkg_root").alias("packageRoot"))
+    sites = plain.withColumn("who", F.explode(F.filter(F.array(*bad), lambda t: t.isNotNull()))).groupBy("who", key(F.col("from_path")).alias("b"), F.col("to_path").alias("dependency")).agg(F.min(site).alias("site"))
+    at_folders = sites.join(folders.select("a", "b"), "b").select("who", F.col("a").alias("k"), "dependency", "site")
+    at = sites.select("who", F.col("b").alias("k"), "dependency", "site").unionByName(at_folders)
+    return via.join(at, ["who", "k"]).groupBy(F.col("who").alias("target"), "current_path", "dependency").agg(F.min("site").alias("site"))
+
+
+def reach_findings(rows: DataFrame, layers: list[Layer]) -> DataFrame:
+    """One finding a row of ``reach``, of the layer's own rule, with the first site as its evidence."""
+    target, words = F.col("target"), F.create_map(*(F.lit(x) for layer in layers for x in (layer.target, "not declared in allowed" if layer.allows else "declared in forbidden")))
+    message = F.concat(F.lit("[Transitive] "), target, F.lit(" reaches "), F.col("dependency"), F.lit(" via "), F.col("current_path"), F.lit(" in "), F.col("site.file"), F.lit(": "), F.element_at(words, target), F.lit(" imports"))
+    return rows.select(
+        F.lit(IMPORTS).alias("rule_id"), F.concat(F.lit(IMPORTS + ":"), target).alias("instance_id"), fingerprint(IMPORTS, target=target, currentPath=F.col("current_path"), dependency=F.col("dependency")).alias("fingerprint"), message.alias("message"),
+        F.array(artifact("import", file=F.col("site.file"), line=F.col("site.line"), column=F.col("site.column"), dependency=F.col("dependency"), packageRoot=F.col("site.packageRoot"))).alias("artifacts"),
+        F.struct(F.col("site.file").alias("file"), F.col("site.line").alias("line"), F.col("site.column").alias("column"), F.col("dependency").alias("to_path")).alias("ord"), F.col("dependency"),
+    )
+
+
+def layer_findings(edges: DataFrame, *layers: Layer, cut=checkpointed) -> DataFrame:
+    """What ``violations`` gives, and for layers that ask for it what they reach through others."""
+    direct, far = violations(edges, *layers), [x for x in layers if x.transitive]
+    return direct.unionByName(reach_findings(reach(edges, far, cut=cut), far)) if far else direct
+
+
+def layer_warnings(edges: DataFrame, *layers: Layer) -> DataFrame:
+    """(warning): patterns of the layers that match no import of the whole graph."""
+    patterns = tuple(dict.fromkeys(p for x in layers for p in (*x.allows, *x.forbids)))
+    return idle_patterns(edges, patterns).select(F.concat(F.lit("no import matches "), "pattern").alias("warning")) if patterns else edges.select(F.lit("").alias("warning")).limit(0)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COUPLING = r"^coupling/"
+from ..functions.pattern_tables import glob_join
+from ..functions.ranking import placed
+
+#: The rules whose findings are violations of a boundary.
+COUPLING = r"^coupling/(pure-imports|layer-imports)@v\d+$"
 
 
 def findings_for(findings: DataFrame, needed: list[str]) -> DataFrame:
@@ -29,17 +33,12 @@ def boundaries(findings: DataFrame) -> DataFrame:
     return found.select("boundary", F.coalesce(F.concat("pkg", F.lit("/**")), "boundary").alias("root"), "violation_count", "sample")
 
 
-def erosion(bounds: DataFrame, churn: DataFrame, max_boundaries: int = 10_000) -> DataFrame:
-    """(boundary, churn_total, hot_files, hottest, violation_count, sample) of the boundaries with churn, worst first.
+def erosion(bounds: DataFrame, churn: DataFrame) -> DataFrame:
+    """(boundary, churn_total, hot_files, hottest, violation_count, sample, place) of the boundaries with churn, worst first.
 
-    Boundaries come from configuration; more than ``max_boundaries`` of them is an error, so the broadcast is bounded.
-    Their root globs are of the form prefix/**: a file is in it when one of its directories is the prefix.
+    Roots are any globs; changed paths meet them by a join on literal pieces. ``place`` counts from 1: boundaries are
+    ranked through range partitions, so no task has them all.
     """
-    rows = bounds.limit(max_boundaries + 1).collect()  # once; the violations behind them aren't worked out again
-    if len(rows) > max_boundaries:
-        raise ValueError("too many boundaries for one run")
-    bounds = bounds.sparkSession.createDataFrame(rows, bounds.schema)
-    prefix = F.regexp_replace("root", r"/\*\*$", "")
-    hot = F.broadcast(bounds.withColumn("prefix", prefix)).join(churn, F.col("path").startswith(F.concat("prefix", F.lit("/"))))
+    hot = glob_join(churn.select("path", "count"), bounds, column="root")
     found = hot.groupBy("boundary").agg(F.sum("count").alias("churn_total"), F.count(F.lit(1)).alias("hot_files"), F.min_by("path", F.struct(-F.col("count"), "path")).alias("hottest"), F.first("violation_count").alias("violation_count"), F.first("sample").alias("sample"))
-    return found.where("churn_total > 0").orderBy(F.col("churn_total").desc(), "boundary")
+    return placed(found.where("churn_total > 0").withColumn("worst", -F.col("churn_total")), "worst", "boundary").drop("worst")

@@ -1,217 +1,62 @@
-"""Facts from source text: imports, literals and pattern bindings, by a small lexer inside the tasks."""
+"""Facts from source text: imports, literals and pattern bindings, from one scan of each text inside the tasks."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_external, resolve
-from .graph import nearest_package
-
-#: Comments, strings and numbers outside them, and what opens or closes a template or its substitutions.
-LEX = re.compile(r"//[^\n]*|/\*.*?(?:\*/|$)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|[`{}]|(?<![\w.$])(?:0[xX][\da-fA-F]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)(?![\w$])", re.S)
-#: The fixed part of a template up to its end or its next substitution.
-PIECE = re.compile(r"(?:\\.|[^`\\$]|\$(?!\{))*(?:`|\$\{)", re.S)
-#: White space, also written as escapes; a template's first or last part of nothing else doesn't count.
-SPACE = re.compile(r"(?:\s|\\[ntrfv0])*")
-IMPORTS = (
-    ("require", re.compile(r"\brequire\s*\(\s*(?=['\"])")), ("dynamic", re.compile(r"\bimport\s*\(\s*(?=['\"])")),
-    ("static", re.compile(r"(?:^|[;\n}])\s*import\s+(?!type\b)(?:[\w*${}\s,]+\sfrom\s+)?(?=['\"])")),
-)
-FUNCTION = re.compile(r"\bfunction\s+([\w$]+)\s*\(")
+from ..sources.shared import checkpointed
+from .graph import containers, nearest_package
+from .source_scan import Scan
+
 #: Preset matchers: pattern, role, kind of site, callee, index of the argument that binds (fixed values). A template's
 #: argument is one of its fixed parts.
 PRESETS = (
-    ("pack-unpack", "pack", "call", r"\.join$", 0), ("pack-unpack", "pack", "template", r"^template-literal$", 0), ("pack-unpack", "unpack", "call", r"\.split$", 0),
-    ("file-encoding", "read", "call", r"^readFile(Sync)?$", 1), ("file-encoding", "write", "call", r"^writeFile(Sync)?$", 2), ("hash-algo", "hash", "call", r"^createHash$", 0),
-    ("buffer-encoding", "encode", "call", r"^Buffer\.from$", 1), ("buffer-encoding", "decode", "call", r"\.toString$", 0), ("date-format", "write", "call", r"\.toISOString$", None), ("date-format", "read", "new", r"^Date$", 0),
-)
-
-
-def tokens(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, kind) of comments, strings, fixed parts of templates and numbers; substitutions are code."""
-    at, depths = 0, []
-    while (m := LEX.search(text, at)) is not None:
-        s, at = m.group(), m.end()
-        if s == "{" and depths:
-            depths[-1] += 1
-        elif s == "}" and depths and depths[-1]:
-            depths[-1] -= 1
-        elif s == "`" or s == "}" and depths:
-            if s == "}":
-                depths.pop()
-            if (piece := PIECE.match(text, at)) is not None:
-                at = piece.end()
-                yield m.start(), at, "template"
-                if text[at - 1] == "{":
-                    depths.append(0)
-        elif s not in "{}":
-            yield m.start(), at, "comment" if s[:2] in ("//", "/*") else "string" if s[0] in "'\"" else "number"
-
-
-def blank(text: str, kinds: tuple[str, ...] = ("comment", "template")) -> str:
-    """The text with tokens of these kinds replaced by spaces, line feeds kept."""
-    out, at = [], 0
-    for a, b, kind in tokens(text):
-        if kind in kinds:
-            out += [text[at:a], re.sub(r"[^\n]", " ", text[a:b])]
-            at = b
-    return "".join(out) + text[at:]
-
-
-def place(text: str, at: int) -> tuple[int, int]:
-    line = text.count("\n", 0, at)
-    return line + 1, at - (text.rfind("\n", 0, at) + 1) + 1
+    ("pack-unpack", "packer", "call", r"\.join$", 0),
+    ("pack-unpack", "packer", "template", r"^template-literal$", 0),
+    ("pack-unpack", "unpacker", "call", r"\.split$", 0),
+    ("file-encoding", "reader", "call", r"^readFile(Sync)?$", 1),
+    ("file-encoding", "writer", "call", r"^writeFile(Sync)?$", 2),
+    ("hash-algo", "hasher", "call", r"^createHash$", 0),
+    ("buffer-encoding", "encoder", "call", r"^Buffer\.from$", 1),
+    ("buffer-encoding", "decoder", "call", r"\.toString$", 0),
+    ("date-format", "formatter", "call", r"\.toISOString$", None),
+    ("date-format", "parser", "new", r"^Date$", 0),
+)
 
 
 def imports_of(text: str) -> list[tuple[str, int, int]]:
     """(specifier, line, column): require calls, dynamic imports, static imports other than of types."""
-    plain = blank(text)
-    strings = {a: text[a + 1 : b - 1] for a, b, kind in tokens(text) if kind == "string"}
-    return [(strings[m.end()], *place(text, m.end())) for _, rule in IMPORTS for m in rule.finditer(plain) if m.end() in strings]
-
-
-def _back(text: str, at: int, inside: str = "") -> int:
-    """The place from which on only white space stands before ``at``, or only characters of words and of ``inside``."""
-    while at and (text[at - 1].isspace() if not inside else text[at - 1].isalnum() or text[at - 1] in inside):
-        at -= 1
-    return at
+    scan = Scan(text)
+    return [(value, *scan.place(at)) for value, at, _ in sorted(scan.imports, key=lambda x: (x[2], x[1]))]
 
 
-def _is_specifier(plain: str, at: int) -> bool:
-    """Whether what ends before ``at`` imports: from, import, require( or import(, however far white space reaches."""
-    end = _back(plain, at)
-    words = ("from", "import")
-    if end and plain[end - 1] == "(":
-        end, words = _back(plain, end - 1), ("require", "import")
-    return plain[_back(plain, end, "_$.") : end] in words
+def literals_of(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, value, line, column): strings and all numbers.
 
+    Specifiers of import and export declarations and names of modules don't count, nor do names of members of interfaces
+    and of type literals, nor either side of a comparison with a ``typeof``. An argument of a call counts, also where the
+    call is a ``require``, a dynamic import or a decorator's.
+    """
+    scan = Scan(text)
+    return [(kind, value, *scan.place(at)) for kind, value, at in scan.literals]
 
-def _is_compared_type(plain: str, at: int) -> bool:
-    """Whether what ends before ``at`` is ``typeof operand ==`` or another (in)equality, whatever its length."""
-    end = _back(plain, at)
-    sign = next((s for s in ("===", "!==", "==", "!=") if plain.endswith(s, 0, end)), None)
-    if sign is None:
-        return False
-    end = _back(plain, end - len(sign))
-    start = _back(plain, end, "_$.")
-    end = _back(plain, start)
-    return start > end and plain[_back(plain, end, "_$.") : end] == "typeof"
 
+def template_segments(text: str) -> list[str]:
+    """The fixed parts of a template literal's inside; empty ones and a first or last part of white space only go."""
+    return [args[0] for _, kind, _, args, at in Scan(f"`{text}`").calls if kind == "template" and not at]
 
-def literals_of(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, value, line, column): strings but import specifiers and typeof comparisons, and all numbers."""
-    plain = blank(text)
-    out = []
-    for a, b, kind in tokens(text):
-        if kind == "number":
-            out.append((kind, text[a:b], *place(text, a)))
-        elif kind == "string":
-            if not _is_specifier(plain, a) and not _is_compared_type(plain, a):
-                out.append((kind, text[a + 1 : b - 1], *place(text, a)))
-    return out
-
-
-def templates_of(text: str) -> list[tuple[int, list[str]]]:
-    """(start, segments) of templates with substitutions, in order of their starts."""
-    found, open_ = [], []
-    for a, b, kind in tokens(text):
-        if kind != "template":
-            continue
-        if text[a] == "`":
-            open_.append((a, []))
-        start, parts = open_[-1]
-        parts.append(text[a + 1 : b - (2 if text[b - 1] == "{" else 1)])
-        if text[b - 1] == "`":
-            open_.pop()
-            ends = (0, len(parts) - 1)
-            if len(parts) > 1:
-                found.append((start, [p for k, p in enumerate(parts) if p and not (k in ends and SPACE.fullmatch(p))]))
-    return sorted(found)
 
+def sites_of(text: str) -> list[tuple]:
+    """(what, id, name, arguments, line, column, end_line, end_column): calls, constructions, segments of templates, and functions with their ends.
 
-def template_segments(text: str) -> list[str]:
-    """The fixed parts of a template literal's inside; empty ones and a first or last part of white space only go."""
-    return [s for _, segments in templates_of(f"`{text}`")[:1] for s in segments]
-
-
-def _receiver(plain: str, ends: dict[int, int], at: int) -> int:
-    """Where the expression starts that ends in a dot before ``at``, or ``at`` if there is none."""
-    while (m := re.search(r"(\?)?\.\s*$", plain[max(0, at - 100) : at])) is not None:
-        k = at - len(m.group())
-        while k and plain[k - 1].isspace() and k not in ends:
-            k -= 1
-        start = k
-        while k and (k in ends or plain[k - 1] in ")]"):
-            if k in ends:
-                k = ends[k]
-                continue
-            depth = 0
-            while k:
-                k -= 1
-                depth += (plain[k] in ")]}") - (plain[k] in "([{")
-                if not depth:
-                    break
-        while k and re.match(r"[\w$]", plain[k - 1]):
-            k -= 1
-        if k == start:
-            return at
-        if new := re.search(r"\bnew\s+$", plain[max(0, k - 20) : k]):
-            k -= len(new.group())
-        at = k
-    return at
-
-
-def calls_of(text: str) -> list[tuple[str, str, list, int, int, str | None]]:
-    """(kind, callee, arguments, line, column, function): calls, constructions and segments of templates.
-
-    Arguments are literals or null; a segment is the one argument of a row of kind ``template``.
+    Arguments are literals or null; a segment is the one argument of a row of what ``template``.
     """
-    plain, code = blank(text, ("comment", "template", "string")), blank(text, ("comment",))
-    spans = list(tokens(text))
-    strings = {a: b for a, b, kind in spans if kind == "string"}
-    ends = {b: a for a, b, kind in spans if kind == "string"} | {e: a for a, e in _whole_templates(text, spans)}
-    names = [(m.start(), m.group(1)) for m in FUNCTION.finditer(plain)]
-
-    def home(at: int) -> str | None:
-        return next((n for s, n in reversed(names) if s < at), None)
-
-    def literal(a: int, b: int) -> str | None:
-        inside = code[a:b]
-        start = a + len(inside) - len(inside.lstrip())
-        return text[start + 1 : strings[start] - 1] if strings.get(start) == a + len(inside.rstrip()) else None
-
-    out = []
-    for m in re.finditer(r"(\bnew\s+)?((?:[\w$]+\.)*[\w$]+)\s*\(", plain):
-        depth, at, cuts = 1, m.end(), [m.end() - 1]
-        while at < len(plain) and depth:
-            depth += plain[at] in "([{"
-            depth -= plain[at] in ")]}"
-            if depth == 1 and plain[at] == ",":
-                cuts.append(at)
-            at += 1
-        cuts.append(at - 1)
-        arguments = [literal(a + 1, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-        start = m.start(2) if m.group(1) else _receiver(plain, ends, m.start(2))
-        out.append(("new" if m.group(1) else "call", text[start : m.end(2)], arguments, *place(text, start), home(m.start())))
-    for at, segments in templates_of(text):
-        out += [("template", "template-literal", [s], *place(text, at), home(at)) for s in segments]
-    return out
-
-
-def _whole_templates(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """(start, end) of templates, with their substitutions."""
-    open_ = []
-    for a, b, kind in spans:
-        if kind == "template":
-            if text[a] == "`":
-                open_.append(a)
-            if text[b - 1] == "`":
-                yield open_.pop(), b
+    scan = Scan(text)
+    found = [(kind, k, callee, args, *scan.place(at), None, None) for k, kind, callee, args, at in scan.calls]
+    return found + [("function", k, name, None, *scan.place(a), *scan.place(max(a, b - 1))) for k, name, a, b in scan.functions]
 
 
 def _each(sources: DataFrame, work, fields: str, arrow: list[pa.DataType]) -> DataFrame:
@@ -259,8 +104,23 @@ def literals(sources: DataFrame) -> DataFrame:
     return _each(sources, literals_of, "kind string, value string, line int, column int", [pa.string(), pa.string(), pa.int32(), pa.int32()])
 
 
-def calls(sources: DataFrame) -> DataFrame:
-    return _each(sources, calls_of, "kind string, callee string, arguments array<string>, line int, column int, containing_function string", [pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string()])
+def calls(sources: DataFrame, cut=checkpointed) -> DataFrame:
+    """(keys, kind, callee, arguments, line, column, containing_function): call sites with the function that holds them.
+
+    A text is looked at once; call sites and ranges of functions leave as rows and meet by a range join on lines. Functions
+    are declarations, methods as ``Class.method`` or alone, and arrow functions by their variable or as ``arrow``.
+    """
+    keys = [c for c in sources.columns if c != "content"]
+    fields = "__what string, __id bigint, __name string, __arguments array<string>, __line int, __column int, __end_line int, __end_column int"
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), *[pa.int32()] * 4]
+    rows = cut(_each(sources.withColumn("__source", F.xxhash64("content")), sites_of, fields, kinds))
+    by, to = [*keys, "__source"], lambda **names: [F.col(f"__{v}").alias(k) for k, v in names.items()]
+    functions = rows.where("__what = 'function'").select(*by, *to(fun_idx="id", sl="line", sc="column", el="end_line", ec="end_column", __function="name"))
+    found = rows.where("__what != 'function'").withColumnRenamed("__id", "call_idx")
+    held = containers(functions, found.select(*by, "call_idx", *to(cl="line", cc="column")), tuple(by), module=False)
+    named = held.join(functions.select(*by, "fun_idx", "__function").distinct(), [*by, "fun_idx"]).select(*by, "call_idx", "__function")
+    out = found.join(named, [*by, "call_idx"], "left")
+    return out.select(*keys, *to(kind="what", callee="name", arguments="arguments", line="line", column="column", containing_function="function"))
 
 
 def bindings(found: DataFrame, matchers=PRESETS) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
-from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import budget, globs, identity, paths
+from ..functions import budget, globs, identity, paths, pattern_tables
 from ..operators import boundary, erosion, extraction, git_rules, graph, grouping, ledger, scoring, structures
 from ..sources import gitlog, ledger_files
+from ..sources.shared import shared_folder
 from ..streaming import jobs
 from . import runner
 from .adapters import AS_OF, LEDGER_AS_OF, duck, fact
@@ -114,6 +113,39 @@ def p02(get):
     return rows.select("to_path", "n", globs.matches_import(c, "@supp/nation_1").alias("plain"), globs.matches_import(c, re.compile("nation_2$")).alias("regex"), globs.matches_import(c, "@supp/*").alias("glob"))
 
 
+@query("p01_pattern_table", """SELECT pattern, count(*) AS n FROM (
+    SELECT 'packages/' || pkg || '/**' AS pattern, path FROM (SELECT DISTINCT pkg FROM {paths}) a JOIN {paths} b USING (pkg)
+    UNION ALL SELECT '**/' || brand || '/part' || d || '*.ts', path FROM (SELECT DISTINCT replace(p_brand, '#', '') AS brand, substring(CAST(p_partkey AS STRING), 1, 1) AS d FROM {part}) a JOIN {paths} ON path LIKE '%/' || brand || '/part' || d || '%.ts'
+    UNION ALL SELECT path, path FROM {paths} UNION ALL SELECT '!packages/promo/**', path FROM {paths} WHERE path NOT LIKE 'packages/promo/%' UNION ALL SELECT '**/*.ts', path FROM {paths}) x GROUP BY pattern""")
+def p01_table(get):
+    """A table of patterns, thousands of them, against all paths: folders, names inside, whole paths, a negated one and an extension."""
+    brand, digit = F.replace("p_brand", F.lit("#"), F.lit("")), F.substring(F.col("p_partkey").cast("string"), 1, 1)
+    rows = get("paths")
+    made = [rows.select(F.concat(F.lit("packages/"), "pkg", F.lit("/**")).alias("pattern")), rows.select(F.concat(F.lit("**/"), brand, F.lit("/part"), digit, F.lit("*.ts")).alias("pattern")), rows.select(F.col("path").alias("pattern"))]
+    fixed = [rows.select(F.lit(p).alias("pattern")).limit(1) for p in ("!packages/promo/**", "**/*.ts")]
+    patterns = reduce(DataFrame.unionByName, [*made, *fixed]).distinct()
+    return pattern_tables.glob_join(rows.select("path"), patterns).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p02_pattern_table", """WITH t AS (SELECT DISTINCT to_path FROM {edges}), m AS (
+    SELECT '@supp/nation_' || CAST(n_nationkey AS STRING) AS pattern, to_path FROM {nation} JOIN t ON to_path = '@supp/nation_' || CAST(n_nationkey AS STRING)
+    UNION ALL SELECT DISTINCT 'packages/' || pkg, to_path FROM {paths} JOIN t ON starts_with(to_path, 'packages/' || pkg || '/')
+    UNION ALL SELECT '@supp/nation_' || k || '*', to_path FROM (SELECT DISTINCT substring(CAST(n_nationkey AS STRING), 1, 1) AS k FROM {nation}) a JOIN t ON starts_with(to_path, '@supp/nation_' || k)) SELECT pattern, count(*) AS n FROM m GROUP BY pattern""")
+def p02_table(get):
+    """A table of import patterns: names with their sub-paths, and globs."""
+    nation = F.col("n_nationkey").cast("string")
+    made = [get("nation").select(F.concat(F.lit("@supp/nation_"), nation).alias("pattern")), get("paths").select(F.concat(F.lit("packages/"), "pkg").alias("pattern")), get("nation").select(F.concat(F.lit("@supp/nation_"), F.substring(nation, 1, 1), F.lit("*")).alias("pattern"))]
+    targets = get("edges").select("to_path").distinct()
+    return pattern_tables.import_join(targets, reduce(DataFrame.unionByName, made).distinct()).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p08_idle_table", "SELECT '@supp/nation_' || CAST(n_nationkey AS STRING) || s AS pattern FROM {nation} CROSS JOIN (VALUES (''), ('x'), ('/**')) v(s) WHERE EXISTS (SELECT 1 FROM {edges}) AND NOT EXISTS (SELECT 1 FROM {edges} WHERE to_path = '@supp/nation_' || CAST(n_nationkey AS STRING) || replace(s, '/**', ''))")
+def p08_table(get):
+    nation = F.concat(F.lit("@supp/nation_"), F.col("n_nationkey").cast("string"))
+    patterns = get("nation").select(F.explode(F.array(nation, F.concat(nation, F.lit("x")), F.concat(nation, F.lit("/**")))).alias("pattern"))
+    return pattern_tables.idle(get("edges"), patterns)
+
+
 @query("s05_external_imports", "SELECT is_external, count(*) AS n FROM (SELECT CASE WHEN is_external THEN to_path ELSE './' || to_path END AS s, is_external FROM {edges}) x GROUP BY is_external")
 def s05(get):
     s = F.when(F.col("is_external"), F.col("to_path")).otherwise(F.concat(F.lit("./"), "to_path"))
@@ -179,16 +211,29 @@ def p08(get):
 _OK = "(to_path LIKE 'packages/promo/%' OR to_path = '@supp/nation_1')"
 
 
-@query(
-    "j05_layer_reach",
-    f"""WITH RECURSIVE walk AS (
+_WALK = f"""WITH RECURSIVE walk AS (
       SELECT DISTINCT to_path AS path {_CROSS} AND NOT is_external AND {_OK}
-      UNION SELECT e.to_path FROM walk w JOIN {{edges}} e ON e.from_path = w.path WHERE NOT e.is_external)
-    SELECT DISTINCT 'packages/economy/**' AS target, path AS current_path, to_path AS dependency FROM walk JOIN {{edges}} ON from_path = path WHERE is_external AND NOT {_OK}""",
-)
+      UNION SELECT e.to_path FROM walk w JOIN {{edges}} e ON e.from_path = w.path WHERE NOT e.is_external),
+    far AS (SELECT DISTINCT path AS current_path, to_path AS dependency FROM walk JOIN {{edges}} ON from_path = path WHERE is_external AND NOT {_OK})"""
+_REACHING = boundary.Layer("packages/economy/**", allows=("packages/promo/**", "@supp/nation_1"), transitive=True)
+
+
+@query("j05_layer_reach", f"{_WALK} SELECT 'packages/economy/**' AS target, current_path, dependency FROM far")
 def j05(get):
-    _shared(get("part").sparkSession)
-    return boundary.reach(_edges(get), [boundary.Layer("packages/economy/**", allows=("packages/promo/**", "@supp/nation_1"))])
+    return boundary.reach(_edges(get), [_REACHING]).select("target", "current_path", "dependency")
+
+
+@query(
+    "j05_layer_rule",
+    f"""{_WALK}, direct AS (SELECT to_path AS dependency, count(*) AS n {_CROSS} AND NOT {_OK} GROUP BY to_path)
+    SELECT SHA[{_json('{"data":{"currentPath":"', 'current_path', '","dependency":"', 'dependency', '","target":"packages/economy/**"},"ruleId":"coupling/layer-imports@v1"}')}] AS fingerprint, CAST(1 AS BIGINT) AS n FROM far
+    UNION ALL SELECT SHA[{_json('{"data":{"dependency":"', 'dependency', '","target":"packages/economy/**"},"ruleId":"coupling/layer-imports@v1"}')}], n FROM direct""",
+)
+def j05_rule(get):
+    """The layer as a rule of the runner: its direct findings and, under the same rule, what it reaches."""
+    ts = runner.Collector("ts", ("depends_on",), lambda _: {"depends_on": _edges(get)})
+    rule = runner.Rule("layer", ("depends_on",), lambda f: boundary.layer_findings(f["depends_on"], _REACHING), lambda f: boundary.layer_warnings(f["depends_on"], _REACHING))
+    return runner.run([ts], [rule]).findings.select("fingerprint", "n")
 
 
 # ---- grouping rules
@@ -486,11 +531,28 @@ def a06(get):
     return erosion.boundaries(erosion.findings_for(_coupling(get), ["coupling/pure-imports"])).select("boundary", "root", "violation_count")
 
 
-@query("a08_erosion", f"{_BOUNDS}, c AS (SELECT path, count(*) AS count {_WINDOW} GROUP BY path) SELECT boundary, CAST(sum(count) AS BIGINT) AS churn_total, count(*) AS hot_files, arg_min(path, (-count, path)) AS hottest, any_value(violation_count) AS violation_count FROM b JOIN c ON starts_with(path, root || '/') GROUP BY boundary")
+_EROSION = "SELECT boundary, CAST(sum(count) AS BIGINT) AS churn_total, count(*) AS hot_files, arg_min(path, (-count, path)) AS hottest, any_value(violation_count) AS violation_count"
+_CHURN = f"c AS (SELECT path, count(*) AS count {_WINDOW} GROUP BY path)"
+
+
+@query("a08_erosion", f"{_BOUNDS}, {_CHURN}, e AS ({_EROSION} FROM b JOIN c ON starts_with(path, root || '/') GROUP BY boundary) SELECT *, row_number() OVER (ORDER BY churn_total DESC, boundary) AS place FROM e")
 def a08(get):
     counts = git_rules.churn_counts(get("commits"), get("changes"), AS_OF, 90)
     found = erosion.erosion(erosion.boundaries(_coupling(get)), counts)
-    return found.select("boundary", "churn_total", "hot_files", "hottest", "violation_count")
+    return found.select("boundary", "churn_total", "hot_files", "hottest", "violation_count", "place")
+
+
+@query("a08_erosion_of_globs", f"""WITH {_CHURN}, r AS (SELECT DISTINCT replace(p_brand, '#', '') AS brand, p_size % 3 AS k, 1 AS violation_count FROM {{part}}),
+  e AS ({_EROSION} FROM (SELECT brand || CAST(k AS STRING) AS boundary, path, count, violation_count FROM r JOIN c ON CASE k WHEN 0 THEN path LIKE '%/' || brand || '/%' WHEN 1 THEN path LIKE '%/src/' || brand || '/part_.ts' ELSE path LIKE 'packages/%/src/' || brand || '/%7.ts' END) m GROUP BY boundary)
+  SELECT *, row_number() OVER (ORDER BY churn_total DESC, boundary) AS place FROM e""")
+def a08_globs(get):
+    """Boundaries whose roots are globs without a leading directory, with a wildcard inside, and with both."""
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    kind = F.col("p_size") % 3
+    root = F.when(kind == 0, F.concat(F.lit("**/"), brand, F.lit("/**"))).when(kind == 1, F.concat(F.lit("**/src/"), brand, F.lit("/part?.ts"))).otherwise(F.concat(F.lit("packages/*/src/"), brand, F.lit("/*7.ts")))
+    bounds = get("part").select(F.concat(brand, kind.cast("string")).alias("boundary"), root.alias("root"), F.lit(1).alias("violation_count"), F.lit("").alias("sample")).distinct()
+    counts = git_rules.churn_counts(get("commits"), get("changes"), AS_OF, 90)
+    return erosion.erosion(bounds, counts).select("boundary", "churn_total", "hot_files", "hottest", "violation_count", "place")
 
 
 @query("x05_insight", f"{_BOUNDS} SELECT 'boundaries' AS insight, boundary AS name, violation_count AS n FROM b UNION ALL SELECT 'by_rule', 'coupling/pure-imports@v1', sum(violation_count)::BIGINT FROM b HAVING count(*) > 0 UNION ALL SELECT 'by_rule', 'git/churn@v1', count(*) FROM (SELECT path {_WINDOW} GROUP BY path HAVING count(*) >= 3) c HAVING count(*) > 0")
@@ -604,7 +666,7 @@ def e01(get):
     return found.select("page_id", "specifier", paths.is_external(F.col("specifier")).alias("is_external"), "line")
 
 
-@query("e03_bindings", "SELECT page_id, 'pack-unpack' AS pattern_id, 'pack' AS role, CAST(page_id % 4 AS STRING) AS binding_key, 'f' AS containing_function FROM {pages} UNION ALL SELECT page_id, 'pack-unpack', 'unpack', ':', 'f' FROM {pages}")
+@query("e03_bindings", "SELECT page_id, 'pack-unpack' AS pattern_id, 'packer' AS role, CAST(page_id % 4 AS STRING) AS binding_key, 'f' AS containing_function FROM {pages} UNION ALL SELECT page_id, 'pack-unpack', 'unpacker', ':', 'f' FROM {pages}")
 def e03(get):
     text = F.concat(F.lit("function f(x) { return x.join('"), (F.col("page_id") % 4).cast("string"), F.lit("') + x.split(\":\") + x.split(y) + new Date(x) }"))
     found = extraction.bindings(extraction.calls(get("pages").select("page_id", text.alias("content"))))
@@ -639,6 +701,36 @@ def e06(get):
     return found.select("from_path", "from_pkg_name", "from_pkg_root", "line", "to_path", "is_external", "to_pkg_name")
 
 
+_TEXT_LINES = "SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {documents}) t"
+
+
+def _written(get: Get, line) -> DataFrame:
+    """(doc_id, content): a source a document, with ``line(size, number)`` for each line of its text, inside a class of its name."""
+    sizes = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: line(F.length(x).cast("string"), i.cast("string")))
+    return get("documents").select("doc_id", F.concat(F.lit("export class D"), F.col("doc_id").cast("string"), F.lit(" extends Base<{a: string}> {\n"), F.array_join(sizes, "\n"), F.lit("\n}\nx.join('end')")).alias("content"))
+
+
+@query(
+    "e07_containers",
+    f"""WITH l AS ({_TEXT_LINES}), b AS (
+    SELECT doc_id, CAST(length(line) AS STRING) AS binding_key, 'packer' AS role, 'D' || CAST(doc_id AS STRING) || '.m' || CAST(i AS STRING) AS containing_function, CAST(i + 2 AS INT) AS line FROM l
+    UNION ALL SELECT doc_id, '|' || CAST(length(line) AS STRING), 'unpacker', 'g' || CAST(i AS STRING), CAST(i + 2 AS INT) FROM l
+    UNION ALL SELECT doc_id, 'end', 'packer', NULL, CAST(count(*) + 3 AS INT) FROM l GROUP BY doc_id) SELECT * FROM b""",
+)
+def e07(get):
+    """Bindings inside methods and arrow functions of sources that are written from whole documents; the last one is in no function."""
+    line = lambda n, i: F.concat(F.lit("  m"), i, F.lit("(a: {k: string}): string { const g"), i, F.lit(" = (y: string[]) => { return z.split('|"), n, F.lit("') }; return a.join('"), n, F.lit("') }"))
+    found = extraction.bindings(extraction.calls(_written(get, line)))
+    return found.select("doc_id", "binding_key", "role", "containing_function", "line")
+
+
+@query("e08_contexts", f"WITH l AS ({_TEXT_LINES}) SELECT doc_id, 'string' AS kind, 'v' || CAST(length(line) AS STRING) AS value, CAST(i + 2 AS INT) AS line FROM l UNION ALL SELECT doc_id, 'number', CAST(i AS STRING), CAST(i + 2 AS INT) FROM l UNION ALL SELECT doc_id, 'string', 'end', CAST(count(*) + 3 AS INT) FROM l GROUP BY doc_id")
+def e08(get):
+    """Literals of sources that are written from whole documents: of members' names, comparisons with a type and specifiers none."""
+    line = lambda n, i: F.concat(F.lit("  f: { 't"), n, F.lit("': string } = typeof x === 'u"), n, F.lit("' ? { 'v"), n, F.lit("': "), i, F.lit(" } : 'w' !== typeof import.meta; // 'no'"))
+    return extraction.literals(_written(get, line)).select("doc_id", "kind", "value", "line")
+
+
 # ---- files
 
 
@@ -676,20 +768,9 @@ ORACLE_SQL |= {
 # ---- streaming
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a private one only where all is one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return sc.getCheckpointDir()
-
-
 def _shared_folder(spark: SparkSession) -> str:
     """A new folder's path in the shared one."""
-    return f"{_shared(spark)}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _drain(df: DataFrame, mode: str) -> DataFrame:

@@ -136,7 +136,7 @@ def test_budgets():
 def test_extraction():
     text = "import a from './a'\nimport type T from './t'\n// require('no')\nconst b = require('b'), n = 0x1F\nif (typeof b === 'string') x = `t ${y}` + \"lit\"\nimport('./dyn')"
     assert [s for s, _, _ in extraction.imports_of(text)] == ["b", "./dyn", "./a"]
-    assert [(k, v) for k, v, _, _ in extraction.literals_of(text)] == [("number", "0x1F"), ("string", "lit")]
+    assert [(k, v) for k, v, _, _ in extraction.literals_of(text)] == [("string", "b"), ("number", "0x1F"), ("string", "lit"), ("string", "./dyn")]
     assert extraction.template_segments(" ${a}:${b} ") == [":"]
 
 
@@ -144,10 +144,10 @@ def test_bindings_follow_the_reference_presets(spark):
     text = "function f(a, b, y) { x = `${a}:${b}`; w = `id-${g(`${a}|${y.join(';')}`)} - ${b}\\n`; q = `fixed`\nd = new Date('2020-01-01') + new Date(x) + new Date().toISOString() + a.join('-' + b) + split(' ')\ne = Buffer.from(a, 'base64'), h = c().toString('hex'), k = 'a,b'.split(',') }"
     sources = spark.createDataFrame([(1, text)], "id int, content string")
     got = sorted((r.pattern_id, r.role, r.function_name, r.binding_key) for r in extraction.bindings(extraction.calls(sources)).collect())
-    template = [("pack-unpack", "pack", "template-literal", k) for k in (":", "id-", " - ", "|")]
+    template = [("pack-unpack", "packer", "template-literal", k) for k in (":", "id-", " - ", "|")]
     assert got == sorted([
-        *template, ("pack-unpack", "pack", "y.join", ";"), ("pack-unpack", "unpack", "'a,b'.split", ","), ("date-format", "read", "Date", "2020-01-01"), ("date-format", "write", "new Date().toISOString", ""),
-        ("buffer-encoding", "encode", "Buffer.from", "base64"), ("buffer-encoding", "decode", "c().toString", "hex"),
+        *template, ("pack-unpack", "packer", "y.join", ";"), ("pack-unpack", "unpacker", "'a,b'.split", ","), ("date-format", "parser", "Date", "2020-01-01"), ("date-format", "formatter", "new Date().toISOString", ""),
+        ("buffer-encoding", "encoder", "Buffer.from", "base64"), ("buffer-encoding", "decoder", "c().toString", "hex"),
     ])
     back = spark.createDataFrame([(2, "function g(s) { return s.split(':') }")], "id int, content string")
     both = extraction.bindings(extraction.calls(sources.union(back))).withColumn("file", F.col("id").cast("string"))
@@ -275,3 +275,212 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert pd.Series(list(e.queries())).is_unique and set(e.oracle_sql()) <= set(e.queries())
+
+
+# ---- reach over graphs
+
+
+EDGES = "from_path string, from_pkg_name string, from_pkg_root string, file string, line int, column int, to_path string, is_external boolean"
+
+
+def edges_of(spark, rows):
+    return spark.createDataFrame([(a, None, None, a, k + 1, 1, b, not b.endswith((".ts", "/dir")) and "/" not in b) for k, (a, b) in enumerate(rows)], EDGES)
+
+
+def test_reach_by_components_equals_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(3)
+    files = [f"m{k % 6}/{'sub/' if k % 3 else ''}f{k}.ts" for k in range(40)] + ["m1/index.ts", "m2/sub/index.ts"]
+    rows = {(rng.choice(files), rng.choice([*files, "m1", "m2/sub", "m3/sub", "lodash", "react", "pg"])) for _ in range(110)}
+    rows |= {(f"m4/c{k}.ts", f"m4/c{(k + 1) % 5}.ts") for k in range(5)} | {("m0/f0.ts", "m4/c0.ts"), ("m4/c3.ts", "pg"), ("m0/f0.ts", "m5"), ("m4/c2.ts", "m4/c4.ts")}
+    rows = sorted((a, b) for a, b in rows if a != b)
+    layers = [("m0/**", ("m1", "m2", "m4", "lodash"), ()), ("m1/**", (), ("react", "m3", "m4/c2.ts")), ("m2/**", (), ("pg", "m5"))]
+    table = spark.createDataFrame([(a, None, None, a, k + 1, 1, b, "/" not in b and b not in ("m1", "m5")) for k, (a, b) in enumerate(rows)], EDGES)
+    want = set().union(*(plain_reach(rows, layer, {"m1", "m5"}) for layer in layers))
+    asked = [boundary.Layer(t, allows=a, forbids=f, transitive=True) for t, a, f in layers]
+    for condense in (True, False):
+        got = {(r.target, r.current_path, r.dependency) for r in boundary.reach(table, asked, condense=condense).collect()}
+        assert got == want, condense
+    assert len(want) > 20
+
+
+def plain_reach(rows, layer, folders):
+    """What ``boundary.reach`` gives for a layer ``name/**``, one path after another; ``folders``: names without a slash that are no packages."""
+    target, allows, forbids = layer
+    root, found, seen = target.removesuffix("**"), set(), set()
+    key = lambda p: re.sub(r"/index$", "", re.sub(r"\.ts$", "", p))
+    outside = lambda p: "/" not in p and p not in folders
+    listed = lambda p, names: any(p == n or p.startswith(n + "/") for n in names)
+    bad = lambda p: listed(p, forbids) if forbids else outside(p) and not listed(p, allows)
+    ok = lambda p: not listed(p, forbids) if forbids else listed(p, allows)
+    todo = [b for a, b in rows if a.startswith(root) and not outside(b) and not (b + "/").startswith(root) and ok(b)]
+    while todo:
+        p = todo.pop()
+        if p in seen:
+            continue
+        seen.add(p)
+        for a, b in rows:
+            if key(a) == key(p) or a.startswith(key(p) + "/"):
+                if bad(b):
+                    found.add((target, p, b))
+                elif not outside(b):
+                    todo.append(b)
+    return found
+
+
+def test_components(spark):
+    from codegov.operators.reach import strong_components
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "y"), ("y", "z"), ("g", "g"), ("p", "q"), ("q", "p"), ("q", "a"), ("f", "x")]
+    rows = strong_components(spark.createDataFrame(pairs, "a string, b string")).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.component, set()).add(r.a)
+    assert sorted(map(sorted, by.values())) == [["a", "b", "c"], ["d", "e"], ["p", "q"]]
+    assert strong_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_a_hub_is_dealt_to_several_join_keys(spark):
+    from codegov.operators.reach import spread, walk
+
+    edges = spark.range(1000).select(F.lit("hub").alias("a"), F.concat(F.lit("n"), "id").alias("b"), F.lit(None).cast("array<string>").alias("closed"))
+    dealt, parts = spread(edges, fan=50)
+    assert dealt.groupBy("a", "part").count().agg({"count": "max"}).first()[0] <= 100 and parts.first().parts == 20
+    seeds = spark.createDataFrame([("w", "hub")], "who string, a string")
+    assert walk(seeds, edges, fan=50).count() == 1001
+
+
+def test_no_folder_that_nothing_names_becomes_a_key(spark):
+    table = edges_of(spark, [("deep/er/a.ts", "deep/er/b.ts"), ("deep/x.ts", "other/dir")] + [("other/dir/f.ts", "pg")])
+    keys = {r.a for r in boundary._members(table, boundary.module_key).collect()}
+    assert keys == {"other/dir"}
+
+
+def test_reach_findings_are_the_layers_own(spark):
+    table = edges_of(spark, [("src/payments/checkout.ts", "src/core/utils.ts"), ("src/core/utils.ts", "pg"), ("src/payments/checkout.ts", "fs")])
+    layer = boundary.Layer("src/payments/**", allows=("src/core/**",), transitive=True)
+    rows = {(r.rule_id, r.dependency): (r.message, r.artifacts[0].data) for r in boundary.layer_findings(table, layer).collect()}
+    assert set(rows) == {(boundary.IMPORTS, "pg"), (boundary.IMPORTS, "fs")}
+    message, data = rows[boundary.IMPORTS, "pg"]
+    assert "[Transitive]" in message and "via src/core/utils.ts" in message and "not declared in allowed" in message and '"file":"src/core/utils.ts","line":2' in data
+    with pytest.raises(ValueError):
+        boundary.Layer("a", transitive=True)
+    twice = edges_of(spark, [("src/payments/a.ts", "src/core/u.ts"), ("src/payments/b.ts", "src/core/u.ts"), ("src/core/u.ts", "pg"), ("src/core/u.ts", "pg")])
+    assert boundary.reach(twice, [layer]).count() == 1
+
+
+# ---- tables of patterns
+
+
+def test_pattern_tables_equal_single_patterns(spark):
+    from codegov.functions import pattern_tables
+
+    names = ["a/**", "**/x.ts", "a/*/c.ts", "*", "**", "!a/**", "a/b/c.ts", "**/*.test.ts", "{a,b}/**", "a/{b/c,d}.ts", "[ab]/b/*", "**/.hidden/**", "lib/*/deep/**", "?/b/c.ts", "a", "x.ts", "@s/p*", "**/b/**", "*.ts", "a/b.c/**/d.e"]
+    places = ["a", "a/b/c.ts", "a/x.ts", "x.ts", "b/b/c.ts", "a/d.ts", "q/w.test.ts", "r.test.ts", "a/.hidden/f", "lib/k/deep/z.ts", "@s/pq", "b", "a/b.c/q/d.e", "a/b.c/d.e", "lib/deep", ".x/y.ts", "dir/x.ts"]
+    paths_ = spark.createDataFrame([(p,) for p in places], "path string")
+    got = {(r.path, r.pattern) for r in pattern_tables.glob_join(paths_, spark.createDataFrame([(n,) for n in names], "pattern string")).collect()}
+    want = set()
+    for n in names:
+        want |= {(r.path, n) for r in paths_.where(globs.matches(F.col("path"), n)).collect()}
+    assert got == want
+    targets = paths_.withColumnRenamed("path", "to_path")
+    plain = ["a", "b", "@s", "lib/k", "a/**", "nope"]
+    got = {(r.to_path, r.pattern) for r in pattern_tables.import_join(targets, spark.createDataFrame([(n,) for n in plain], "pattern string")).collect()}
+    assert got == {(r.to_path, n) for n in plain for r in targets.where(globs.matches_import(F.col("to_path"), n)).collect()}
+
+
+def test_a_hundred_thousand_patterns(spark):
+    from codegov.functions import pattern_tables
+
+    patterns = spark.range(100_000).select(F.concat(F.lit("packages/p"), (F.col("id") % 1000).cast("string"), F.lit("/src/m"), F.col("id").cast("string"), F.lit("/**")).alias("pattern"))
+    paths_ = spark.range(2000).select(F.concat(F.lit("packages/p"), (F.col("id") % 1000).cast("string"), F.lit("/src/m"), F.col("id").cast("string"), F.lit("/x.ts")).alias("path"))
+    found = pattern_tables.glob_join(paths_, patterns)
+    assert found.count() == 2000
+
+
+@pytest.mark.parametrize("name", ["a08_erosion", "a08_erosion_of_globs", "p01_pattern_table", "p08_idle_table"])
+def test_patterns_need_no_nested_loop(spark, sf_dir, name):
+    from codegov.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_only_imports_count_as_violations(spark):
+    from codegov.operators import erosion
+
+    rows = spark.createDataFrame([(r, f"{r}:b", str(k), None, None) for k, r in enumerate(("coupling/pure-imports@v1", "coupling/layer-imports@v2", "coupling/other@v1"))], "rule_id string, instance_id string, fingerprint string, package_root string, dependency string")
+    assert erosion.boundaries(rows).first().violation_count == 2
+
+
+# ---- source texts
+
+
+def held(text):
+    scan = extraction.Scan(text)
+    out = {}
+    for _, _, callee, args, at in scan.calls:
+        inside = [f for f in scan.functions if f[2] <= at < f[3]]
+        out[callee] = min(inside, key=lambda f: f[3] - f[2])[1] if inside else None
+    return out
+
+
+@pytest.mark.parametrize(
+    ("text", "callee", "expected"),
+    [
+        ("function parse() { const parts = 'a,b'.split(','); }", "'a,b'.split", "parse"), ("class Parser {\n  parse() {\n    const parts = 'a,b'.split(',');\n  }\n}", "'a,b'.split", "Parser.parse"),
+        ("const pack = (a) => a.join(',');\nx.join('|')", "a.join", "pack"), ("const pack = (a) => a.join(',')\nx.join('|')", "x.join", None), ("function a(){ } x.join(',')", "x.join", None),
+        ("list.map(i => i.join('|'))", "i.join", "arrow"), ("export default function () { t.join('4') }", "t.join", "anonymous"), ("const h = function () { s.join('3') }", "s.join", None),
+        ("const o = { run() { q.join('1') } }", "q.join", "run"), ("class A { get v() { return g.split('q') } }", "g.split", None), ("class A { constructor() { g.split('q') } }", "g.split", None),
+        ("const f: (x: string) => void = async <T>(y: T): Promise<void> => { z.split('k') }", "z.split", "f"), ("function out() { function inner() { } y.join('-') }", "y.join", "out"), ("a ? x => x.join('1') : y.join('2')", "y.join", None),
+        ("const K = class { m() { w.join('1') } }", "w.join", "m"), ("async function go(): Promise<{ a: string }> { w.join('1') }", "w.join", "go"), ("for (const a of b) { w.join('1') }", "w.join", None),
+    ],
+)
+def test_enclosing_functions(text, callee, expected):
+    assert held(text)[callee] == expected
+
+
+def test_functions_and_calls_meet_in_spark(spark):
+    text = "class P {\n  parse() { return a.split(',') }\n}\nfunction f() {\n" + "\n" * 200 + "  return b.join(';')\n}\nc.join('!')"
+    one_line = "function first() { d.split('1') } e.split('2')"
+    sources = spark.createDataFrame([("x.ts", text), ("y.ts", one_line), ("y.ts", one_line + " "), ("z.ts", None), ("w.ts", "")], "file string, content string")
+    rows = extraction.calls(sources).collect()
+    assert sorted((r.file, r.callee, r.containing_function or "", r.line) for r in rows) == sorted([("x.ts", "a.split", "P.parse", 2), ("x.ts", "b.join", "f", 205), ("x.ts", "c.join", "", 207), *[("y.ts", "d.split", "first", 1), ("y.ts", "e.split", "", 1)] * 2])
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("import { foo } from './foo';", []), ("export { foo } from './foo';", []), ('const t = typeof x === "string";', []), ("const t = 'string' !== typeof x", []), ('console.log("hello");', ["hello"]), ('function greet() { return "hi"; }', ["hi"]),
+        ("interface I { 'k': string; readonly 'r'?: number; m(a: 'x'): void }", ["x"]), ("type T = { 'k': { 'n': 1 } }", []), ("const o = { 'k': 'v' }", ["k", "v"]), ("typeof x === 'q' + z", ["q"]), ("x + typeof y === 'w'", ["w"]), ("typeof a.b['c'].d() == 'object'", ["c"]),
+        ("import x = require('y'); const z = require('w'); import('./dyn')", ["w", "./dyn"]), ("declare module 'mm' { }", []), ("const r = /['\"]/g, s = 'x'", ["x"]), ("a / 'b' / c", ["b"]), ("`a${'in'}b`", ["in"]), ("'open\nlet s = 'x'", ["x"]), ("@Dec('a') class C { }", ["a"]),
+        ("switch (x) { case 'a': { f('1') } }", ["a", "1"]),
+    ],
+)
+def test_literals_in_context(text, expected):
+    assert [v for kind, v, _, _ in extraction.literals_of(text) if kind == "string"] == expected
+
+
+def test_numbers():
+    assert [v for kind, v, _, _ in extraction.literals_of("1 0x1F 1_000 .5 1e3 0b1 10n a1 x[2] 3.25")] == ["1", "0x1F", "1_000", ".5", "1e3", "0b1", "2", "3.25"]
+
+
+def test_names_are_walked_back_however_far(spark):
+    wide = "abc" + " " * 5000 + ".join(',')"
+    sources = spark.createDataFrame([("a.ts", wide)], "file string, content string")
+    assert [(r.role, len(r.function_name)) for r in extraction.bindings(extraction.calls(sources)).collect()] == [("packer", 5008)]
+    assert extraction.Scan("new" + " " * 500 + "Date('2020').toISOString()").calls[0][2].startswith("new")
+
+
+@pytest.mark.parametrize("text", ["f(" * 100_000, "\\'" * 100_000, "`\\`" * 100_000, "/[" * 100_000, "{" * 100_000, "a=>" * 100_000, "typeof " + "a." * 100_000 + "b === 'x'", "typeof a['b'] === 'c';" * 20_000, "<a " * 100_000, "a ? " * 100_000])
+def test_scans_are_linear(text):
+    import time
+
+    def seconds(t):
+        began = time.process_time()
+        extraction.Scan(t)
+        return time.process_time() - began
+
+    small = min(seconds(text[: len(text) // 4]) for _ in range(2))
+    assert seconds(text) < 12 * small + 0.2
