@@ -84,11 +84,11 @@ def _closed(layers: list[Layer], to: Column) -> Column:
     return F.filter(F.array(*bad), lambda t: t.isNotNull()) if bad else F.lit(None).cast("array<string>")
 
 
-def _members(edges: DataFrame, key) -> DataFrame:
-    """(a, b): the files of every directory that some import names; other directories have no row."""
-    named = edges.where("not is_external").select(key(F.col("to_path")).alias("a")).distinct()
-    files = edges.select("from_path").distinct()
-    return files.select(F.explode(ancestors(F.col("from_path"))).alias("a"), key(F.col("from_path")).alias("b")).join(named, "a", "left_semi").where("a != b").distinct()
+def _members(plain: DataFrame) -> DataFrame:
+    """(a, b): the files of every directory that some import names; other directories have no row. ``plain``: (from_path, a, b, is_external)."""
+    named = plain.where("not is_external").select(F.col("b").alias("a")).distinct()
+    files = plain.select("from_path", F.col("a").alias("b")).distinct()
+    return files.select(F.explode(ancestors(F.col("from_path"))).alias("a"), "b").join(named, "a", "left_semi").where("a != b").distinct()
 
 
 def reach(edges: DataFrame, layers: list[Layer], exact_paths: bool = False, cut=checkpointed, condense: bool | None = None) -> DataFrame:
@@ -100,28 +100,30 @@ def reach(edges: DataFrame, layers: list[Layer], exact_paths: bool = False, cut=
     (``condense``) where several layers share the graph; a single layer visits each node once anyway.
     """
     key = (lambda c: c) if exact_paths else module_key
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["from_path", "from_pkg_name", "from_pkg_root", "to_path", "is_external", "file", "line", "column"]
-    plain = cut(edges.select(*names).where(F.col("from_path").isNotNull() & F.col("to_path").isNotNull()))
+    plain = edges.select(*names).where(F.col("from_path").isNotNull() & F.col("to_path").isNotNull()).repartition(parts, "from_path", "to_path")  # not by file alone, which may hold any share of the imports
+    plain = cut(plain.withColumns({"a": key(F.col("from_path")), "b": key(F.col("to_path"))}))
     roots = layer_roots(plain, [x.target for x in layers])
     to, inner = F.col("to_path"), plain.where(~F.col("is_external"))
     starts = [F.when(leaves(roots[x.target]) & (~matches_any_import(to, x.forbids) if x.forbids else matches_any_import(to, x.allows)), F.lit(x.target)) for x in layers]
-    first = cut(inner.select("to_path", F.explode(F.filter(F.array(*starts), lambda t: t.isNotNull())).alias("who")).distinct())
-    graph = inner.select(key(F.col("from_path")).alias("a"), key(to).alias("b"), "to_path").distinct().withColumn("closed", _closed(layers, to))
-    folders = _members(plain, key).withColumn("closed", F.lit(None).cast("array<string>"))
-    links = cut(graph.drop("to_path").unionByName(folders).distinct())
+    first = cut(inner.select("to_path", "b", F.explode(F.filter(F.array(*starts), lambda t: t.isNotNull())).alias("who")).distinct())
+    graph = inner.select("a", "b", "to_path").distinct().withColumn("closed", _closed(layers, to))
+    folders = cut(_members(plain))
+    links = graph.drop("to_path").distinct().unionByName(folders.withColumn("closed", F.lit(None).cast("array<string>")))
     go = condensed_walk if (len(layers) > 1 if condense is None else condense) else walk
-    seen = cut(go(first.select("who", key(to).alias("a")), links, cut))
-    onward = seen.join(graph, "a").where(~F.coalesce(F.array_contains("closed", F.col("who")), F.lit(False))).select("who", "to_path")
-    via = first.select("who", "to_path").unionByName(onward).distinct().select("who", F.col("to_path").alias("current_path"), key(to).alias("k"))
+    seen = cut(go(first.select("who", F.col("b").alias("a")), links, cut))
+    onward = seen.join(graph, "a").where(~F.coalesce(F.array_contains("closed", F.col("who")), F.lit(False))).select("who", "to_path", "b")
+    via = first.select("who", "to_path", "b").unionByName(onward).distinct().select("who", F.col("to_path").alias("current_path"), F.col("b").alias("k"))
     # the imports that offend, once for each layer, at the keys under which their files are walked
     bad = [F.when(matches_any_import(to, x.forbids) if x.forbids else F.col("is_external") & ~matches_any_import(to, x.allows), F.lit(x.target)) for x in layers if x.allows or x.forbids]
     if not bad:
         return via.select(F.col("who").alias("target"), "current_path", F.col("current_path").alias("dependency"), F.lit(None).cast("struct<file:string,line:int,column:int,packageRoot:string>").alias("site")).limit(0)
     site = F.struct("file", "line", "column", F.col("from_pkg_root").alias("packageRoot"))
-    sites = plain.withColumn("who", F.explode(F.filter(F.array(*bad), lambda t: t.isNotNull()))).groupBy("who", key(F.col("from_path")).alias("b"), F.col("to_path").alias("dependency")).agg(F.min(site).alias("site"))
-    at_folders = sites.join(folders.select("a", "b"), "b").select("who", F.col("a").alias("k"), "dependency", "site")
-    at = sites.select("who", F.col("b").alias("k"), "dependency", "site").unionByName(at_folders)
-    return via.join(at, ["who", "k"]).groupBy(F.col("who").alias("target"), "current_path", "dependency").agg(F.min("site").alias("site"))
+    sites = plain.withColumn("who", F.explode(F.filter(F.array(*bad), lambda t: t.isNotNull()))).groupBy("who", F.col("a").alias("k"), F.col("to_path").alias("dependency")).agg(F.min_by(site, F.struct("file", "line", "column")).alias("site"))
+    inside = sites.join(folders.select(F.col("a").alias("folder"), F.col("b").alias("k")), "k").groupBy("who", F.col("folder").alias("k"), "dependency").agg(F.min("site").alias("site"))
+    both = sites.unionByName(inside).groupBy("who", "k", "dependency").agg(F.min("site").alias("site"))
+    return via.join(both, ["who", "k"]).select(F.col("who").alias("target"), "current_path", "dependency", "site")
 
 
 def reach_findings(rows: DataFrame, layers: list[Layer]) -> DataFrame:

@@ -37,11 +37,12 @@ def walk(seeds: DataFrame, edges: DataFrame, cut: Cut = checkpointed, fan: int =
     ``edges``: (a, b, closed), where ``closed`` lists those who may not take the edge (null: nobody). A round joins the
     last round's new rows alone; what was visited stays as it was written, a table a round, and new rows are added.
     """
-    dealt, parts = spread(edges, fan)
-    dealt, parts = cut(dealt), cut(parts)
+    dealt, parts = spread(cut(edges.select("a", "b", "closed")), fan)
+    parts = cut(parts)
+    hubs = not parts.isEmpty()
     rounds = [cut(seeds.select("who", "a").distinct())]
     while not rounds[-1].isEmpty():
-        out = _to_parts(rounds[-1], parts).join(dealt, ["a", "part"])
+        out = _to_parts(rounds[-1], parts).join(dealt, ["a", "part"]) if hubs else rounds[-1].join(dealt, "a")
         onward = out.where(~F.coalesce(F.array_contains("closed", F.col("who")), F.lit(False))).select("who", F.col("b").alias("a")).distinct()
         seen = reduce(DataFrame.unionByName, rounds)
         rounds.append(cut(onward.join(seen, ["who", "a"], "left_anti")))
@@ -94,10 +95,11 @@ def condensed_walk(seeds: DataFrame, edges: DataFrame, cut: Cut = checkpointed,
 
     Components are those of the edges that are closed to nobody.
     """
+    edges = cut(edges.select("a", "b", "closed").distinct())
     open_ = edges.where(F.col("closed").isNull() | (F.size("closed") == 0))
     parts = cut(strong_components(open_, cut))
     name = lambda rows, c: rows.join(parts.toDF(c, "__in"), c, "left").withColumn(c, F.coalesce(F.concat(F.lit("*"), "__in"), F.concat(F.lit("."), c))).drop("__in")
-    small = name(name(edges.select("a", "b", "closed"), "a"), "b").where("a != b").distinct()
+    small = name(name(edges, "a"), "b").where("a != b").distinct()
     reached = walk(name(seeds.select("who", "a"), "a"), small, cut, fan)
     alone = reached.where(F.startswith("a", F.lit("."))).select("who", F.substring("a", F.lit(2), F.length("a")).alias("a"))
     members = parts.select("a", F.concat(F.lit("*"), "component").alias("in"))
