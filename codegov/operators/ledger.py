@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import placed
+
 STATES = {"observed": "observed", "baselined": "baselined", "resolved": "resolved", "unverified": "unverified", "revoked": "revoked"}
 
 
@@ -49,6 +51,31 @@ def rejected_transitions(events: DataFrame, order: str = "ord") -> DataFrame:
     return rows.where(F.col("type").isin("observed", "unverified") & live).drop("before")
 
 
+#: Events of one range that a window looks at together.
+CHUNK = 65_536
+
+
+def judge(events: DataFrame, snapshot: DataFrame, as_of: datetime, order: list[str]) -> DataFrame:
+    """``events`` with ``rejected``: those that would observe a finding again while its baseline is in force at ``as_of``.
+
+    An event meets the state that the ledger's last event (``snapshot``) and the accepted ones before it leave. Between two
+    events of other kinds either all observations pass or none, so the last of the others decides. Events are judged in
+    chunks of their order, and a row a chunk carries the state on: a finding may have any share of the events.
+    """
+    rows = placed(events.where(F.col("fingerprint").isNotNull()), "fingerprint", *order).withColumn("__chunk", F.floor(F.col("place") / CHUNK))
+    seen = F.col("type").isin("observed", "unverified")
+    other = F.when(~seen, F.struct("place", "type", "expires_at"))
+    inside = Window.partitionBy("fingerprint", "__chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__here", F.last(other, ignorenulls=True).over(inside))
+    ends = rows.groupBy("fingerprint", "__chunk").agg(F.max(other).alias("__last"))
+    ahead = Window.partitionBy("fingerprint").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("fingerprint", "__chunk", F.last("__last", ignorenulls=True).over(ahead).alias("__ahead"))
+    state = snapshot.select("fingerprint", F.struct(F.lit(0).cast("long").alias("place"), "type", "expires_at").alias("__state"))
+    x = rows.join(ends, ["fingerprint", "__chunk"]).join(state, "fingerprint", "left").withColumn("__now", F.coalesce("__here", "__ahead", "__state"))
+    live = (F.col("__now.type") == "baselined") & (F.col("__now.expires_at") > F.lit(as_of))
+    return x.withColumn("rejected", F.coalesce(seen & live, F.lit(False))).select(*events.columns, "rejected")
+
+
 def reconcile(current: DataFrame, snapshot: DataFrame, as_of: datetime) -> DataFrame:
     """One row per fingerprint of either side with its outcome flags, what is visible, and the event to write.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import budget, globs, identity, paths, pattern_tables
 from ..operators import boundary, erosion, extraction, git_rules, graph, grouping, ledger, scoring, structures
-from ..sources import gitlog, ledger_files
+from ..sources import fact_cache, gitlog, ledger_files
 from ..sources.shared import shared_folder
 from ..streaming import jobs
 from . import runner
@@ -758,9 +759,40 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.latest(ledger_files.read_ledger(spark, path), order="entry_id").select("fingerprint", "type", "run_id", "rule_id")
 
 
-QUERIES |= {"r03_read_facts": r03, "r04_ledger_file": r04}
+def r05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the ledger as an earlier run; the rest is checked and appended twice over, which adds it once."""
+    path, rows = f"{_shared_folder(spark)}/ledger.ndjson", fact(spark, sf_dir, "ledger").withColumn("note", F.col("ord").cast("string"))
+    ledger_files.append_ledger(ledger_files.stamp(rows.where("ord % 4 <> 0"), "old", 0, ["ord"]).drop("ord"), path)
+    late = rows.where("ord % 4 = 0")
+    rejected = [ledger_files.append_run(late, path, "new", LEDGER_AS_OF, ["ord"]).select("ord") for _ in range(2)]
+    written = ledger_files.read_ledger(spark, path).where("run_id = 'new'").groupBy(F.col("note").cast("long").alias("ord")).agg(F.count(F.lit(1)).alias("times"), F.max(F.length("entry_id")).alias("id_size"))
+    refused = reduce(DataFrame.unionByName, rejected).groupBy("ord").agg(F.count(F.lit(1)).alias("refused"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return late.select("fingerprint", "ord", "type").join(written, "ord", "left").join(refused, "ord", "left").select("fingerprint", "ord", "type", zero("times"), zero("refused"))
+
+
+def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of the pages' scripts in two runs; every third page was another one in the first, so it alone is looked at in the second."""
+    folder = _shared_folder(spark)
+    pages = extraction.page_scripts(fact(spark, sf_dir, "pages"))
+    before = pages.withColumn("content", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("old('x', "), F.col("page_id").cast("string"), F.lit(")"))).otherwise(F.col("content")))
+    run = lambda s: fact_cache.collect(s, extraction.literals, folder, "constants", "kind string, value string, line int, column int", "tsconfig.json")
+    run(before)
+    facts, plan = run(pages)
+    left = fact_cache.read_entries(pages, folder, "constants", "kind string, value string, line int, column int").select("cache_key").distinct().withColumn("kept", F.lit(True))
+    return facts.join(plan, "cache_key").join(left, "cache_key", "left").select("page_id", "kind", "value", F.col("part").alias("was"), "kept")
+
+
+QUERIES |= {"r03_read_facts": r03, "r04_ledger_file": r04, "r05_checked_append": r05, "e09_changed_pages": e09}
 ORACLE_SQL |= {
     "r03_read_facts": duck("SELECT 'constants' AS fact, kind, count(*) AS n, count(DISTINCT file) AS files FROM {constants} GROUP BY kind"),
+    "r05_checked_append": duck("""WITH old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ord DESC) AS n FROM {ledger} WHERE ord % 4 <> 0) x WHERE n = 1),
+        late AS (SELECT *, last_value(CASE WHEN type NOT IN ('observed', 'unverified') THEN {'t': type, 'u': expires_at} END IGNORE NULLS) OVER (PARTITION BY fingerprint ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {ledger} WHERE ord % 4 = 0),
+        j AS (SELECT late.*, coalesce(late.type IN ('observed', 'unverified') AND CASE WHEN b IS NULL THEN old.type ELSE b.t END = 'baselined' AND CASE WHEN b IS NULL THEN old.expires_at ELSE b.u END > TIMESTAMP '2024-01-31 00:00:00', false) AS bad FROM late LEFT JOIN old ON old.fingerprint = late.fingerprint)
+        SELECT fingerprint, ord, type, CAST(CASE WHEN bad THEN 0 ELSE 1 END AS BIGINT) AS times, CAST(CASE WHEN bad THEN 2 ELSE 0 END AS BIGINT) AS refused FROM j""".replace("{'t': type, 'u': expires_at}", "struct_pack(t := type, u := expires_at)")),
+    "e09_changed_pages": """WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS script FROM pages),
+        v AS (SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.page_id % 3 <> 0 AND o.script = s.script) THEN 'hit' ELSE 'miss' END AS was FROM s)
+        SELECT page_id, 'string' AS kind, '</p>' AS value, was, true AS kept FROM v UNION ALL SELECT page_id, 'number', regexp_extract(script, 'track[(]([0-9]+)[)]', 1), was, true FROM v""",
     "r04_ledger_file": duck("SELECT fingerprint, type, CASE WHEN type = 'revoked' THEN 'run1' ELSE 'run0' END AS run_id, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY type = 'revoked' DESC, ord DESC) AS n FROM {ledger}) x WHERE n = 1"),
 }
 
@@ -774,15 +806,32 @@ def _shared_folder(spark: SparkSession) -> str:
 
 
 def _drain(df: DataFrame, mode: str) -> DataFrame:
-    """The stream's result as Parquet, with its state beside it; a batch of complete mode replaces the one before."""
-    spark, folder = df.sparkSession, _shared_folder(df.sparkSession)
-    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows")
+    """The stream's result as Parquet, with its state beside it: a folder a batch, of complete mode the last one counts."""
+    spark, folder, done = df.sparkSession, _shared_folder(df.sparkSession), []
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows-{k}")
+        done.append(k)
 
     df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+    rows = [f"{folder}/rows-{k}" for k in (done[-1:] if mode == "complete" else done)]
+    return spark.read.schema(df.schema).parquet(*rows) if rows else spark.createDataFrame([], df.schema)
+
+
+def _arriving(parts: list[DataFrame], job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a stream writes as ``parts`` arrive one after the other; each starts the job again where it ended."""
+    spark = parts[0].sparkSession
+    folder, done = _shared_folder(spark), []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows-{k}")
+        done.append(f"{folder}/rows-{k}")
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = job(spark.readStream.schema(part.schema).parquet(f"{folder}/in"))
+        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(*dict.fromkeys(done))
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -805,10 +854,44 @@ def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("w.start").alias("day"), "path", "count")
 
 
-QUERIES |= {"t01_stream_fold": t01, "t02_stream_churn": t02}
+#: When the first and the second part of the events end.
+_THIRDS = (datetime(2024, 1, 11), datetime(2024, 1, 21))
+
+
+def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as state with timers, over batches out of order; the last one moves the clock beyond all baselines."""
+    rows = fact(spark, sf_dir, "ledger").select("fingerprint", "ord", "type", "expires_at", "timestamp")
+    clock = rows.agg((F.max("timestamp") + F.make_interval(years=F.lit(2))).alias("timestamp")).select(F.lit("clock").alias("fingerprint"), F.lit(0).cast("long").alias("ord"), F.lit("observed").alias("type"), F.lit(None).cast("timestamp").alias("expires_at"), "timestamp")
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        parts = [rows.where(F.pmod(F.xxhash64("ord"), F.lit(3)) == k) for k in (2, 0, 1)]
+        out = _arriving([*parts, clock, clock.withColumn("ord", F.lit(1).cast("long"))], lambda s: jobs.state_stream(s, "60 days"), "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    last = out.where("what = 'latest' and fingerprint != 'clock'").groupBy("fingerprint").agg(F.max_by(F.struct("ord", "type"), "ord").alias("l")).select("fingerprint", "l.*")
+    ended = out.where("what = 'expired'").select("fingerprint", "ord", F.lit(True).alias("expired")).distinct()
+    return last.join(ended, ["fingerprint", "ord"], "left").select("fingerprint", "ord", "type", F.coalesce("expired", F.lit(False)).alias("expired"))
+
+
+def t04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn in sliding windows in append mode: windows are written once, when the watermark has passed them; a third batch is too late and changes nothing."""
+    e = fact(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("date"), F.col("event_type").alias("path"), "event_id")
+    early, late = F.col("date") < F.lit(_THIRDS[0]), F.col("event_id") % 10 == 3
+    parts = [e.where(~(early & late) & (F.col("date") < F.lit(_THIRDS[1]))), e.where(F.col("date") >= F.lit(_THIRDS[1])), e.where(early & late)]
+    clock = e.agg((F.max("date") + F.make_interval(years=F.lit(1))).alias("date"))
+    clock = clock.select("date", F.lit("clock").alias("path"), F.lit(0).cast("long").alias("event_id"))
+    out = _arriving([x.select("date", "path") for x in (*parts, clock, clock)], lambda s: jobs.churn_stream(s, "2 days", "1 day", late="1 day"), "append")
+    return out.where("path != 'clock'").select(F.col("w.start").alias("day"), "path", "count")
+
+
+QUERIES |= {"t01_stream_fold": t01, "t02_stream_churn": t02, "t03_stream_state": t03, "t04_sliding_churn": t04}
 ORACLE_SQL |= {
     "t01_stream_fold": "SELECT CAST(user_id AS VARCHAR) AS fingerprint, max(event_id) AS ord, arg_max(event_type, event_id) AS type FROM events GROUP BY user_id",
     "t02_stream_churn": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type AS path, count(*) AS count FROM events GROUP BY 1, 2",
+    "t03_stream_state": duck("SELECT fingerprint, ord, type, type = 'baselined' AS expired FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ord DESC) AS n FROM {ledger}) x WHERE n = 1"),
+    "t04_sliding_churn": f"""SELECT day, event_type AS path, count(*) AS count FROM (SELECT event_type, unnest([CAST(date_trunc('day', ts) AS TIMESTAMP), CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 1 DAY]) AS day
+        FROM events WHERE NOT (ts < TIMESTAMP '{_THIRDS[0]}' AND event_id % 10 = 3)) x GROUP BY 1, 2""",
 }
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def fold_stream(events: DataFrame, key: str = "fingerprint", order: str = "ord") -> DataFrame:
@@ -16,3 +20,52 @@ def churn_stream(changes: DataFrame, window: str = "90 days", slide: str | None
     """Counts per path in tumbling or sliding windows; changes later than the watermark are dropped."""
     span = F.window("date", window, slide) if slide else F.window("date", window)
     return changes.withWatermark("date", late).groupBy(span.alias("w"), "path").agg(F.count(F.lit(1)).alias("count"))
+
+
+class _Latest(StatefulProcessor):
+    """A finding's latest event, and a timer at the end of a baseline."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.latest = handle.getValueState("latest", "ord long, type string, until long")
+
+    def _row(self, key, what: str, ord_: int, type_: str) -> pd.DataFrame:
+        return pd.DataFrame({"fingerprint": [key[0]], "what": [what], "ord": [ord_], "type": [type_]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.latest.get() if self.latest.exists() else None
+        best = held and (held[0], held[1], held[2])
+        for part in rows:
+            for o, t, u in zip(part["ord"].tolist(), part["type"].tolist(), part["until"].tolist(), strict=True):
+                if best is None or o > best[0]:
+                    best = (int(o), t, -1 if u is None or u != u else int(u))
+        if best is None or held is not None and best[0] == held[0]:
+            return
+        if held is not None and held[1] == "baselined" and held[2] >= 0:
+            self.handle.deleteTimer(held[2])
+        self.latest.update(best)
+        yield self._row(key, "latest", best[0], best[1])
+        if best[1] == "baselined" and best[2] >= 0:
+            if best[2] > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(best[2])
+            else:
+                yield self._row(key, "expired", best[0], best[1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self.latest.get()
+        if held is not None and held[1] == "baselined" and held[2] == expiredTimerInfo.getExpiryTimeInMs():
+            yield self._row(key, "expired", held[0], held[1])
+
+    def close(self) -> None:
+        pass
+
+
+def state_stream(events: DataFrame, late: str = "30 days") -> DataFrame:
+    """(fingerprint, what, ord, type) in update mode: a row when a finding's latest event changes, and one when a baseline ends.
+
+    ``events``: (fingerprint, ord, type, expires_at, timestamp), in any order within the watermark. Each finding has one row of
+    state; a batch touches and reports only what it changes. Needs a state store that keeps columns, such as RocksDB.
+    """
+    rows = events.where(F.col("fingerprint").isNotNull()).withWatermark("timestamp", late)
+    rows = rows.select("fingerprint", "ord", "type", F.unix_millis("expires_at").alias("until"), "timestamp")
+    return rows.groupBy("fingerprint").transformWithStateInPandas(_Latest(), "fingerprint string, what string, ord long, type string", "Update", "EventTime")
