@@ -55,15 +55,15 @@ def _offends(layer: Layer) -> Column:
     return ~matches_any_import(to, layer.allows)
 
 
-def violations(edges: DataFrame, *layers: Layer) -> DataFrame:
-    """One finding per (target, dependency, import site) of pure, allow-list or deny-list layers; one pass for all of them."""
+def violations(edges: DataFrame, *layers: Layer, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One finding per (keys, target, dependency, import site) of pure, allow-list or deny-list layers; one pass for all of them."""
     roots = layer_roots(edges, [x.target for x in layers])
     rule = lambda x: IMPORTS if x.allows or x.forbids else PURE
     hits = [F.when(leaves(roots[x.target]) & _offends(x), F.struct(F.lit(rule(x)).alias("rule"), F.lit(x.target).alias("target"))) for x in layers]
     found = edges.withColumn("hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
     target, name = F.col("hit.target"), F.col("hit.rule")
     return found.select(
-        name.alias("rule_id"), F.concat(name, F.lit(":"), target).alias("instance_id"), fingerprint(name, target=target, dependency=F.col("to_path")).alias("fingerprint"),
+        *keys, name.alias("rule_id"), F.concat(name, F.lit(":"), target).alias("instance_id"), fingerprint(name, target=target, dependency=F.col("to_path")).alias("fingerprint"),
         F.concat(target, F.lit(" imports "), F.col("to_path")).alias("message"),
         F.array(artifact("import", file=F.col("file"), line=F.col("line"), column=F.col("column"), dependency=F.col("to_path"), packageRoot=F.col("from_pkg_root"))).alias("artifacts"),
         F.struct("file", "line", "column", "to_path").alias("ord"), F.col("to_path").alias("dependency"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import budget, globs, identity, paths, pattern_tables
 from ..operators import boundary, erosion, extraction, git_rules, graph, grouping, ledger, scoring, structures
-from ..sources import fact_cache, gitlog, ledger_files
+from ..sources import fact_cache, fact_tables, gitlog, ledger_files
 from ..sources.shared import shared_folder
 from ..streaming import jobs
 from . import runner
@@ -266,6 +266,18 @@ def a04(get):
     return grouping.shared_algorithms(get("bindings"), same_container=True)
 
 
+@query("a03_rule", f"""WITH g AS ({_ALGO} WHERE binding_key <> 'Brand#11' GROUP BY pattern_id, binding_key HAVING count(DISTINCT file) >= 2 AND count(DISTINCT role) >= 2)
+    SELECT g.fingerprint, b.role, coalesce(b.containing_function, '') AS container, g.files, count(*) AS n FROM g JOIN {{bindings}} b ON b.pattern_id = g.pattern_id AND b.binding_key = g.binding_key GROUP BY ALL""")
+def a03_rule(get):
+    """The findings of shared algorithms as a rule of the runner, and the bindings behind them as evidence."""
+    ts = runner.Collector("ts", ("algorithmic_bindings",), lambda _: {"algorithmic_bindings": get("bindings")})
+    rule = runner.Rule("algorithms", ("algorithmic_bindings",), lambda f: grouping.algorithm_findings(f["algorithmic_bindings"], ignored=("Brand#11",)))
+    found = runner.run([ts], [rule])
+    sites = found.evidence.select("fingerprint", F.get_json_object("data", "$.role").alias("role"), F.coalesce(F.get_json_object("data", "$.containingFunction"), F.lit("")).alias("container"))
+    files = F.regexp_extract("message", r"across (\d+) files", 1).cast("long")
+    return sites.groupBy("fingerprint", "role", "container").agg(F.count(F.lit(1)).alias("n")).join(found.findings.select("fingerprint", files.alias("files")), "fingerprint")
+
+
 @query("w01_keep_first", "SELECT file, line, col, value, min(seq) AS seq FROM (SELECT *, CASE kind WHEN 'string' THEN 0 ELSE 1 END AS seq FROM {constants}) x GROUP BY file, line, col, value")
 def w01(get):
     rows = get("constants").withColumnRenamed("col", "column").withColumn("seq", F.when(F.col("kind") == "string", 0).otherwise(1))
@@ -354,8 +366,18 @@ def s09(get):
 
 @query("j02_positions", "SELECT s.file, s.name, count(*) AS accesses, SHA[" + _json('{"data":{"file":"', "s.file", '","name":"', "s.name", '"},"ruleId":"connascence/position@v1"}') + "] AS fingerprint FROM {sources} s JOIN {accesses} a ON s.file = coalesce(a.origin_file, a.file) AND s.name = coalesce(a.origin_name, a.name) WHERE s.is_heterogeneous GROUP BY s.file, s.name")
 def j02(get):
-    found = identity.count_findings(structures.position_findings(get("sources"), get("accesses")))
-    return found.select("file", "name", F.col("n").alias("accesses"), "fingerprint")
+    found = structures.position_findings(get("sources"), get("accesses")).where("what = 'access'")
+    return identity.count_findings(found).select("file", "name", F.col("n").alias("accesses"), "fingerprint")
+
+
+@query("j02_evidence", """WITH m AS (SELECT s.file, s.name, a.accessed_index, a.line FROM (SELECT DISTINCT file, name FROM {sources} WHERE is_heterogeneous) s JOIN {accesses} a ON s.file = coalesce(a.origin_file, a.file) AND s.name = coalesce(a.origin_name, a.name))
+    SELECT file, name, 'access' AS kind, accessed_index AS index, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT DISTINCT file, name, 'source', NULL, CAST(1 AS BIGINT) FROM m""")
+def j02_evidence(get):
+    """The evidence of every structure: its source, and each access with its index."""
+    found = structures.position_findings(get("sources"), get("accesses"))
+    at = F.get_json_object("data", "$.index")
+    rows = identity.evidence(found, ("file", "name")).groupBy("file", "name", "kind", at.alias("index")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("file", "name", "kind", "index", "n")
 
 
 @query(
@@ -419,6 +441,18 @@ def r08(get):
     return ledger_files.export_lines(ledger.with_state(ledger.latest(get("ledger"))), ["fingerprint", "rule_id"])
 
 
+@query("r06_export_sections", f"""{_LAST}, v AS (SELECT DISTINCT from_pkg_name AS boundary, to_path FROM {{edges}} WHERE from_pkg_name IN ('@acme/economy', '@acme/promo', '@acme/standard') AND NOT (NOT is_external AND starts_with(to_path, from_pkg_root || '/'))),
+    x AS (SELECT axiom_id, CASE arg_max(type, ord) WHEN 'declared' THEN 'active' ELSE arg_max(type, ord) END AS state FROM {{axioms}} GROUP BY axiom_id)
+    SELECT 'findings' AS section, '{{"state":"' || type || '","fingerprint":"' || fingerprint || '","rule_id":"' || rule_id || '"}}' AS item FROM last
+    UNION ALL SELECT 'axioms', '{{"state":"' || state || '","axiom_id":"' || axiom_id || '"}}' FROM x
+    UNION ALL SELECT 'insights', '{{"boundary":"' || boundary || '","violation_count":' || CAST(count(*) AS STRING) || '}}' FROM v GROUP BY boundary""")
+def r06_sections(get):
+    """Findings, axioms and an insight in one export."""
+    states = ledger.with_state(ledger.latest(get("ledger")))
+    bounds = erosion.boundaries(erosion.findings_for(_coupling(get), ["coupling/pure-imports"]))
+    return ledger_files.export_sections(findings=(states, ["state", "fingerprint", "rule_id"]), axioms=(ledger.axiom_states(get("axioms")), ["state", "axiom_id"]), insights=(bounds, ["boundary", "violation_count"]))
+
+
 @query("w02_rejected_transitions", "SELECT fingerprint, ord, type FROM (SELECT *, lag(type) OVER w AS was, lag(expires_at) OVER w AS until FROM {ledger} WINDOW w AS (PARTITION BY fingerprint ORDER BY ord)) x WHERE type IN ('observed', 'unverified') AND was = 'baselined' AND until > timestamp")
 def w02(get):
     return ledger.rejected_transitions(get("ledger")).select("fingerprint", "ord", "type")
@@ -589,11 +623,11 @@ def s18(get):
     return get("documents").select("doc_id", budget.cache_key(F.col("lang"), F.col("source")).alias("key"))
 
 
-@query("a11_usage", "SELECT CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(count(*) * 29 AS BIGINT) AS output_tokens FROM {items}")
+@query("a11_usage", "SELECT CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(count(*) * 29 AS BIGINT) AS output_tokens, CAST(sum(tokens) + count(*) * 29 * 5 AS BIGINT) AS micro_cost FROM {items}")
 def a11(get):
     per = budget.output_estimate({"type": "object", "properties": {"confidence": {"type": "number"}, "flag": {"type": "boolean"}, "ok": {"type": "integer"}}}) - 6
     rows = get("items").select(F.col("tokens").alias("input_tokens"), F.lit(per).cast("long").alias("output_tokens")).withColumn("cost", budget.cost(F.col("input_tokens"), F.col("output_tokens"), 1e-6, 5e-6))
-    return scoring.usage(rows).select("input_tokens", "output_tokens")
+    return scoring.usage(rows).select("input_tokens", "output_tokens", F.round(F.col("cost") * 1e6).cast("long").alias("micro_cost"))
 
 
 @query("j12_cache_plan", "SELECT cache_key, CASE WHEN original_index % 3 = 0 THEN 'hit' ELSE 'miss' END AS part FROM {items} UNION ALL SELECT SHA['old' || CAST(doc_id AS STRING)], 'stale' FROM {labels}")
@@ -783,13 +817,43 @@ def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(plan, "cache_key").join(left, "cache_key", "left").select("page_id", "kind", "value", F.col("part").alias("was"), "kept")
 
 
-QUERIES |= {"r03_read_facts": r03, "r04_ledger_file": r04, "r05_checked_append": r05, "e09_changed_pages": e09}
+def _projects(rows: DataFrame, kind: str, folder: str, number) -> None:
+    """Three projects of every repository; a quarter of the files is in all of them."""
+    for k in range(3):
+        fact_tables.append_facts(rows.where((number % 4 == k) | (number % 4 == 3)), kind, folder, k)
+
+
+def u02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of several projects in one bucketed table; of those that projects share, the first project's stays."""
+    folder, number = _shared_folder(spark), F.regexp_extract("file", "[0-9]+", 0).cast("int")
+    rows = fact(spark, sf_dir, "constants").withColumnRenamed("col", "column").withColumn("repo", F.concat(F.lit("r"), (number % 5).cast("string")))
+    _projects(rows, "constants", folder, number)
+    return fact_tables.merged(spark, "constants", folder).select("repo", "file", "line", F.col("column").alias("col"), "value", "source_order")
+
+
+def u02_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positional structures of several projects and their accesses meet by repository, as their tables lie."""
+    folder = _shared_folder(spark)
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("int")
+    repo = lambda c: F.concat(F.lit("r"), (number(c) % 3).cast("string"))
+    found = fact(spark, sf_dir, "sources").withColumns({"repo": repo("name"), "line": F.lit(1), "column": F.lit(1)})
+    reads = structures.origin(fact(spark, sf_dir, "accesses").withColumn("column", F.lit(1))).withColumn("repo", repo("of_name"))
+    _projects(found, "positional_sources", folder, number("name"))
+    _projects(reads, "positional_accesses", folder, number("of_name"))
+    rows = structures.position_findings(*(fact_tables.merged(spark, k, folder) for k in ("positional_sources", "positional_accesses")), keys=("repo",))
+    return rows.groupBy("repo", "file", "name").agg(F.count_if(F.col("what") == "access").alias("accesses"), F.count_if(F.col("what") == "source").alias("sources"))
+
+
+QUERIES |= {"r03_read_facts": r03, "r04_ledger_file": r04, "r05_checked_append": r05, "e09_changed_pages": e09, "u02_projects": u02, "u02_rule_join": u02_rules}
 ORACLE_SQL |= {
     "r03_read_facts": duck("SELECT 'constants' AS fact, kind, count(*) AS n, count(DISTINCT file) AS files FROM {constants} GROUP BY kind"),
     "r05_checked_append": duck("""WITH old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY ord DESC) AS n FROM {ledger} WHERE ord % 4 <> 0) x WHERE n = 1),
         late AS (SELECT *, last_value(CASE WHEN type NOT IN ('observed', 'unverified') THEN {'t': type, 'u': expires_at} END IGNORE NULLS) OVER (PARTITION BY fingerprint ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {ledger} WHERE ord % 4 = 0),
         j AS (SELECT late.*, coalesce(late.type IN ('observed', 'unverified') AND CASE WHEN b IS NULL THEN old.type ELSE b.t END = 'baselined' AND CASE WHEN b IS NULL THEN old.expires_at ELSE b.u END > TIMESTAMP '2024-01-31 00:00:00', false) AS bad FROM late LEFT JOIN old ON old.fingerprint = late.fingerprint)
         SELECT fingerprint, ord, type, CAST(CASE WHEN bad THEN 0 ELSE 1 END AS BIGINT) AS times, CAST(CASE WHEN bad THEN 2 ELSE 0 END AS BIGINT) AS refused FROM j""".replace("{'t': type, 'u': expires_at}", "struct_pack(t := type, u := expires_at)")),
+    "u02_projects": duck("SELECT 'r' || CAST(u % 5 AS STRING) AS repo, file, line, col, value, CAST(min(k) AS INT) AS source_order FROM (SELECT *, CAST(regexp_extract(file, '[0-9]+', 0) AS INT) AS u FROM {constants}) x JOIN (VALUES (0), (1), (2)) p(k) ON u % 4 = k OR u % 4 = 3 GROUP BY u, file, line, col, value"),
+    "u02_rule_join": duck("""WITH a AS (SELECT DISTINCT file, name, coalesce(origin_file, file) AS of_file, coalesce(origin_name, name) AS of_name, accessed_index, line FROM {accesses})
+        SELECT 'r' || CAST(CAST(substring(s.name, 5) AS INT) % 3 AS STRING) AS repo, s.file, s.name, count(*) AS accesses, CAST(1 AS BIGINT) AS sources FROM (SELECT DISTINCT file, name FROM {sources} WHERE is_heterogeneous) s JOIN a ON s.file = of_file AND s.name = of_name GROUP BY s.file, s.name"""),
     "e09_changed_pages": """WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS script FROM pages),
         v AS (SELECT s.*, CASE WHEN EXISTS (SELECT 1 FROM s o WHERE o.page_id % 3 <> 0 AND o.script = s.script) THEN 'hit' ELSE 'miss' END AS was FROM s)
         SELECT page_id, 'string' AS kind, '</p>' AS value, was, true AS kept FROM v UNION ALL SELECT page_id, 'number', regexp_extract(script, 'track[(]([0-9]+)[)]', 1), was, true FROM v""",

@@ -102,6 +102,12 @@ def export_lines(states: DataFrame, payload: list[str]) -> DataFrame:
     return rows.select("state", F.to_json(F.struct(*payload)).alias("item"))
 
 
+def export_sections(**sections: tuple[DataFrame, list[str]]) -> DataFrame:
+    """(section, item): findings, axioms, insights or whatever there is to export, a JSON object a line, each section in the order of its fields."""
+    lines = [rows.select(F.lit(name).alias("section"), F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}).alias("item")) for name, (rows, payload) in sections.items()]
+    return reduce(DataFrame.unionByName, lines).repartitionByRange("section", "item").sortWithinPartitions("section", "item")
+
+
 def read_facts(spark: SparkSession, folder: str, needed: list[str]) -> dict[str, DataFrame]:
     """Only the fact tables that are asked for, each with its fixed schema."""
     return {k: spark.read.schema(FACTS[k]).parquet(f"{folder}/{k}") for k in needed if k in FACTS}

@@ -485,3 +485,105 @@ def test_scans_are_linear(text):
 
     small = min(seconds(text[: len(text) // 4]) for _ in range(2))
     assert seconds(text) < 12 * small + 0.2
+
+
+# ---- facts over runs and projects
+
+
+KINDS = "kind string, value string, line int, column int"
+
+
+def test_only_changed_sources_are_extracted(spark, tmp_path):
+    from codegov.sources import fact_cache
+
+    seen = []
+
+    def extract(rows):
+        seen.append({r.content for r in rows.select("content").collect()})
+        return extraction.literals(rows)
+
+    table = lambda rows: spark.createDataFrame(rows, "file string, content string")
+    run = lambda rows, **more: fact_cache.collect(table(rows), extract, str(tmp_path), "constants", KINDS, **more)
+    facts = lambda found: sorted((r.file, r.value) for r in found.collect())
+    states = lambda plan: sorted(r.part for r in plan.collect())
+    one = [("a", "f('1')"), ("b", "g('2')"), ("same", "f('1')"), ("none", "x"), ("null", None)]
+    found, plan = run(one)
+    assert facts(found) == [("a", "1"), ("b", "2"), ("same", "1")] and states(plan) == ["miss"] * 4 and seen.pop() == {"f('1')", "g('2')", "x", None}
+    found, plan = run(one)
+    assert facts(found) == [("a", "1"), ("b", "2"), ("same", "1")] and states(plan) == ["hit"] * 4 and seen.pop() == set()
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    two = [("a", "f('1')"), ("b", "g('3')"), ("none", "x"), ("null", None)]
+    found, plan = run(two)
+    assert facts(found) == [("a", "1"), ("b", "3")] and states(plan) == ["hit"] * 3 + ["miss", "stale"] and seen.pop() == {"g('3')"}
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert sum(before.get(p) == t for p, t in after.items()) >= 2  # partitions without a change stay as they are
+    entries = fact_cache.read_entries(table(two), str(tmp_path), "constants", KINDS)
+    assert entries.select("cache_key").distinct().count() == 4
+    # other settings are other entries, and a full run is what the cache gives
+    found, plan = run(two, settings="other")
+    assert facts(found) == [("a", "1"), ("b", "3")] and states(plan).count("miss") == 4
+    found, plan = run([])
+    assert found.count() == 0 and set(states(plan)) == {"stale"} and fact_cache.read_entries(table(two), str(tmp_path), "constants", KINDS).count() == 0
+
+
+def test_ulids_sort_and_repeat(spark):
+    rows = spark.range(5000).select(F.col("id").alias("ord"))
+    one = ledger_files.stamp(rows, "run", 1_700_000_000_000, ["ord"]).orderBy("ord").collect()
+    ids = [r.entry_id for r in one]
+    assert ids == sorted(ids) and len(set(ids)) == 5000 and all(re.fullmatch("[0-9A-HJKMNP-TV-Z]{26}", i) for i in ids)
+    assert ids == [r.entry_id for r in ledger_files.stamp(rows, "run", 1_700_000_000_000, ["ord"]).orderBy("ord").collect()]
+    assert ids[-1] < ledger_files.stamp(rows.limit(1), "a later one", 1_700_000_000_001, ["ord"]).first().entry_id
+    assert ids[0][:10] == "01HF7YAT00"  # the time alone
+
+
+def test_appends_are_checked_in_order_and_added_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "CHUNK", 2)
+    path, later, past = str(tmp_path / "l.ndjson"), datetime(2024, 3, 1), datetime(2024, 1, 1)
+    kind = "fingerprint string, type string, expires_at timestamp, ord int"
+    run = lambda rows, name: sorted((r.fingerprint, r.ord) for r in ledger_files.append_run(spark.createDataFrame(rows, kind), path, name, AS_OF, ["ord"]).collect())
+    first = [("f", "observed", None, 1), ("f", "baselined", later, 2), ("f", "observed", None, 3), ("f", "unverified", None, 4), ("f", "resolved", None, 5), ("f", "observed", None, 6), ("g", "baselined", past, 7), ("g", "observed", None, 8), ("h", "baselined", later, 9)]
+    assert run(first, "one") == [("f", 3), ("f", 4)]
+    assert run(first, "one") == [("f", 3), ("f", 4)]  # again, as after a lost job
+    last = lambda: {r.fingerprint: r.type for r in ledger.latest(ledger_files.read_ledger(spark, path), order="entry_id").collect()}
+    assert ledger_files.read_ledger(spark, path).count() == 7 and last() == {"f": "observed", "g": "observed", "h": "baselined"}
+    assert run([("h", "observed", None, 1), ("h", "unverified", None, 2), ("i", "observed", None, 3), ("f", "observed", None, 4)], "two") == [("h", 1), ("h", 2)]
+    assert last() == {"f": "observed", "g": "observed", "h": "baselined", "i": "observed"}
+    (tmp_path / "l.ndjson" / "run-three").mkdir()
+    (tmp_path / "l.ndjson" / "run-three" / "part-0.json").write_text('{"fingerprint":"z","type":"observed"}\n')
+    assert "z" not in last()  # a run that didn't finish
+
+
+def test_bucketed_facts_merge_and_join_without_a_shuffle(spark, tmp_path):
+    from codegov.operators import structures
+    from codegov.sources import fact_tables
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("r", "a.ts", "string", "v", 1, 1, "x"), ("r", "b.ts", "string", "v", 1, 1, "y"), ("s", "a.ts", "string", "v", 1, 1, "z")], "repo string, file string, kind string, value string, line int, column int, extra string")
+    folder = f"file://{tmp_path}/facts"
+    for k in (0, 1):
+        fact_tables.append_facts(rows.withColumn("extra", F.concat("extra", F.lit(str(k)))), "constants", folder, k, buckets=4)
+    one = fact_tables.merged(spark, "constants", folder)
+    assert sorted((r.repo, r.file, r.extra, r.source_order) for r in one.collect()) == [("r", "a.ts", "x0", 0), ("r", "b.ts", "y0", 0), ("s", "a.ts", "z0", 0)]
+    assert "Exchange" not in plan(one)
+    assert grouping.literal_counts(one, 2, keys=("repo",)).count() == 1 and grouping.literal_counts(one, 2).first().files == 2
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sources = spark.createDataFrame([("r", "a.ts", "p", True, 1, 1), ("s", "a.ts", "p", True, 1, 1)], "repo string, file string, name string, is_heterogeneous boolean, line int, column int")
+        reads = structures.origin(spark.createDataFrame([("r", "c.ts", "q", "a.ts", "p", "0", 3, 1), ("r", "a.ts", "p", None, None, "1", 4, 1)], "repo string, file string, name string, origin_file string, origin_name string, accessed_index string, line int, column int"))
+        for kind, table in (("positional_sources", sources), ("positional_accesses", reads)):
+            fact_tables.append_facts(table, kind, folder, 0, buckets=4)
+        found = structures.position_findings(*(fact_tables.merged(spark, k, folder) for k in ("positional_sources", "positional_accesses")), keys=("repo",))
+        assert "Exchange" not in plan(found)
+        assert sorted((r.repo, r.what, r.artifacts[0].data) for r in found.collect()) == [
+            ("r", "access", '{"file":"a.ts","index":"1","line":4,"name":"p"}'), ("r", "access", '{"file":"c.ts","index":"0","line":3,"name":"q"}'), ("r", "source", '{"column":1,"file":"a.ts","line":1,"name":"p","positions":null}'),
+        ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_algorithms_show_their_bindings(spark):
+    rows = spark.createDataFrame([("p", "packer", ";", "a.ts", "f"), ("p", "unpacker", ";", "b.ts", None), ("p", "packer", "only", "a.ts", None)], "pattern_id string, role string, binding_key string, file string, containing_function string")
+    found = grouping.algorithm_findings(rows).collect()
+    assert len(found) == 2 and len({r.fingerprint for r in found}) == 1 and {r.message for r in found} == {"pattern p shares ; across 2 files without a shared abstraction"}
+    assert '"role":"packer"' in next(r.artifacts[0].data for r in found if '"a.ts"' in r.artifacts[0].data)
