@@ -6,7 +6,9 @@ backward sums, gradient steps) on labelled pages, and each page is decoded by Vi
 text, joined by empty lines.
 
 Defined results: a null or empty page, or one without an article, has an empty text. Rows that repeat are all
-returned; extra columns are ignored.
+returned, each with its own text, and so are rows with a null id; blocks whose labels tie are not text. Pages of any
+length are read whole, in time proportional to their length, and tags that nothing closes or opens are tolerated. An empty
+table gives an empty one; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ class Field:
 
     def __init__(self, weights: dict[str, float], start: np.ndarray, step: np.ndarray):
         self.weights, self.start, self.step = weights, start, step
+        #: The names and words around a block that the field has learned something about.
+        self.known = frozenset(f[3:] for f in weights if f.startswith("in ")) | {"<article", "<main"}
 
     def decode(self, rows: list[list[str]]) -> list[int]:
         """The labels of highest total score."""
@@ -106,7 +110,7 @@ def trained(pages: int = PAGES) -> Field:
 
 
 def main_text(field: Field, page: str | None) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", field.known)
     return "\n\n".join(b.text for b, label in zip(found, field.decode(features(found)), strict=True) if label)
 
 

@@ -25,6 +25,10 @@ SHARE = "share social sharing social-links share-buttons follow byline-share".sp
 PLAIN = "wrap wrapper container row col inner outer box section block group layout grid site page-wrap".split()
 
 
+#: Share of pages whose article is one to three paragraphs without a heading.
+SHORT = 0.35
+
+
 class Writer:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -117,8 +121,9 @@ class Writer:
             (inside if r.random() < 0.35 else after).append(self.comments())
         if r.random() < 0.85:
             after.append(f"<footer{self.some(FOOTER) if r.random() < 0.4 else ''}><p>{r.choice(('', '&copy; ', '&copy; '))}{self.put(self.words(2, 25), 0)}</p></footer>" if r.random() < 0.7 else self.other(FOOTER, ["div"], 2, 25, 2))
-        body = [f"<h1>{self.put(self.words(3, 12, False), 1)}</h1>"] if r.random() < 0.8 else []
-        paragraphs = [self.paragraph() for _ in range(r.randint(1, 14))]
+        short = r.random() < SHORT
+        body = [f"<h1>{self.put(self.words(3, 12, False), 1)}</h1>"] if not short and r.random() < 0.8 else []
+        paragraphs = [f"<p>{self.put(self.words(12, 90), 1)}</p>" for _ in range(r.randint(1, 3))] if short else [self.paragraph() for _ in range(r.randint(1, 14))]
         if inside and r.random() < 0.4:
             paragraphs.insert(r.randint(0, len(paragraphs)), inside.pop(0))
         body += paragraphs + inside
