@@ -1,13 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of spelling, one of toxic and one of ordinary documents, give each word its log-likelihood: characters are
-predicted from up to five before them in the word, begin and end included, so inflected and joined forms of an
-expression share its evidence. Each class discounts its own counts and backs off to one Kneser-Ney model of all
+predicted from up to eleven before them in the word, begin and end included, so inflected and joined forms of an
+expression share its evidence, and a stem that is made of common syllables still has a history of its own. Each class discounts its own counts and backs off to one Kneser-Ney model of all
 classes together, whose lower orders count distinct left contexts. A spelling that neither class has seen therefore
 has the ratio 0, and a rare one moves it little.
 
 A document's evidence is its log-likelihood ratio normalised by length: over the whole text, over the window of WINDOW
-words where it is largest, and over its TOP words of largest ratio, since a few words decide. A logistic curve turns
+words where it is largest, and over its different words of largest ratio, of which TOPS are taken, since a few words decide
+and one alone may be chance. Words are runs of characters other than white space, in training as in scoring. A logistic curve turns
 these into a score; it is fitted on labelled documents scored by models that have not seen them (two folds).
 
 Models and curve are fitted on at most ``per_class`` labelled documents of either class (see labelled_sample); counts
@@ -30,8 +31,12 @@ from pyspark.sql import functions as F
 from .common import added, bounded, bucket_of, cut, labelled_sample, table
 from .vocab import PORTION, coded, forget, portions
 
-ORDER, DISCOUNT = 6, 0.75
-WINDOW, TOP = 8, 2
+ORDER, DISCOUNT = 12, 0.75
+WINDOW, TOPS = 8, (1, 2, 4, 8)
+#: White space, as Python's ``split`` has it (fixed characters).
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Numbers of a document's evidence.
+SIZE = 3 + len(TOPS)
 #: Labelled documents of either class that the models and the curve learn from, at most.
 PER_CLASS = 1200
 #: Words whose characters are looked up together.
@@ -165,19 +170,19 @@ class Scorer:
         return np.where(there, values[at], np.float32(np.nan))
 
     def evidence(self, texts: list[str]):
-        """Yields (largest window ratio per word, ratio per word, mean of the largest ratios, log of words)."""
+        """Yields (largest window ratio per word, ratio per word, log of words, means of the largest ratios above 0 of different words)."""
         for part in portions(texts, PORTION):
             codes, starts, ends, distinct = coded(part, lambda t: " ".join(t.lower().split()) or None, lambda t: [])
             known = np.concatenate([self.words(distinct[i : i + WORDS_AT_ONCE]) for i in range(0, len(distinct), WORDS_AT_ONCE)] or [np.zeros(0)])
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 if a == b:
-                    yield 0.0, 0.0, 0.0, 0.0
+                    yield (0.0,) * SIZE
                     continue
                 ratios = known[codes[a:b]]
                 n, total = b - a, np.concatenate(([0.0], np.cumsum(ratios)))
-                width, few = min(WINDOW, n), min(TOP, n)
-                largest = np.partition(ratios, n - few)[n - few :].sum() / TOP
-                yield (total[width:] - total[:-width]).max() / WINDOW, total[-1] / n, largest, math.log1p(n)
+                width, most = min(WINDOW, n), np.maximum(known[np.unique(codes[a:b])], 0)
+                most = -np.sort(-most)[: max(TOPS)]
+                yield (total[width:] - total[:-width]).max() / WINDOW, total[-1] / n, math.log1p(n), *(most[:k].sum() / k for k in TOPS)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +207,7 @@ def _gram_counts(sample: DataFrame) -> DataFrame:
 
     A word counts once a document, so one document's habits weigh little.
     """
-    words = sample.select("y", "fold", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where("w != ''").groupBy("fold", "y", "w").count()
+    words = sample.select("y", "fold", F.explode(F.array_distinct(F.split(F.lower("text"), SPACE))).alias("w")).where("w != ''").groupBy("fold", "y", "w").count()
     s = words.select("fold", "y", "count", F.concat(F.lit(START), "w", F.lit(END)).alias("s"))
     s = s.select("fold", "y", "count", "s", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("i"))
     at = F.greatest(F.lit(1), F.col("i") - (ORDER - 1))
@@ -236,28 +241,28 @@ def _models(sample: DataFrame) -> tuple[list, tuple] | None:
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = PER_CLASS):
     """The ratio tables and the curve, or None without labelled documents of both classes.
 
-    Grams are counted and labelled documents are scored where they are; the driver gets arrays of counts and four
+    Grams are counted and labelled documents are scored where they are; the driver gets arrays of counts and SIZE
     numbers a document.
     """
     sample = cut(labelled_sample(docs, labels, "toxic", modulus, held, per_class).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(2))))
     found = _models(sample)
     if found is None:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(found[0])
+    shared, names = docs.sparkSession.sparkContext.broadcast(found[0]), [f"x{k}" for k in range(SIZE)]
 
     def run(batches):
         scorers = [Scorer(t) for t in shared.value]
         for b in batches:
             fold, texts = b.column("fold").to_numpy(), b.column("text").to_pylist()
-            x = np.zeros((len(fold), 4))
+            x = np.zeros((len(fold), SIZE))
             for k in (0, 1):
                 rows = np.flatnonzero(fold == k)
-                x[rows] = np.array(list(scorers[k].evidence([texts[i] for i in rows]))).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column("y"), *map(pa.array, x.T)], ["y", "a", "b", "c", "d"])
+                x[rows] = np.array(list(scorers[k].evidence([texts[i] for i in rows]))).reshape(-1, SIZE)
+            yield pa.RecordBatch.from_arrays([b.column("y"), *map(pa.array, x.T)], ["y", *names])
 
-    rows = sample.select("y", "fold", "text").mapInArrow(run, "y int, a double, b double, c double, d double").orderBy("y", "a", "b", "c", "d").toArrow()
+    rows = sample.select("y", "fold", "text").mapInArrow(run, ", ".join(["y int", *(f"{c} double" for c in names)])).orderBy("y", *names).toArrow()
     shared.destroy()
-    return found[1], fit_curve(np.stack([rows[c].to_numpy() for c in "abcd"], 1), rows["y"].to_numpy().astype(float))
+    return found[1], fit_curve(np.stack([rows[c].to_numpy() for c in names], 1), rows["y"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, threshold: float = 0.7, per_class: int = PER_CLASS) -> DataFrame:
@@ -273,7 +278,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, t
         tables, curve = shared.value
         scorer = Scorer(tables)
         for b in batches:
-            x = np.array(list(scorer.evidence([t or "" for t in b.column(at).to_pylist()]))).reshape(-1, 4)
+            x = np.array(list(scorer.evidence([t or "" for t in b.column(at).to_pylist()]))).reshape(-1, SIZE)
             s = apply_curve(curve, x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
