@@ -6,11 +6,12 @@ known deviation, so the chance of a collision and with it the count that a wante
 known; pairs that reach this count are verified by their cosine in double precision.
 
 Counting a pair in all M sorted projections would first make all pairs that collide in any one of them. A pair that
-reaches the count misses at most M - count of them, so of M - count + 1 tables, each of two projections of its own, it
-collides in both projections of at least one. Each such table therefore deals a label's vectors to cells a few windows
-wide; a vector goes to its cell, and as a visitor to the smaller neighbours within a window. Each cell is sorted by its
-first projection, every vector looks up its window there, and the pairs found are counted over all M projections. That
-is every pair whose count suffices, none left out; it counts in the first table that brings it together.
+reaches the count misses at most M - count of them, so of M - count + 1 tables, each of several projections of its own,
+it collides in all projections of at least one: with 80 projections, 11 tables of 7, which bring together about 0.03 % of
+random pairs. A table deals a label's vectors to cells a few windows wide by its first GRID projections; a vector goes to
+its cell, and as a visitor to the smaller neighbours within a window. Each cell is sorted by its first projection, every
+vector looks up its window there, and the pairs that collide in the table's other projections too are counted over all
+M. That is every pair whose count suffices, none left out; it counts in the first table that brings it together.
 
 Cells of more than BLOCK vectors are split into pairs of chunks, so no task holds an unbounded group, and no pair
 leaves a task: blocks return each vector's number of links and one local component edge.
@@ -27,21 +28,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, has_rows, table
 from .components import components
 
-M = 24
+M = 80
+#: Projections of a table that make its cells.
+GRID = 3
 #: A window in deviations of the projections' difference at the least similarity.
 WIDTH = 2.0
 #: Cell width in windows; share of the pairs at the least similarity that must reach the count.
-CELL, RECALL = 3, 0.999
+CELL, RECALL = 4, 0.999
 BLOCK, TILE = 2048, 1 << 17
+PLACES = [f"c{k}" for k in range(GRID)]
 
 
 def calibrate(similarity: float, m: int = M, width: float = WIDTH, recall: float = RECALL) -> tuple[float, int]:
@@ -58,25 +64,32 @@ def directions(dim: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(97)).standard_normal((dim, M))
 
 
-def _unit(raw, kind) -> list[np.ndarray]:
-    x = [np.frombuffer(v, kind).astype(np.float64) for v in raw]
-    x = [v / np.abs(v).max() for v in x]  # squares of very large or small components would leave the range of doubles
-    return [v / np.linalg.norm(v) for v in x]
+def _unit(raw: list[bytes], kind) -> np.ndarray:
+    """Vectors of one length as rows of norm 1."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # squares of very large or small components would leave the range of doubles
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cells(y: np.ndarray, g: int, window: float):
-    """(row, cell a, cell b, home) of one table: the home cell and the smaller neighbours within a window."""
+def tables_of(need: int) -> tuple[int, int]:
+    """(tables, projections of each): a pair that reaches the count collides in all projections of one table."""
+    return M - need + 1, M // (M - need + 1)
+
+
+def _cells(y: np.ndarray, window: float):
+    """(row, cells, home) of one table's projections: the home cell and the smaller neighbours within a window."""
     size = CELL * window
-    a, b = y[:, 2 * g], y[:, 2 * g + 1]
-    ca, cb = np.floor(a / size).astype(np.int64), np.floor(b / size).astype(np.int64)
-    rows = np.arange(len(y))
-    low_a, low_b, high_b = a - ca * size <= window, b - cb * size <= window, (cb + 1) * size - b <= window
-    for da, db, near in ((0, 0, np.ones(len(y), bool)), (0, -1, low_b), (-1, 0, low_a), (-1, -1, low_a & low_b), (-1, 1, low_a & high_b)):
-        i = rows[near]
-        yield i, ca[i] + da, cb[i] + db, np.full(len(i), da == 0 and db == 0)
+    cell = np.floor(y / size).astype(np.int64)
+    beside = {0: np.ones(y.shape, bool), -1: y - cell * size <= window, 1: (cell + 1) * size - y <= window}
+    for step in product((-1, 0, 1), repeat=y.shape[1]):
+        if step <= (0,) * y.shape[1]:
+            i = np.flatnonzero(np.logical_and.reduce([beside[d][:, k] for k, d in enumerate(step)]))
+            yield i, cell[i] + np.array(step), np.full(len(i), not any(step))
+
 
+def _emit(window: float, need: int, kind, vectors: bool):
+    tables, per = tables_of(need)
 
-def _emit(window: float, tables: int, kind, vectors: bool):
     def run(batches):
         for batch in batches:
             if not len(batch):
@@ -85,13 +98,14 @@ def _emit(window: float, tables: int, kind, vectors: bool):
             for i, v in enumerate(raw):
                 dims.setdefault(len(v), []).append(i)
             for _, rows in dims.items():
-                unit = np.stack(_unit([raw[i] for i in rows], kind))
+                unit = _unit([raw[i] for i in rows], kind)
                 y, rows = unit @ directions(unit.shape[1]), np.array(rows)
                 for g in range(tables):
-                    for i, ca, cb, home in _cells(y, g, window):
+                    for i, cells, home in _cells(y[:, g * per : g * per + min(GRID, per)], window):
+                        cells = np.hstack([cells, np.zeros((len(i), GRID - cells.shape[1]), np.int64)])
                         at = pa.array(rows[i])
-                        cols = [batch.column("label").take(at), pa.array(np.full(len(i), unit.shape[1], np.int32)), pa.array(np.full(len(i), g, np.int32)), pa.array(ca), pa.array(cb), batch.column("cid").take(at)]
-                        names = ["label", "dim", "g", "ca", "cb", "cid"]
+                        cols = [batch.column("label").take(at), pa.array(np.full(len(i), unit.shape[1], np.int32)), pa.array(np.full(len(i), g, np.int32)), *(pa.array(c) for c in cells.T), batch.column("cid").take(at)]
+                        names = ["label", "dim", "g", *PLACES, "cid"]
                         if vectors:
                             cols += [pa.array(home), batch.column("copies").take(at), batch.column("vec").take(at)]
                             names += ["home", "copies", "vec"]
@@ -101,32 +115,34 @@ def _emit(window: float, tables: int, kind, vectors: bool):
 
 
 def _pairs(y: np.ndarray, g: int, window: float, need: int, left: np.ndarray, right: np.ndarray, same: bool):
-    """Pairs (left, right) that collide in both projections of table g, in no earlier table, and often enough."""
-    left = left[np.argsort(y[left, 2 * g], kind="stable")]
-    right = right[np.argsort(y[right, 2 * g], kind="stable")]
-    keys = y[right, 2 * g]
-    lo = np.searchsorted(keys, y[left, 2 * g] - window, "left")
-    hi = np.searchsorted(keys, y[left, 2 * g] + window, "right")
+    """Pairs (left, right) that collide in all projections of table g, in no earlier table, and often enough."""
+    _, per = tables_of(need)
+    left = left[np.argsort(y[left, g * per], kind="stable")]
+    right = right[np.argsort(y[right, g * per], kind="stable")]
+    keys = y[right, g * per]
+    lo = np.searchsorted(keys, y[left, g * per] - window, "left")
+    hi = np.searchsorted(keys, y[left, g * per] + window, "right")
     if same:  # each pair once
         lo = np.maximum(lo, np.arange(len(left)) + 1)
         hi = np.maximum(hi, lo)
-    start = 0
+    near = lambda i, j, k: np.abs(y[i, k] - y[j, k]) <= window
+    ends, start = np.cumsum(hi - lo), 0
     while start < len(left):
-        stop = max(start + 1, int(np.searchsorted(np.cumsum(hi[start:] - lo[start:]), TILE)) + start)
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TILE)))
         n = hi[start:stop] - lo[start:stop]
         i = np.repeat(left[start:stop], n)
         j = right[np.repeat(lo[start:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         start = stop
-        near = np.abs(y[i, 2 * g + 1] - y[j, 2 * g + 1]) <= window
-        i, j = i[near], j[near]
+        for k in range(g * per + 1, g * per + per):
+            ok = near(i, j, k)
+            i, j = i[ok], j[ok]
         missed = np.zeros(len(i), np.int16)
-        for lo_m in range(0, M, 6):
-            hit = np.abs(y[i, lo_m : lo_m + 6] - y[j, lo_m : lo_m + 6]) <= window
-            missed += (~hit).sum(1).astype(np.int16)
+        for low in range(0, M, 8):
+            missed += (np.abs(y[i, low : low + 8] - y[j, low : low + 8]) > window).sum(1).astype(np.int16)
             ok = missed <= M - need
             i, j, missed = i[ok], j[ok], missed[ok]
         for h in range(g):
-            new = ~((np.abs(y[i, 2 * h] - y[j, 2 * h]) <= window) & (np.abs(y[i, 2 * h + 1] - y[j, 2 * h + 1]) <= window))
+            new = ~np.logical_and.reduce([near(i, j, k) for k in range(h * per, h * per + per)])
             i, j = i[new], j[new]
         yield i, j
 
@@ -148,9 +164,9 @@ def _roots(n: int, edges: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 def _block(window: float, need: int, similarity: float, kind):
     def run(key, t):
         t = t.take(pa.array(np.argsort(t["cid"].to_numpy(), kind="stable")))
-        g, one, two = (int(key[k].as_py()) for k in (1, 5, 6))
+        g, one, two = (int(key[k].as_py()) for k in (1, 3 + GRID, 4 + GRID))
         cid, home, copies, chunk = (t[c].to_numpy(zero_copy_only=False) for c in ("cid", "home", "copies", "chunk"))
-        unit = np.stack(_unit(t["vec"].to_pylist(), kind))
+        unit = _unit(t["vec"].to_pylist(), kind)
         y = unit @ directions(unit.shape[1])
         links, edges = np.zeros(len(cid), np.int64), []
         rows = np.arange(len(cid))
@@ -175,18 +191,15 @@ def _block(window: float, need: int, similarity: float, kind):
 
 def near_vectors(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    kind = np.dtype("<f8")
+    kind = np.dtype("<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8")
     window, need = calibrate(similarity)
-    tables = M - need + 1
-    if 2 * tables > M:
-        raise ValueError("the count is too low for tables of two projections")
 
     def valid(batches):
         for b in batches:
             out = []
             for v in b.column("embedding").to_pylist():
                 x = None if not v or None in v else np.array(v, np.float64)
-                out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+                out.append(x.astype(kind).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label").cast(pa.int64()), pa.array(out, pa.binary())], ["vec_id", "label", "vec"])
 
     rows = vectors.select("vec_id", "label", "embedding").mapInArrow(valid, "vec_id long, label long, vec binary")
@@ -196,15 +209,15 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98) -> DataFrame:
     classes = cut(classes.select("label", "h1", "h2", F.monotonically_increasing_id().alias("cid"), F.col("r.vec_id").alias("first"), F.col("r.vec").alias("vec"), "copies"))
     reps = classes.select("label", "cid", "copies", "vec")
 
-    cell = "label long, dim int, g int, ca long, cb long, cid long"
-    names = ["label", "dim", "g", "ca", "cb"]
-    sizes = reps.mapInArrow(_emit(window, tables, kind, False), cell).groupBy(*names).count()
+    cell = "label long, dim int, g int, " + ", ".join(f"{c} long" for c in PLACES) + ", cid long"
+    names = ["label", "dim", "g", *PLACES]
+    sizes = reps.mapInArrow(_emit(window, need, kind, False), cell).groupBy(*names).count()
     sizes = sizes.select(*names, F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    dealt = reps.mapInArrow(_emit(window, tables, kind, True), f"{cell}, home boolean, copies long, vec binary").withColumn("salt", F.pmod(F.xxhash64("cid", F.lit("salt")), F.lit(16)).cast("int"))
+    dealt = reps.mapInArrow(_emit(window, need, kind, True), f"{cell}, home boolean, copies long, vec binary").withColumn("salt", F.pmod(F.xxhash64("cid", F.lit("salt")), F.lit(16)).cast("int"))
     dealt = dealt.join(sizes, [*names, "salt"]).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
-    blocks = dealt.select("dim", "g", "label", "ca", "cb", "one", "two", "cid", "home", "copies", "chunk", "vec")
-    found = cut(blocks.groupBy("dim", "g", "label", "ca", "cb", "one", "two").applyInArrow(_block(window, need, similarity, kind), "cid long, links long, root long"))
+    blocks = dealt.select("dim", "g", "label", *PLACES, "one", "two", "cid", "home", "copies", "chunk", "vec")
+    found = cut(blocks.groupBy("dim", "g", "label", *PLACES, "one", "two").applyInArrow(_block(window, need, similarity, kind), "cid long, links long, root long"))
 
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     named = classes.select("label", "h1", "h2", "cid", "first", "copies").join(links, "cid", "left")

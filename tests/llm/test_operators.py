@@ -296,3 +296,29 @@ def test_pipeline_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert ids and ids < {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_vectors_of_planted_links(spark):
+    """Measured recall at the least similarity, over single-precision vectors, and the share of random pairs that tables make."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(600, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = r.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = r.uniform(0.9801, 0.985, 600)[:, None]
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * away]).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i]], 0) for i in range(1200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {v.vec_id: v for v in near_vectors.near_vectors(table).collect()}
+    wide = x.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    want = np.argwhere(np.triu(wide @ wide.T >= 0.98, 1))
+    found = sum(v.n_links for v in got.values()) / 2
+    assert len(want) >= 600 and 0.995 * len(want) <= found <= len(want)
+    window, need = near_vectors.calibrate(0.98)
+    tables, per = near_vectors.tables_of(need)
+    y = wide[:600] @ near_vectors.directions(64)
+    near = np.abs(y[:, None] - y[None]) <= window
+    made = np.logical_or.reduce([near[:, :, g * per : (g + 1) * per].all(2) for g in range(tables)])
+    assert np.triu(made, 1).mean() * 2 < 0.001
