@@ -58,16 +58,15 @@ class Grams:
 
     def __init__(self, histories: list[str], nexts: list[str], counts: np.ndarray):
         n, width = len(histories), ORDER - 1
-        chars = np.zeros((n, width), np.uint64)  # from the right, so that a history's last character is at its end
-        flat = np.frombuffer("".join(h.rjust(width, "\0") for h in histories).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars[:] = flat.reshape(n, width)
+        # from the right, so that a history's last character is at its end
+        chars = np.frombuffer("".join(h.rjust(width, "\0") for h in histories).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
         self.size = np.fromiter(map(len, histories), np.int64, n)
         self.next = np.frombuffer("".join(nexts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         self.suffix = np.zeros((n, width + 1), np.uint64)
         for k in range(1, width + 1):
             code = np.zeros(n, np.uint64)
             for at in range(width - k, width):
-                code = _step(code, chars[:, at])
+                code = _step(code, chars[:, at].astype(np.uint64))
             self.suffix[:, k] = code
         self.counts = counts  # rows x classes
 
@@ -80,10 +79,10 @@ class _Table:
     """Counts of one order: of histories (total, kinds of next characters) and of histories with a next character."""
 
     def __init__(self, history: np.ndarray, gram: np.ndarray, count: np.ndarray):
-        self.grams, first, of = np.unique(gram, return_index=True, return_inverse=True)
-        self.first, self.counts = first, np.bincount(of, count)
-        self.histories, of = np.unique(history[first], return_inverse=True)
-        self.totals, self.kinds = np.bincount(of, self.counts), np.bincount(of)
+        self.grams, self.first, of = np.unique(gram, return_index=True, return_inverse=True)
+        self.counts = np.bincount(of, count).astype(np.int32)  # several tables are held at once
+        self.histories, of = np.unique(history[self.first], return_inverse=True)
+        self.totals, self.kinds = np.bincount(of, self.counts).astype(np.int32), np.bincount(of).astype(np.int32)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +105,7 @@ def shared_probability(g: Grams) -> np.ndarray:
         t = _Table(history, _step(history, g.next[rows]), np.ones(len(rows)))
         tables.append(t)
         rows, size = rows[t.first], size[t.first]
+        del t.first
     p = np.full(len(g.size), 1.0 / (1 + len(np.unique(g.next))))
     for k in range(ORDER - 1):
         open_ = np.flatnonzero(g.size > k)
