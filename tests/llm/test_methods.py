@@ -174,3 +174,14 @@ def test_filling_equals_the_plain_dot_product_rule(limits):
     need = np.stack([r.integers(1, 51, 120), np.ones(120, int), r.integers(0, 41, 120)], 1)
     need[100:] = need[:20]  # ties
     assert packing.fill(need, np.array(limits)).tolist() == plain_fill(need.tolist(), limits)
+
+
+def test_every_limit_of_packing_binds_where_it_is_the_tightest(spark):
+    """Sequences under a limit on loss-bearing ids, and on segments, that is reached before the one on tokens."""
+    docs = spark.createDataFrame([(k, " ".join(f"word{k + j}" for j in range(5 + k % 40))) for k in range(300)], "doc_id long, text string")
+    for limits, most in (({"max_loss": 300}, "loss"), ({"max_segments": 4}, "segments")):
+        rows = packing.pack_documents(docs, size=2048, **limits).toPandas()
+        last = (rows["start"] + rows["length"] == rows["doc_tokens"]).astype(int)
+        by = rows.assign(loss=rows["length"] - last, segments=1).groupby("sequence_id")[["length", "loss", "segments"]].sum()
+        assert rows.groupby("doc_id")["length"].sum().eq(rows.groupby("doc_id")["doc_tokens"].first()).all()
+        assert by["length"].max() <= 2048 and by[most].max() <= limits[f"max_{most}"] and by[most].median() >= 0.9 * limits[f"max_{most}"] and by["length"].max() < 1200
