@@ -25,6 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +51,26 @@ def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h + c + np.uint64(1)) * np.uint64(_MULTIPLIER)
 
 
+def _characters(texts: pa.Array, width: int) -> np.ndarray:
+    """The characters of each text, at most ``width``, at the right of its row; by buffers, without an object a text."""
+    padded = pc.utf8_lpad(texts.cast(pa.large_string()), width, padding="\0")
+    data = padded.buffers()[2]
+    text = data.to_pybytes().decode("utf-8") if data is not None and len(padded) else ""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(padded), width)
+
+
 class Grams:
     """Counts of (history, next character), as arrays: a row per pair, histories of at most ORDER - 1 characters.
 
     ``suffix[:, k]`` is the code of the history's last k characters, so the history itself is at ``suffix[:, size]``.
     """
 
-    def __init__(self, histories: list[str], nexts: list[str], counts: np.ndarray):
+    def __init__(self, histories: list[str] | pa.Array, nexts: list[str] | pa.Array, counts: np.ndarray):
+        histories, nexts = (x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in (histories, nexts))
         n, width = len(histories), ORDER - 1
-        # from the right, so that a history's last character is at its end
-        chars = np.frombuffer("".join(h.rjust(width, "\0") for h in histories).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width)
-        self.size = np.fromiter(map(len, histories), np.int64, n)
-        self.next = np.frombuffer("".join(nexts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        chars = _characters(histories, width)  # from the right, so that a history's last character is at its end
+        self.size = np.asarray(pc.utf8_length(histories)).astype(np.int64)
+        self.next = _characters(nexts, 1)[:, 0].astype(np.uint64)
         self.suffix = np.zeros((n, width + 1), np.uint64)
         for k in range(1, width + 1):
             code = np.zeros(n, np.uint64)
@@ -223,19 +232,20 @@ def _models(sample: DataFrame) -> tuple[list, tuple] | None:
     counts = np.stack([t["n0"].to_numpy(), t["n1"].to_numpy()], 1).astype(np.float64)
     if not (counts.sum(0) > 0).all():
         return None
-    histories, nexts = t["history"].to_pylist(), t["next"].to_pylist()
+    histories, nexts = (pa.concat_arrays(t[c].chunks) for c in ("history", "next"))
+    same = np.append(False, np.asarray(pc.and_(pc.equal(histories[1:], histories[:-1]), pc.equal(nexts[1:], nexts[:-1]))))
+    del t
 
-    def of(rows: np.ndarray) -> tuple:
-        keep = rows.tolist()
-        return train_ratios(Grams([histories[i] for i in keep], [nexts[i] for i in keep], counts[rows]))
+    def of(rows: np.ndarray, counts: np.ndarray) -> tuple:
+        return train_ratios(Grams(histories.take(pa.array(rows)), nexts.take(pa.array(rows)), counts))
 
     folds = []
     for k in (0, 1):  # a fold without a class can't teach; the other one then stands for itself
         other = np.flatnonzero(fold == 1 - k)
-        folds.append(of(other if len(other) and (counts[other].sum(0) > 0).all() else np.flatnonzero(fold == k)))
-    first = np.flatnonzero([i == 0 or (histories[i], nexts[i]) != (histories[i - 1], nexts[i - 1]) for i in range(len(histories))])
-    counts = np.add.reduceat(counts, first)
-    return folds, train_ratios(Grams([histories[i] for i in first.tolist()], [nexts[i] for i in first.tolist()], counts))
+        other = other if len(other) and (counts[other].sum(0) > 0).all() else np.flatnonzero(fold == k)
+        folds.append(of(other, counts[other]))
+    first = np.flatnonzero(~same)
+    return folds, of(first, np.add.reduceat(counts, first))
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = PER_CLASS):
