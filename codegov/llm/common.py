@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +54,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Memory that the driver's Python no longer uses goes back to the system, since the driver lives on for other jobs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def added(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``step(docs)`` without the columns ``names`` that it adds, also where docs has columns of these names."""
     own = docs.columns

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, bounded, bucket_of, cut, labelled_sample, table
+from .common import added, bounded, bucket_of, cut, give_back, labelled_sample, table
 from .vocab import PORTION, coded, forget, portions
 
 ORDER, DISCOUNT = 12, 0.75
@@ -244,8 +244,12 @@ def _models(sample: DataFrame) -> tuple[list, tuple] | None:
         other = np.flatnonzero(fold == 1 - k)
         other = other if len(other) and (counts[other].sum(0) > 0).all() else np.flatnonzero(fold == k)
         folds.append(of(other, counts[other]))
+        give_back()
     first = np.flatnonzero(~same)
-    return folds, of(first, np.add.reduceat(counts, first))
+    whole = of(first, np.add.reduceat(counts, first))
+    del histories, nexts, counts, fold, same
+    give_back()
+    return folds, whole
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, per_class: int = PER_CLASS):
