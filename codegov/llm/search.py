@@ -6,15 +6,17 @@ different shards compare. Queries go through all shards in blocks of a bounded n
 k best per query, and the k best of those are the answer.
 
 Within a shard, documents are ordered by their commonest term and length, so that neighbours are alike, and are cut
-into blocks of BLOCK; every term has the largest impact of its postings in each block where it has any. For a query, the
-sum of these maxima over the terms bounds all scores of a block. Only blocks whose bound reaches the k-th best score
-known so far are pivots: their postings are read and their documents scored in full. All other blocks are skipped with
-all their postings. The blocks of largest bounds come first and raise the threshold for the rest; a first pass over one
-shard in FIRST gives every query a threshold for the other shards, and a task carries its own from shard to shard.
-
-Bounds are kept on equality and a document's contributions are always summed in the order of its terms' hashes, so
-pruning never changes the result, equal documents have equal scores in whatever shard they are, and ties go to the
-smaller doc_id.
+into blocks of BLOCK. Terms that one document in COMMON has are common: they have the largest impact of their postings
+in each block. For a query, the lists of its other terms, which are short, are read in full, and the common terms' maxima
+bound what is missing of a block's scores. Only blocks whose bound reaches the k-th best score known so far are pivots:
+their postings of the common terms are read, and documents that still reach that score are scored in full from their own
+postings. All other blocks are skipped with all their common postings. The blocks of largest bounds come first and raise the
+threshold for the rest; a first pass over one shard in FIRST gives every query a threshold for the other shards, and a
+task carries its own from shard to shard.
+
+Bounds and thresholds between them have room for rounding (SLACK), comparisons of final scores are kept on equality, and
+a document's contributions are always summed in the order of its terms' hashes, so pruning never changes the result, equal
+documents have equal scores in whatever shard they are, and ties go to the smaller doc_id.
 
 Words are runs of characters other than ASCII white space, A-Z lower-cased. A query is a document's whole text; it finds
 itself as well. Defined results: a null or empty text is no query and is found by none, and so is a row with a null
@@ -38,7 +40,11 @@ from .texthash import word_hashes
 K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 4096, 4_000_000
 #: Documents of a block; one shard in so many gives the first thresholds; blocks that are scored before the others.
-BLOCK, FIRST, LEAD = 32, 8, 4
+BLOCK, FIRST, LEAD = 4, 8, 16
+#: Terms that one document in so many has are common, at most so many of a shard (four bytes each for every document).
+COMMON, COMMON_TERMS = 8, 1024
+#: Bounds are sums of at most COMMON_TERMS products in single precision, which err by 2**-24 of the sum a product.
+SLACK = 1e-4
 #: Query terms that go through the shards at once, about (a bounded broadcast of 16 bytes each).
 TERMS_AT_ONCE = 1_500_000
 
@@ -119,63 +125,91 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Shard:
+    """A shard's lists as arrays; the commonest terms also have their impacts by document and their maxima by block."""
+
     def __init__(self, row: dict, mean_length: float):
         kinds = {"terms": "<u8", "starts": "<i8", "docs": "<u2", "tf": f"<u{row['width']}", "ids": "<i8", "lengths": "<i8"}
-        self.terms, starts, docs, tf, self.ids, lengths = (np.frombuffer(row[c], k) for c, k in kinds.items())
-        self.docs = docs.astype(np.int64)
-        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean_length))[docs])
+        self.terms, self.starts, self.docs, tf, self.ids, lengths = (np.frombuffer(row[c], k) for c, k in kinds.items())
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean_length))[self.docs])
+        sizes = np.diff(self.starts)
+        # each document's own postings, in the order of their terms
+        by = np.argsort(self.docs, kind="stable")
+        self.own_term, self.own_impact = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by], self.impact[by]
+        self.own_at = np.append(0, np.cumsum(np.bincount(self.docs, minlength=len(self.ids))))
+        self.weight = np.zeros(len(sizes))  # of the query's terms, while it is scored
+        common = np.flatnonzero(sizes * COMMON >= len(self.ids))
+        if len(common) > COMMON_TERMS:
+            common = common[np.argpartition(-sizes[common], COMMON_TERMS)[:COMMON_TERMS]]
+        self.column = np.full(len(sizes), -1, np.int32)
+        self.column[common] = np.arange(len(common))
         self.blocks = -(-len(self.ids) // BLOCK)
-        block = self.docs // BLOCK
-        head = np.ones(len(docs), bool)
-        head[1:] = block[1:] != block[:-1]
-        head[starts[:-1]] = True
-        self.entry = np.flatnonzero(head)  # where the postings of a term in a block begin
-        self.entry_block = block[self.entry]
-        self.entry_most = np.maximum.reduceat(self.impact, self.entry)
-        self.entry_size = np.diff(self.entry, append=len(docs))
-        self.term_entry = np.searchsorted(self.entry, starts)
+        self.common = np.zeros((len(common), self.blocks, BLOCK), np.float32)
+        at = _ranges(self.starts[common], sizes[common])
+        self.common.reshape(len(common), -1)[np.repeat(np.arange(len(common)), sizes[common]), self.docs[at]] = self.impact[at]
+        self.most = self.common.max(2)
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where ``terms`` are in this shard's list; -1 where it has none."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
 
     def best(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k best of this shard, of those that reach ``least``."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        here = self.terms[at] == terms
-        at, weights = at[here], weights[here]
-        sizes = self.term_entry[at + 1] - self.term_entry[at]
-        entries, weights = _ranges(self.term_entry[at], sizes), np.repeat(weights, sizes)
-        of = self.entry_block[entries]
-        bound = np.bincount(of, weights * self.entry_most[entries], minlength=self.blocks) * (1 + 1e-9)
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        lead = np.zeros(self.blocks, bool)
-        lead[np.argpartition(-bound, LEAD)[:LEAD] if self.blocks > LEAD else slice(None)] = True
-        for turn in (lead, ~lead):
-            pivot = turn & (bound >= least) & (bound > 0)
-            if not pivot.any():
-                continue
-            read = pivot[of]
-            some, n = entries[read], self.entry_size[entries[read]]
-            rows = _ranges(self.entry[some], n)
-            full = np.bincount(self.docs[rows], np.repeat(weights[read], n) * self.impact[rows], minlength=len(self.ids))
-            found = np.flatnonzero((full >= least) & (full > 0))
-            docs, scores = np.concatenate([docs, found]), np.concatenate([scores, full[found]])
-            if len(docs) > k:
-                order = np.lexsort((self.ids[docs], -scores))[:k]
-                docs, scores = docs[order], scores[order]
-            if len(docs) == k:
-                least = max(least, scores.min())
+        return self.best_at(self.places(terms), weights, k, least)
+
+    def best_at(self, places: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """What ``best`` returns, from the places of the query's terms in this shard."""
+        here = places >= 0
+        at, weights = places[here], weights[here]
+        column = self.column[at]
+        rare, columns = column < 0, column[column >= 0]
+        common = weights[~rare].astype(np.float32)
+        starts, sizes = self.starts[at[rare]], self.starts[at[rare] + 1] - self.starts[at[rare]]
+        rows = _ranges(starts, sizes)
+        partial = np.bincount(self.docs[rows], np.repeat(weights[rare], sizes) * self.impact[rows], minlength=self.blocks * BLOCK).reshape(-1, BLOCK)
+        bound = partial.max(1) + np.einsum("i,ij", common, self.most[columns])
+        # with the common terms' own impacts in place of the maxima
+        closer = lambda blocks: partial[blocks].ravel() + np.einsum("i,ij", common, self.common[columns[:, None], blocks].reshape(len(columns), len(blocks) * BLOCK))
+        kth = lambda x: np.partition(x, -k)[-k] * (1 - SLACK) if len(x) >= k else 0.0
+        if not least > 0:  # the blocks of largest bounds give a first threshold
+            lead = max(LEAD, k)
+            least = kth(closer(np.argpartition(-bound, lead)[:lead] if len(bound) > lead else np.arange(len(bound))))
+        pivots = np.flatnonzero((bound >= least * (1 - SLACK)) & (bound > 0))
+        scores = closer(pivots)
+        least = max(least, kth(scores))
+        docs = (pivots[:, None] * BLOCK + np.arange(BLOCK)).ravel()[(scores >= least * (1 - SLACK)) & (scores > 0)]
+        if not len(docs):
+            return self.ids[docs], np.zeros(0)
+        scores = self._scored(docs, at, weights)
+        docs, scores = docs[scores >= least], scores[scores >= least]
+        if len(docs) > k:
+            order = np.lexsort((self.ids[docs], -scores))[:k]
+            docs, scores = docs[order], scores[order]
         return self.ids[docs], scores
 
+    def _scored(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of documents, summed in the order of their terms."""
+        sizes = self.own_at[docs + 1] - self.own_at[docs]
+        rows = _ranges(self.own_at[docs], sizes)
+        self.weight[at] = weights
+        scores = np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.own_term[rows]] * self.own_impact[rows], minlength=len(docs))
+        self.weight[at] = 0
+        return scores
+
 
 def _searcher(shared, mean: float, k: int):
     def run(batches):
         number, hashes, starts, terms, weights, least = shared.value
         least = least.copy()
+        asked, which = np.unique(terms, return_inverse=True)
         seen = [np.zeros(0)] * len(number)  # the best scores of this task's shards so far
         for b in batches:
             for row in b.to_pylist():
                 s = Shard(row, mean)
+                place = s.places(asked)
                 q, d, v = [], [], []
                 for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-                    docs, scores = s.best(terms[lo:hi], weights[lo:hi], k, least[i])
+                    docs, scores = s.best_at(place[which[lo:hi]], weights[lo:hi], k, least[i])
                     if len(docs):
                         q.append(np.full(len(docs), i))
                         d.append(docs)
@@ -186,6 +220,7 @@ def _searcher(shared, mean: float, k: int):
                 if q:
                     of = np.concatenate(q)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number[of], hashes[of], np.concatenate(d), np.concatenate(v))], ["query_id", "text_hash", "doc_id", "score"])
+                del s  # two shards needn't be held at once
 
     return run
 
@@ -215,7 +250,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     number, mean = sums["n"] or 0, (sums["words"] or 0) / max(sums["n"] or 0, 1)
     asked = plain(queries).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_queries, "query_id long, text_hash long, term long, qtf long")
     asked = cut(asked.groupBy("query_id", "text_hash", "term").agg(F.max("qtf").alias("qtf")))
-    df = shards.mapInArrow(_frequencies, "term long, df long").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    # a term is one row before it meets the queries: a row for each shard that has it would be terms times shards
+    df = shards.mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(float(number)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # in the order of unsigned hashes, as in the index
     weighted = asked.join(df, "term").select("query_id", "text_hash", (F.col("term").bitwiseXOR(F.lit(-(1 << 63)))).alias("u"), "term", (F.col("qtf") * idf).alias("weight"))

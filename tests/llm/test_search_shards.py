@@ -75,3 +75,42 @@ def test_hopeless_blocks_are_not_read(monkeypatch):
         read.clear()
         best, _ = shard.best(terms, weights, 5, known)
         assert int(ids[order[0]]) in best.tolist() and sum(read[1:]) < 0.3 * postings
+
+
+def test_few_postings_are_gathered_one_by_one(monkeypatch):
+    # common terms come as whole rows of blocks, so only short lists and the best documents' own postings are gathered
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(120)]  # every block of documents has nearly all of these, and some document of most topics
+    texts = {i: " ".join(rng.choices(common, k=60) + rng.choices([f"t{i % 40}w{k}" for k in range(40)], k=12)) for i in range(2000)}
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], ["doc_id", "text"])
+    (row,) = [r for b in search._index([batch]) for r in b.to_pylist()]
+    shard = search.Shard(row, 72.0)
+    df = dict(zip(shard.terms.tolist(), np.diff(np.frombuffer(row["starts"], "<i8")).tolist(), strict=True))
+    read = []
+    plain = search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda a, n: (read.append(int(np.sum(n))), plain(a, n))[1])
+
+    total = most = 0
+    for q in range(0, 2000, 200):
+        (_, hashes, _), = list(search.word_hashes(pa.array([texts[q]])))
+        terms, times = np.unique(hashes, return_counts=True)
+        weights = np.array([m * math.log(1 + (2000 - df[t] + 0.5) / (df[t] + 0.5)) for t, m in zip(terms.tolist(), times.tolist(), strict=True)])
+        ids, scores = shard.best(terms, weights, 5, 0.0)
+        order = np.lexsort((ids, -scores))
+        assert [(-round(float(scores[i]), 9), int(ids[i])) for i in order] == brute(texts, {q: texts[q]}, 5)[q]
+        read.clear()
+        shard.best(terms, weights, 5, float(scores.min()))
+        total, most = total + sum(read), most + sum(df[t] for t in terms.tolist())
+    assert total < 0.6 * most, (total, most)
+
+
+def test_a_term_is_one_row_before_it_meets_the_queries(spark, monkeypatch):
+    plans = []
+    plain = search.cut
+    monkeypatch.setattr(search, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), plain(df))[1])
+    docs = spark.createDataFrame(list(made(200, 8).items()), "doc_id long, text string").repartition(12)
+    search.search(docs, docs.where("doc_id % 45 = 0"), 3)
+    (joined,) = [p for p in plans if "Join" in p and "df#" in p]
+    assert joined.count("Join ") == 1 and "LeftSemi" not in joined  # else rows are terms times shards
+    assert "Aggregate [term" in joined[joined.index("Join ") :]
