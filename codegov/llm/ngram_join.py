@@ -16,7 +16,9 @@ The job returns components, not all pairs, so it looks for links in this order:
    shingles and whose sizes and positions allow enough overlap; all of them are verified. This step makes the result exact: no cap, no sampling.
 
 Texts are hashed again where they are needed instead of being stored as sets: eight bytes a shingle would be larger
-than the text.
+than the text. For the same reason texts go through a shuffle only where they must: a table of bits that hashed ids mark
+(a fixed number, so its size is bounded) tells which rows can be copies of a class's first, or can be in a pair to verify.
+A row that it doesn't tell apart goes through the join on ids as well, so it never changes the result.
 
 Defined results: a null or empty text, or one of white space only, has an empty set, n_shingles 0, and links with
 nothing (component_id = doc_id). Rows that repeat a doc_id are one document that links if any of its texts does, so its
@@ -40,6 +42,8 @@ from .texthash import mix, set_key, shingle_sets
 
 #: Counters of the hashed count table (a bounded broadcast of 8 bytes each).
 COUNTERS = 1 << 18
+#: Words of 64 bits of a table that marks ids (a bounded broadcast of 16 bytes each).
+MARKS = 1 << 18
 #: Most shared prefix shingles that a document may ask for.
 LEVELS = 4
 #: Cost of verifying a candidate, in postings.
@@ -201,7 +205,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
 
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    one = docs.join(reps, "doc_id", "left_semi")
+    copies = sets.where("n_shingles > 0 and doc_id is not null").select("doc_id").join(reps, "doc_id", "left_anti")
+    told = _marked(docs.where("doc_id is not null"), copies)
+    one = told.where("not marked").drop("marked").unionByName(told.where("marked").drop("marked").join(reps, "doc_id", "left_semi"))
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     number = int(size["n"])
 
@@ -212,8 +218,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     lists = cut(lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c"))
     lists = cut(_bounded(lists, num, den))
     shared.destroy()
-    # only these texts are needed from here on, in every round
-    texts = cut(docs.where(F.col("text").isNotNull()).join(lists.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     home = _homes(classes, links) if links is not None else None
     sketches = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").cast("int").alias("n"), *SKETCH_COLUMNS)
     seen: DataFrame | None = None
@@ -237,6 +241,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             pairs = _candidates(now, sketches, num, den)
             pairs = pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+        texts = cut(_marked(docs.where("doc_id is not null and text is not null"), asked).where("marked").drop("marked"))
         checked = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         found = cut(checked.mapInArrow(_verify(words, num, den), "a long, b long, linked boolean").where("linked").select("a", "b").distinct())
         seen = pairs if seen is None else cut(seen.union(pairs))
@@ -247,6 +253,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     return _named(sets, classes, links)
 
 
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``marked``: true for every doc_id in ``ids``, and for some others whose hashes meet theirs."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(64 * MARKS))
+    bit = "shiftleft(1L, cast(h % 64 as int))"
+    marks = cut(ids.select(h.alias("h")).groupBy(F.expr("h div 64").alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits")))
+    told = docs.withColumn("h", h).withColumn("word", F.expr("h div 64")).join(F.broadcast(marks), "word", "left")
+    return told.select(*docs.columns, F.coalesce(F.expr(f"bits & {bit} != 0"), F.lit(False)).alias("marked"))
+
+
 def _differing(num: int, den: int) -> str:
     """SQL that is false where the sketches of sides a and b prove that they aren't similar."""
     bits = " + ".join(f"bit_count({c}a ^ {c}b)" for c in SKETCH_COLUMNS)
@@ -325,7 +340,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
     # ids that repeat: the nodes are (id, text), numbered in the order of ids
     rows = docs.where("doc_id is not null").withColumn("__text_hash", F.xxhash64("text"))
     nodes = cut(rows.select("doc_id", "__text_hash").distinct().orderBy("doc_id", "__text_hash").withColumn("__node", F.monotonically_increasing_id()))
-    rows = rows.join(nodes, ["doc_id", "__text_hash"])
+    rows = cut(rows.join(nodes, ["doc_id", "__text_hash"]))  # read several times
     homes = jaccard_components(rows.select(F.col("__node").alias("doc_id"), "text"), words, num, den).where("doc_id != component_id").select(F.col("doc_id").alias("__node")).distinct()
     kept = rows.join(homes, "__node", "left_anti").dropDuplicates(["__node"])
     return kept.select(*names).unionByName(docs.where("doc_id is null"))

@@ -185,3 +185,20 @@ def test_every_limit_of_packing_binds_where_it_is_the_tightest(spark):
         by = rows.assign(loss=rows["length"] - last, segments=1).groupby("sequence_id")[["length", "loss", "segments"]].sum()
         assert rows.groupby("doc_id")["length"].sum().eq(rows.groupby("doc_id")["doc_tokens"].first()).all()
         assert by["length"].max() <= 2048 and by[most].max() <= limits[f"max_{most}"] and by[most].median() >= 0.9 * limits[f"max_{most}"] and by["length"].max() < 1200
+
+
+def test_join_stores_only_texts_of_pairs(spark, monkeypatch):
+    import random
+
+    from codegov.llm import ngram_join
+
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdef", k=40)) for _ in range(150)]  # most share some shingle with another
+    texts += [f"{t} x" for t in texts[:8]] + texts[8:16]  # near copies, exact copies
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = []
+    plain = ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df: (out := plain(df), "text" in df.columns and stored.append(out.count()))[0])
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 4, 85, 100).collect()}
+    assert got == {i: i - 150 if i >= 150 else i for i in range(166)}
+    assert 0 < sum(stored) < 80, stored
