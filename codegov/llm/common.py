@@ -11,7 +11,6 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 #: Bytes of an Arrow batch between Spark and its Python workers.
@@ -55,13 +54,25 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Memory that the driver's Python no longer uses goes back to the system, since the driver lives on for other jobs."""
+    """Memory that this Python process no longer uses goes back to the system, since driver and workers live on for other jobs."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
+def thrifty(run: Callable) -> Callable:
+    """``run`` of a mapInArrow; at a task's end its worker gives back what it no longer uses, since idle workers stay."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
 def added(docs: DataFrame, names: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``step(docs)`` without the columns ``names`` that it adds, also where docs has columns of these names."""
     own = docs.columns
@@ -78,12 +89,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """At most ``per_class`` labelled documents of either class outside fold ``held``: (doc_id, text, y).
 
     Ids come in the order of a hash, so the sample is the same in every run. The id list is bounded by the parameter
-    (2 * per_class rows), which is why it may be broadcast. Rows with a null id, label or text teach nothing.
+    (2 * per_class rows), which is why it may be broadcast; it stays a plan, since rows made from a list in the driver
+    would have workers of another kind started for them. Rows with a null id, label or text teach nothing.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (bucket_of("doc_id", modulus) != held))
     usable = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).join(docs.where(F.col("text").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
     mixed = F.xxhash64("doc_id", F.lit(label))
-    rows = [r for y in (0, 1) for r in usable.where(F.col("y") == y).orderBy(mixed, "doc_id").limit(per_class).collect()]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType())])
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in rows], schema)
+    ordinary, marked = (usable.where(F.col("y") == y).orderBy(mixed, "doc_id").limit(per_class) for y in (0, 1))
+    ids = ordinary.union(marked).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, has_rows, table
+from .common import bounded, cut, has_rows, table, thrifty
 from .components import components
 from .texthash import mix, set_key, shingle_sets
 
@@ -185,7 +185,7 @@ def _verify(words: int, num: int, den: int):
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: components of the links with Jaccard >= num/den."""
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(docs.mapInArrow(_sets(words), f"doc_id long, n_shingles long, key binary, {', '.join(f'{c} long' for c in SKETCH_COLUMNS)}"))
+    sets = cut(docs.mapInArrow(thrifty(_sets(words)), f"doc_id long, n_shingles long, key binary, {', '.join(f'{c} long' for c in SKETCH_COLUMNS)}"))
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("key", "n_shingles")
     # equal sets have equal sketches
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.min(c).alias(c) for c in SKETCH_COLUMNS)))
@@ -200,7 +200,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         links = cut(several.join(several.groupBy("doc_id").agg(F.min("rep").alias("first")), "doc_id").where("first != rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
 
     # the hashed count table: COUNTERS numbers, whatever the input
-    counted = docs.select("doc_id", "text").mapInArrow(_counts(words, COUNTERS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.select("doc_id", "text").mapInArrow(thrifty(_counts(words, COUNTERS)), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
 
@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     def postings(batches):
         yield from _postings(words, num, den, shared.value, number)(batches)
 
-    lists = one.mapInArrow(postings, "token long, doc long, pos int, n int, level short")
+    lists = one.mapInArrow(thrifty(postings), "token long, doc long, pos int, n int, level short")
     lists = cut(lists.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("c > 1").drop("c"))
     lists = cut(_bounded(lists, num, den))
     shared.destroy()
@@ -244,7 +244,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
         texts = cut(_marked(docs.where("doc_id is not null and text is not null"), asked).where("marked").drop("marked"))
         checked = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-        found = cut(checked.mapInArrow(_verify(words, num, den), "a long, b long, linked boolean").where("linked").select("a", "b").distinct())
+        found = cut(checked.mapInArrow(thrifty(_verify(words, num, den)), "a long, b long, linked boolean").where("linked").select("a", "b").distinct())
         seen = pairs if seen is None else cut(seen.union(pairs))
         links = found if links is None else cut(links.union(found))
         if exact:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, bounded, bucket_of, labelled_sample, table
+from .common import added, bounded, bucket_of, labelled_sample, table, thrifty
 from .texthash import mix, word_places
 
 PASSAGE = 512
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, p
             yield pa.RecordBatch.from_arrays([b.column("o"), b.column("y"), pa.array(bags, pa.binary())], ["o", "y", "bag"])
 
     sample = labelled_sample(docs, labels, "quality", modulus, held, per_class).select(F.xxhash64("doc_id", "text").alias("o"), "y", "text")
-    bags = sample.mapInArrow(run, "o long, y int, bag binary").toArrow().sort_by("o")  # rows arrive in any order
+    bags = sample.mapInArrow(thrifty(run), "o long, y int, bag binary").toArrow().sort_by("o")  # rows arrive in any order
     y = bags["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None
@@ -166,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(thrifty(run), f"{schema}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import added, bounded, bucket_of, cut, give_back, labelled_sample, table
+from .common import added, bounded, bucket_of, cut, give_back, labelled_sample, table, thrifty
 from .vocab import PORTION, coded, forget, portions
 
 ORDER, DISCOUNT = 12, 0.75
@@ -265,6 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, p
     shared, names = docs.sparkSession.sparkContext.broadcast(found[0]), [f"x{k}" for k in range(SIZE)]
 
     def run(batches):
+        forget()
         scorers = [Scorer(t) for t in shared.value]
         for b in batches:
             fold, texts = b.column("fold").to_numpy(), b.column("text").to_pylist()
@@ -274,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, p
                 x[rows] = np.array(list(scorers[k].evidence([texts[i] for i in rows]))).reshape(-1, SIZE)
             yield pa.RecordBatch.from_arrays([b.column("y"), *map(pa.array, x.T)], ["y", *names])
 
-    rows = sample.select("y", "fold", "text").mapInArrow(run, ", ".join(["y int", *(f"{c} double" for c in names)])).orderBy("y", *names).toArrow()
+    rows = sample.select("y", "fold", "text").mapInArrow(thrifty(run), ", ".join(["y int", *(f"{c} double" for c in names)])).orderBy("y", *names).toArrow()
     shared.destroy()
     return found[1], fit_curve(np.stack([rows[c].to_numpy() for c in names], 1), rows["y"].to_numpy().astype(float))
 
@@ -297,7 +298,7 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(thrifty(run), f"{schema}, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -41,6 +41,9 @@ class Memory:
         self.known.update(zip(new, self.make(new), strict=True))
         return self.known.__getitem__
 
+    def clear(self) -> None:
+        self.known = {}
+
 
 def portions(texts: list[str], budget: int = 1 << 20):
     """Lists of texts of about ``budget`` characters together."""
@@ -100,9 +103,9 @@ class Pieces:
         return self.values[np.repeat(self.starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encoded(texts: list[str], plain: Callable, cut: Callable, encode: Callable[[list[str]], list[bytes]]) -> Iterator[np.ndarray]:
+def encoded(texts: list[str], plain: Callable, cut: Callable, encode: Callable[[list[str]], list[bytes]], portion: int = PORTION) -> Iterator[np.ndarray]:
     """Yields each text's ids; ``encode`` gives the bytes of the ids of distinct units."""
-    for part in portions(texts, PORTION):
+    for part in portions(texts, portion):
         codes, starts, ends, distinct = coded(part, plain, cut)
         pieces = Pieces(encode(distinct))
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):

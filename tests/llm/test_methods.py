@@ -8,8 +8,9 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from codegov.llm import html_text, packing, quality, toxicity
+from codegov.llm import common, html_text, packing, quality, toxicity, vocab
 
 D, ORDER = toxicity.DISCOUNT, toxicity.ORDER
 
@@ -202,3 +203,34 @@ def test_join_stores_only_texts_of_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 4, 85, 100).collect()}
     assert got == {i: i - 150 if i >= 150 else i for i in range(166)}
     assert 0 < sum(stored) < 80, stored
+
+
+def test_a_sample_of_labelled_documents_starts_no_python(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    sample = common.labelled_sample(docs, labels, "toxic", 3, 1, 20)
+    assert "ExistingRDD" not in sample._jdf.queryExecution().toString()
+    usable = labels.where("toxic in (0, 1) and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) != 1").join(docs.where("text is not null"), "doc_id", "left_semi")
+    want = sorted((r["doc_id"], y) for y in (0, 1) for r in usable.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").limit(20).collect())
+    assert sorted((r["doc_id"], r["y"]) for r in sample.collect()) == want and {y for _, y in want} == {0, 1}
+    assert sample.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+
+
+def test_a_task_gives_memory_back_when_it_ends(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    rows = common.thrifty(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(rows) == 2 and not given
+    assert list(rows) == [3] and given == [1]
+
+
+def test_packing_holds_few_words_between_portions():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij", k=6)) + " " + " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(2_000)) for _ in range(200)]
+    bpe, largest = packing.WordBpe(vocab.default_path("word_bpe_49k.json")), 0
+    for text, ids in zip(texts, bpe.encode_many(texts), strict=True):
+        largest = max(largest, len(bpe.words.known))
+        if text in texts[:3]:
+            assert ids.tolist() == bpe.whole.encode(text, add_special_tokens=False).ids
+    assert 0 < largest < 300_000  # 400,000 different words in all
+    bpe.words.clear()
+    assert not bpe.words.known
