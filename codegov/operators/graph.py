@@ -26,23 +26,28 @@ def parse_range(text: Column) -> dict[str, Column]:
     return {"file_index": part(0), "sl": part(1), "sc": part(2), "el": F.coalesce(part(3), part(1)), "ec": F.coalesce(part(4), part(2))}
 
 
+def _inside(functions: DataFrame, calls: DataFrame, keys: tuple[str, ...], module: bool) -> DataFrame:
+    """(keys, call_idx, cl, cc, fun_idx, size): every call with every function range that holds its start."""
+    ranges = functions.where(F.col("sl").isNotNull() & ~(F.lit(module) & (F.col("sl") == 1) & (F.col("sc") == 1))).select(*keys, "fun_idx", "sl", "sc", "el", "ec")
+    ranges = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("sl") / BUCKET), F.floor(F.greatest("el", "sl") / BUCKET))))
+    x = calls.where("cl is not null").withColumn("bucket", F.floor(F.col("cl") / BUCKET)).join(ranges, [*keys, "bucket"])
+    inside = F.col("cl").between(F.col("sl"), F.col("el")) & ((F.col("cl") != F.col("sl")) | (F.col("cc") >= F.col("sc"))) & ((F.col("cl") != F.col("el")) | (F.col("cc") <= F.col("ec")))
+    size = (F.col("el") - F.col("sl")).cast("long") * 100000 + (F.col("ec") - F.col("sc"))
+    return x.where(inside).select(*keys, "call_idx", "cl", "cc", "fun_idx", size.alias("size"))
+
+
 def containers(functions: DataFrame, calls: DataFrame, keys: tuple[str, ...] = ("file",), module: bool = True) -> DataFrame:
     """(keys, call_idx, fun_idx): the smallest function range that holds a call's start; the first wins ties.
 
     ``functions``: (keys, fun_idx, sl, sc, el, ec); ``calls``: (keys, call_idx, cl, cc). Ranges are dealt to the line
     buckets that they touch, so a huge file is many join keys. Unknown starts go, and with ``module`` the module's own range.
     """
-    ranges = functions.where(F.col("sl").isNotNull() & ~(F.lit(module) & (F.col("sl") == 1) & (F.col("sc") == 1))).select(*keys, "fun_idx", "sl", "sc", "el", "ec")
-    ranges = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("sl") / BUCKET), F.floor(F.greatest("el", "sl") / BUCKET))))
-    x = calls.where("cl is not null").withColumn("bucket", F.floor(F.col("cl") / BUCKET)).join(ranges, [*keys, "bucket"])
-    inside = F.col("cl").between(F.col("sl"), F.col("el")) & ((F.col("cl") != F.col("sl")) | (F.col("cc") >= F.col("sc"))) & ((F.col("cl") != F.col("el")) | (F.col("cc") <= F.col("ec")))
-    size = (F.col("el") - F.col("sl")).cast("long") * 100000 + (F.col("ec") - F.col("sc"))
-    return x.where(inside).groupBy(*keys, "call_idx").agg(F.min_by("fun_idx", F.struct(size, "fun_idx")).alias("fun_idx"))
+    return _inside(functions, calls, keys, module).groupBy(*keys, "call_idx").agg(F.min_by("fun_idx", F.struct("size", "fun_idx")).alias("fun_idx"))
 
 
 def enclosing_function(functions: DataFrame, calls: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
-    """(call_idx, fun_idx) of ``containers``, for calls that are numbered over all files."""
-    return containers(functions, calls, keys).select("call_idx", "fun_idx")
+    """(call_idx, fun_idx) as of ``containers``, for calls that are numbered over all files: a number that several files have is one call."""
+    return _inside(functions, calls, keys, True).groupBy("call_idx").agg(F.min_by("fun_idx", F.struct("size", "fun_idx")).alias("fun_idx"))
 
 
 def call_edges(functions: DataFrame, calls: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:

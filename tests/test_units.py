@@ -227,6 +227,12 @@ def test_call_edges_need_both_ends(spark):
     assert found == {("a:8:2", "b:7:0", 9, 4), ("a:8:2", "a:5:2", 9, 4)}  # the module's range, unknown starts and unknown targets go
 
 
+def test_a_call_number_of_two_files_is_one_call(spark):
+    functions = spark.createDataFrame([("a", 1, 5, 1, 20, 1), ("b", 2, 5, 1, 9, 1), ("c", 3, 90, 1, 95, 1)], "file string, fun_idx long, sl int, sc int, el int, ec int")
+    calls = spark.createDataFrame([("a", 10, 6, 1), ("b", 10, 7, 3), ("c", 10, 50, 1), ("a", 11, 8, 1), ("c", 11, 8, 2)], "file string, call_idx long, cl int, cc int")
+    assert sorted(map(tuple, graph.enclosing_function(functions, calls).select("call_idx", "fun_idx").collect())) == [(10, 2), (11, 1)]
+
+
 def test_facts_merge_tables_and_let_the_last_value_win(spark):
     table = lambda v: spark.createDataFrame([(v,)], "v int")
     parts = [runner.Collector("a", ("t", "x", "y"), lambda k: {"t": table(1), "x": 1, "y": 1}), runner.Collector("b", ("t", "x", "y"), lambda k: {"t": table(2), "x": 2, "y": table(3)})]
