@@ -54,11 +54,13 @@ def call_edges(functions: DataFrame, calls: DataFrame, targets: DataFrame, keys:
     """(keys, caller_id, callee_id, line, column): a row for every resolved target of every call.
 
     ``targets``: (call_idx, callee_idx). A function's id is ``file:line:column`` with columns from 0. A call outside every
-    function has no caller and goes, as does a target that is unknown, without a start, or a module's own range.
+    function has no caller and goes, as does a target that is unknown, without a start, or a module's own range. A number
+    that several places have is one call, at the place with the smallest range; of equal ones the first place.
     """
     known = functions.where(F.col("sl").isNotNull() & ~((F.col("sl") == 1) & (F.col("sc") == 1)))
     names = known.select("fun_idx", F.concat_ws(":", *keys, F.col("sl").cast("string"), (F.col("sc") - 1).cast("string")).alias("id"))
-    place = calls.select("call_idx", *keys, F.col("cl").alias("line"), (F.col("cc") - 1).alias("column"))
-    found = enclosing_function(functions, calls, keys).join(targets, "call_idx").join(place, "call_idx")
+    best = F.min(F.struct("size", "fun_idx", *keys, "cl", "cc")).alias("s")
+    calls = _inside(functions, calls, keys, True).groupBy("call_idx").agg(best)
+    found = calls.select("call_idx", "s.fun_idx", *(F.col("s")[k].alias(k) for k in keys), F.col("s.cl").alias("line"), (F.col("s.cc") - 1).alias("column")).join(targets, "call_idx")
     found = found.join(names.withColumnRenamed("id", "caller_id"), "fun_idx")
     return found.join(names.select(F.col("fun_idx").alias("callee_idx"), F.col("id").alias("callee_id")), "callee_idx").select(*keys, "caller_id", "callee_id", "line", "column")

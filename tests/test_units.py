@@ -231,6 +231,9 @@ def test_a_call_number_of_two_files_is_one_call(spark):
     functions = spark.createDataFrame([("a", 1, 5, 1, 20, 1), ("b", 2, 5, 1, 9, 1), ("c", 3, 90, 1, 95, 1)], "file string, fun_idx long, sl int, sc int, el int, ec int")
     calls = spark.createDataFrame([("a", 10, 6, 1), ("b", 10, 7, 3), ("c", 10, 50, 1), ("a", 11, 8, 1), ("c", 11, 8, 2)], "file string, call_idx long, cl int, cc int")
     assert sorted(map(tuple, graph.enclosing_function(functions, calls).select("call_idx", "fun_idx").collect())) == [(10, 2), (11, 1)]
+    targets = spark.createDataFrame([(10, 1), (10, 3), (11, 3)], "call_idx long, callee_idx long")
+    found = sorted(map(tuple, graph.call_edges(functions, calls, targets).select("file", "caller_id", "callee_id", "line", "column").collect()))
+    assert found == [("a", "a:5:0", "c:90:0", 8, 0), ("b", "b:5:0", "a:5:0", 7, 2), ("b", "b:5:0", "c:90:0", 7, 2)]
 
 
 def test_facts_merge_tables_and_let_the_last_value_win(spark):
