@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .globs import MAGIC, glob_to_regex, is_glob
 from .paths import ancestors
 
 #: Parts into which all paths are dealt for patterns that meet every path.
 PARTS = 16
+#: Patterns that are sent to every task; of more of them both sides of a join are dealt by its key.
+FEW = 10_000
 _EXTENSION = re.compile(r"[*?\]}](\.[^*?\[\]{}/]+)$")
 
 
@@ -67,16 +70,26 @@ def pieces(path: Column) -> Column:
     return F.concat(of("path", F.array(path)), of("folder", F.concat(F.array(path), ancestors(path))), of("segment", F.array_distinct(parts)), of("extension", F.coalesce(tails, F.expr("cast(array() as array<string>)"))))
 
 
+def _held(patterns: DataFrame) -> tuple[DataFrame, str]:
+    """``patterns``, made once, and the hint for joins with them, by their count: Spark's estimate goes by compressed files and would send all pieces of all paths through the driver."""
+    patterns = checkpointed(patterns)
+    return patterns, "broadcast" if patterns.limit(FEW + 1).count() <= FEW else "merge"
+
+
 def glob_join(paths: DataFrame, patterns: DataFrame, path: str = "path", column: str = "pattern") -> DataFrame:
     """All pairs of a row of ``paths`` and a row of ``patterns`` whose pattern matches the path, with the columns of both.
 
-    Column names must differ. Only equijoins; what is small enough is broadcast by its size, and skewed pieces are split
-    by Spark where they aren't. Patterns that meet every path are dealt to PARTS parts of the paths.
+    Column names must differ. Only equijoins; up to FEW patterns are broadcast, of more of them skewed pieces are split by
+    Spark. Patterns are made and counted when this is called. Those that meet every path are dealt to PARTS parts of the paths.
     """
+    return _glob_join(paths, *_held(patterns), path, column)
+
+
+def _glob_join(paths: DataFrame, patterns: DataFrame, way: str, path: str, column: str) -> DataFrame:
     index = indexed(patterns, column)
-    some = index.where("kind != 'any'")
+    some = index.where("kind != 'any'").hint(way)
     found = paths.withColumn("__p", F.explode(pieces(F.col(path)))).join(some, (F.col("__p.kind") == F.col("kind")) & (F.col("__p.piece") == F.col("piece"))).drop("__p")
-    every = index.where("kind = 'any'").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    every = index.where("kind = 'any'").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint(way)
     dealt = paths.withColumn("__to", F.pmod(F.xxhash64(path), F.lit(PARTS)).cast("int")).join(every, F.col("__to") == F.col("__part")).drop("__to", "__part")
     hit = F.col("regex").isNull() | (F.rlike(F.col(path), F.col("regex")) != F.col("negated"))
     return found.unionByName(dealt).where(hit).drop("kind", "piece", "regex", "negated")
@@ -85,9 +98,10 @@ def glob_join(paths: DataFrame, patterns: DataFrame, path: str = "path", column:
 def import_join(targets: DataFrame, patterns: DataFrame, path: str = "to_path", column: str = "pattern") -> DataFrame:
     """Pairs of import targets and import patterns: a name without wildcards matches itself and its sub-paths, a glob as a path."""
     magic = F.rlike(F.col(column), F.lit(r"[*?\[\]{}]|^!"))
-    named = patterns.where(~magic).withColumn("__name", F.col(column))
+    patterns, way = _held(patterns)
+    named = patterns.where(~magic).withColumn("__name", F.col(column)).hint(way)
     under = targets.withColumn("__up", F.explode(F.concat(F.array(F.col(path)), ancestors(F.col(path))))).join(named, F.col("__up") == F.col("__name")).drop("__up", "__name")
-    return under.unionByName(glob_join(targets, patterns.where(magic), path, column))
+    return under.unionByName(_glob_join(targets, patterns.where(magic), way, path, column))
 
 
 def idle(targets: DataFrame, patterns: DataFrame, path: str = "to_path", column: str = "pattern") -> DataFrame:

@@ -409,6 +409,20 @@ def test_a_hundred_thousand_patterns(spark):
     assert found.count() == 2000
 
 
+def test_pieces_of_paths_are_never_broadcast(spark, tmp_path, monkeypatch):
+    from codegov.functions import pattern_tables
+
+    monkeypatch.setattr(pattern_tables, "FEW", 100, raising=False)
+    spark.range(200).select(F.concat(F.lit("a/b"), "id", F.lit("/x.ts")).alias("path")).write.parquet(str(tmp_path / "p"))
+    paths_ = spark.read.parquet(str(tmp_path / "p"))
+    many = paths_.select(F.regexp_replace("path", "x.ts", "**").alias("pattern"))
+    few = many.limit(20)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for join in (lambda p: pattern_tables.glob_join(paths_, p), lambda p: pattern_tables.import_join(paths_, p, "path")):
+        assert "Broadcast" not in plan(join(many)) and join(many).count() == 200
+        assert "BuildLeft" not in plan(join(few)) and "SortMergeJoin" not in plan(join(few)) and join(few).count() == 20
+
+
 @pytest.mark.parametrize("name", ["a08_erosion", "a08_erosion_of_globs", "p01_pattern_table", "p08_idle_table"])
 def test_patterns_need_no_nested_loop(spark, sf_dir, name):
     from codegov.plans.registry import QUERIES
