@@ -211,6 +211,47 @@ def test_streams_keep_result_and_state_in_the_shared_folder(spark, sf_dir, name)
     assert (Path(files[0].split("file://")[-1]).parents[1] / "state" / "offsets").is_dir()
 
 
+def test_ledger_state_is_a_row_a_bucket_and_reports_as_a_plain_fold(spark, tmp_path):
+    import random
+    from datetime import UTC, datetime, timedelta
+
+    from codegov.streaming import jobs
+
+    rng, day = random.Random(5), lambda d: datetime(2024, 1, 1, tzinfo=UTC) + timedelta(days=d)
+    parts = [[(f"f{rng.randrange(40)}", 1000 * k + n if n % 9 else n, rng.choice(["observed", "baselined", "baselined", "revoked"]), 20 * k + rng.random() * 20, rng.random() * 60) for n in range(120)] for k in range(4)]
+    want, held, open_, mark = [], {}, {}, -1000.0
+    for part in parts:  # (fingerprint, ord, type, day, end)
+        best = {}
+        for f, o, t, _, u in part:
+            best[f] = max(best.get(f, (-1,)), (o, t, u), key=lambda x: x[0])
+        for f, (o, t, u) in best.items():
+            if o > held.get(f, -1):
+                held[f] = o
+                open_.pop(f, None)
+                want.append((f, "latest", o, t))
+                if t == "baselined" and u <= mark:
+                    want.append((f, "expired", o, t))
+                elif t == "baselined":
+                    open_[f] = (u, o)
+        mark = max(mark, max(x[3] for x in part) - 30)
+        for f in [f for f, (u, _) in open_.items() if u <= mark]:
+            want.append((f, "expired", open_.pop(f)[1], "baselined"))
+    got, name = [], "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in parts:
+            rows = [(f, o, t, day(u) if t == "baselined" else None, day(d)) for f, o, t, d, u in part]
+            spark.createDataFrame(rows, "fingerprint string, ord long, type string, expires_at timestamp, timestamp timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+            put = lambda batch, _: got.extend(map(tuple, batch.collect()))
+            jobs.state_stream(stream, "30 days", buckets=2).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(got) == sorted(want) and sum(x[1] == "expired" for x in want) > 20
+    assert spark.read.format("statestore").option("stateVarName", "latest").load(f"{tmp_path}/state").count() == 2
+
+
 def test_runner_checks_and_skips(spark):
     rule = runner.Rule("r", ("missing",), lambda f: None)
     one = runner.Collector("c", ("x",), lambda k: {})
