@@ -379,6 +379,24 @@ def plain_reach(rows, layer, folders):
     return found
 
 
+def test_a_walk_keeps_edges_compressed(spark):
+    import random
+    from pathlib import Path
+
+    from codegov.sources.shared import shared_folder
+
+    rng, folder = random.Random(4), Path(shared_folder(spark).removeprefix("file:"))
+    files = [f"packages/m{k % 7}/src/deeper/folder/f{k}.ts" for k in range(300)]
+    rows = [(rng.choice(files), rng.choice([*files, "lodash", "react"])) for _ in range(20_000)]
+    rows = [(a, b) for a, b in rows if not a.startswith("packages/m2/") or b.startswith("packages/m3/")] + [("packages/m3/src/deeper/folder/f3.ts", "pg")]
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    layer = boundary.Layer("packages/m2/**", allows=("packages/m3/**",), transitive=True)
+    got = {(r.target, r.current_path, r.dependency) for r in boundary.reach(edges_of(spark, rows), [layer]).collect()}
+    assert got == plain_reach(sorted(set(rows)), (layer.target, ("packages/m3",), ()), set()) and len(got) > 100
+    assert size() - before < 30 * len(rows)
+
+
 def test_components(spark):
     from codegov.operators.reach import strong_components
 
