@@ -397,6 +397,13 @@ def test_a_walk_keeps_edges_compressed(spark):
     assert size() - before < 30 * len(rows)
 
 
+def test_a_site_is_shuffled_once(spark):
+    rows = [("src/p/a.ts", "src/c/u.ts"), ("src/c/u.ts", "pg"), ("src/c/u.ts", "pg"), ("src/c/u.ts", "fs"), ("src/c/u.ts", "pg")]
+    found = boundary.reach(edges_of(spark, rows), [boundary.Layer("src/p/**", allows=("src/c/**",), transitive=True)])
+    assert {(r.dependency, r.site.file, r.site.line) for r in found.collect()} == {("pg", "src/c/u.ts", 2), ("fs", "src/c/u.ts", 4)}
+    assert "min_by(" not in found._jdf.queryExecution().executedPlan().toString()  # its order is that of its own fields
+
+
 def test_components(spark):
     from codegov.operators.reach import strong_components
 
